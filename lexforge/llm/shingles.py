@@ -1,0 +1,53 @@
+"""Word shingles as 64-bit numbers, for whole batches of texts."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+_MASK = (1 << 64) - 1
+#: Odd multipliers, one for each place in a shingle: powers of the golden ratio's.
+_STEP = 0x9E3779B97F4A7C15
+
+
+class WordNumbers(dict):
+    """A 64-bit number for each word; the table is emptied when it holds ``most`` words."""
+
+    most = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        x = self[word] = xxhash.xxh3_64_intdigest(word)
+        return x
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_set(text: bytes | None, k: int, numbers: WordNumbers) -> np.ndarray:
+    """The distinct ``k``-word shingles of a text, ascending; A-Z count as a-z.
+
+    A text of fewer words is one shingle; one without words has none.
+    """
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    at = np.fromiter(map(numbers.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(k, len(at))
+    total = np.full(len(at) - width + 1, width, dtype=np.uint64)
+    for i in range(width):
+        step = np.uint64(pow(_STEP, 2 * i + 1, 1 << 64))
+        total += mixed(at[i : len(at) - width + 1 + i] * step)
+    return np.unique(mixed(total))
+
+
+def texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()

@@ -5,22 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexforge.llm._shared import table
 from lexforge.llm.embedding_dedup import near_duplicates
 from lexforge.llm.jaccard_join import jaccard_components
+from lexforge.llm.suffix_dedup import remove_repeats
 
 
 def op1_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.to - x.from)")
+    return remove_repeats(docs).select(
+        "doc_id",
+        (F.octet_length("kept") + removed).alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_dedup, op5_jaccard_join)}
+    return {f.__name__: f for f in (op1_cover_tree_dedup, op4_suffix_array_dedup, op5_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import components, durable
-from lexforge.llm.shingles import WordNumbers, mixed, shingle_set, texts
+from lexforge.llm.words import shingle_sets, texts
 
 BUCKETS = 1 << 16
 KEYS = 4
+#: A power of two.
+BINS = 32
 PART_DOCS = 256
 PART_TOKENS = 400_000
 
@@ -51,13 +53,15 @@ def jaccard_components(
     order = _bucket_counts(docs, k)
     sets = durable(_prefixes(docs, k, percent, order))
     some = sets.where("id is not null and n > 0")
-    reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")))
     held = durable(_shared_tokens(reps))
-    whole = durable(_whole_sets(docs, held, k))
     near = _groups(reps.join(held.select("id").distinct(), "id", "left_semi"))
-    first = durable(_open(whole, *_within(near), percent))
-    groups = durable(reps.select("id", "n").join(components(first).withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("lead")))
-    second = durable(_open(whole, *_across(held, groups), percent))
+    cuts, parts = _cut(near)
+    packed = durable(_pack(docs.join(parts, "id"), k))
+    first = durable(_settle(_within(packed, cuts), percent))
+    merged = components(first).withColumnRenamed("node", "id")
+    groups = durable(near.select("id", "n", "bins").join(merged, "id", "left").select("id", "n", "bins", F.coalesce("root", "id").alias("lead")))
+    second = durable(_settle(_across(packed, held, groups, percent), percent))
     roots = components(first.union(second))
     classes = reps.select("s1", "s2", F.col("id").alias("node")).join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     return sets.join(classes, ["s1", "s2"], "left").select(
@@ -71,10 +75,10 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles of all documents counted in BUCKETS buckets: what the driver gets never grows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, numbers = np.zeros(BUCKETS, dtype=np.int64), WordNumbers()
+        total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in texts(batch.column(0)):
-                np.add.at(total, (shingle_set(text, k, numbers) >> np.uint64(48)).astype(np.int64), 1)
+            for _, sets in shingle_sets(texts(batch.column(0)), k):
+                total += np.bincount((np.concatenate(sets) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["bucket", "n"])
 
@@ -84,30 +88,30 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def _row(tokens: np.ndarray, percent: int, order: np.ndarray) -> tuple:
+    """Size, 128 bits that stand for the set, its prefix and how many shingles fall in each bin."""
+    size, bucket = len(tokens), (tokens >> np.uint64(48)).astype(np.int64)
+    long = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    reach = size - (percent * size + 99) // 100 + 1
+    rare = np.argsort(order[bucket], kind="stable")[:reach]
+    bins = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32)
+    return size, (long >> 64) - (1 << 63), (long & ((1 << 64) - 1)) - (1 << 63), tokens[rare].view(np.int64), bins
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordNumbers()
         for batch in batches:
-            n, s1, s2, prefixes = [], [], [], []
-            for text in texts(batch.column("text")):
-                tokens = shingle_set(text, k, numbers)
-                size = len(tokens)
-                raw = tokens.tobytes()
-                long = xxhash.xxh3_128_intdigest(raw)
-                n.append(size)
-                s1.append((long >> 64) - (1 << 63))
-                s2.append((long & ((1 << 64) - 1)) - (1 << 63))
-                reach = size - (percent * size + 99) // 100 + 1
-                rare = np.lexsort((tokens, order[(tokens >> np.uint64(48)).astype(np.int64)]))[:reach]
-                prefixes.append(tokens[rare].view(np.int64))
+            rows = [_row(tokens, percent, order) for _, sets in shingle_sets(texts(batch.column("text")), k) for tokens in sets]
+            n, s1, s2, prefixes, hist = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
+            bins = pa.ListArray.from_arrays(pa.array(np.arange(0, BINS * len(n) + 1, BINS), pa.int32()), pa.array(np.concatenate([*hist, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists],
-                ["id", "n", "s1", "s2", "prefix"],
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists, bins],
+                ["id", "n", "s1", "s2", "prefix", "bins"],
             )
 
-    return docs.mapInArrow(make, "id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.mapInArrow(make, "id long, n long, s1 long, s2 long, prefix array<long>, bins array<int>")
 
 
 def _shared_tokens(reps: DataFrame) -> DataFrame:
@@ -117,60 +121,84 @@ def _shared_tokens(reps: DataFrame) -> DataFrame:
     return rows.join(common, "token").select("id", "token")
 
 
-def _whole_sets(docs: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """(id, tokens): the sets of all classes that share a prefix shingle, ascending, packed."""
-
-    def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordNumbers()
-        for batch in batches:
-            sets = [shingle_set(t, k, numbers).tobytes() for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "tokens"])
-
-    found = docs.join(held.select("id").distinct(), "id")
-    return found.select("id", "text").mapInArrow(remake, "id long, tokens binary")
-
-
 def _groups(reps: DataFrame) -> DataFrame:
     """(id, n, lead): classes with like prefixes get the same lead."""
     key = lambda i: F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(i))))
     keyed = reps.select("id", F.posexplode(F.array(*[key(i) for i in range(KEYS)])).alias("k", "key"))
     first = keyed.groupBy("k", "key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1")
     led = keyed.join(first, ["k", "key"]).groupBy("id").agg(F.min("lead").alias("lead"))
-    return durable(reps.select("id", "n").join(led, "id", "left").select("id", "n", F.coalesce("lead", "id").alias("lead")))
+    return durable(reps.select("id", "n", "bins").join(led, "id", "left").select("id", "n", "bins", F.coalesce("lead", "id").alias("lead")))
 
 
 def _cut(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lead, cuts, docs) of each group, and (id, lead, part): each group in as many parts."""
+    """(lead, cuts, docs) of each group, and (id, part): each group in as many parts."""
     sizes = groups.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / PART_DOCS, F.sum("n") / PART_TOKENS)).alias("cuts"), F.count("*").alias("docs"))
     cut = F.pmod(F.xxhash64("id"), "cuts")
-    return sizes, groups.join(sizes, "lead").select("id", "lead", F.concat_ws(".", "lead", cut).alias("part"))
+    return sizes, groups.select("id", "lead").join(sizes, "lead").select("id", F.concat_ws(".", "lead", cut).alias("part"))
+
+
+def _pack(found: DataFrame, k: int) -> DataFrame:
+    """(part, ids, ends, tokens): the whole sets of a part's classes one after another."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.tobytes() for _, some in shingle_sets(texts(batch.column("text")), k) for x in some]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(sets, pa.binary())], ["id", "part", "tokens"])
+
+    return _packed(found.select("id", "part", "text").mapInArrow(make, "id long, part string, tokens binary"))
+
+
+def _packed(sets: DataFrame) -> DataFrame:
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id").drop_duplicates("id")
+        ends = np.cumsum([len(x) // 8 for x in frame["tokens"]], dtype=np.int64)
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "ends": [ends.tobytes()], "tokens": [b"".join(frame["tokens"])]})
 
-def _within(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parts of groups of more than one class; each with itself and with the first of its group."""
-    sizes, parts = _cut(groups)
-    more = sizes.where("docs > 1").select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("c"))
-    own = F.concat_ws(".", "lead", "c")
-    pairs = more.select(own.alias("a"), own.alias("b")).union(more.where("c > 0").select(F.concat_ws(".", "lead", F.lit(0)), own))
-    return parts, pairs
+    return sets.groupBy("part").applyInPandas(pack, "part string, ids binary, ends binary, tokens binary")
 
 
-def _across(held: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parts of groups that share a row of the matrix."""
-    sizes, parts = _cut(groups)
+_FIELDS = ("ids", "ends", "tokens")
+
+
+def _side(packed: DataFrame, x: str) -> DataFrame:
+    return packed.select(F.col("part").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in _FIELDS])
+
+
+def _within(packed: DataFrame, cuts: DataFrame) -> list[DataFrame]:
+    """Parts to compare: each with itself, and with the first of its group."""
+    own = packed.where("length(ids) > 8").select(*[F.col(c).alias(f"a_{c}") for c in _FIELDS], *[F.lit(None).cast("binary").alias(f"b_{c}") for c in _FIELDS])
+    more = cuts.where("cuts > 1").select("lead", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cuts") - 1)).alias("c"))
+    pairs = more.select(F.concat_ws(".", "lead", F.lit(0)).alias("a"), F.concat_ws(".", "lead", "c").alias("b"))
+    return [own, pairs.join(_side(packed, "a"), "a").join(_side(packed, "b"), "b").select(*own.columns)]
+
+
+def _across(packed: DataFrame, held: DataFrame, groups: DataFrame, percent: int) -> list[DataFrame]:
+    """Parts of groups that share a row of the matrix and whose bins allow a link."""
     matrix = held.join(groups.select("id", "lead"), "id").select("token", "lead").distinct()
     common = matrix.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
     rows = durable(matrix.join(common, "token"))
-    pairs = (
-        rows.select("token", F.col("lead").alias("a"))
-        .join(rows.select("token", F.col("lead").alias("b")), "token")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
+    pairs = rows.select("token", F.col("lead").alias("a")).join(rows.select("token", F.col("lead").alias("b")), "token").where("a < b").select("a", "b").distinct()
+    most = groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins"))
+    side = lambda x: most.select(F.col("lead").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "bins")])
+    bound = F.expr("aggregate(zip_with(a_bins, b_bins, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    allowed = (100 * bound >= percent * F.greatest("a_low", "b_low")) & (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
+    pairs = durable(pairs.join(side("a"), "a").join(side("b"), "b").where(allowed).select("a", "b"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("lead")).distinct()
+    sizes, parts = _cut(groups.join(used, "lead", "left_semi"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = _Part(row["ids"], row["ends"], row["tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array([x.tobytes() for _, x in part.each()], pa.binary())], ["id", "tokens"])
+
+    sets = packed.select(*_FIELDS).mapInArrow(unpack, "id long, tokens binary")
+    again = durable(_packed(sets.join(parts, "id").select("id", "part", "tokens")))
     each = lambda x: sizes.select(F.col("lead").alias(x), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias(f"{x}_cut"))
     named = lambda x: F.concat_ws(".", x, f"{x}_cut").alias(x)
-    return parts, pairs.join(each("a"), "a").join(each("b"), "b").select(named("a"), named("b"))
+    pairs = pairs.join(each("a"), "a").join(each("b"), "b").select(named("a"), named("b"))
+    both = pairs.join(_side(again, "a"), "a").join(_side(again, "b"), "b")
+    return [both.select(*[f"{x}_{c}" for x in "ab" for c in _FIELDS])]
 
 
 class _Part:
@@ -181,8 +209,11 @@ class _Part:
         self.ends = np.frombuffer(ends, np.int64)
         self.tokens = np.frombuffer(tokens, np.uint64)
         self.sizes = np.diff(self.ends, prepend=0)
+
+    def united(self) -> _Part:
         self.union, self.place = np.unique(self.tokens, return_inverse=True)
         self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+        return self
 
     def each(self) -> Iterator[tuple[int, np.ndarray]]:
         start = 0
@@ -208,20 +239,8 @@ def _top(root: dict[int, int], x: int) -> int:
     return x
 
 
-def _open(whole: DataFrame, parts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _settle(pairs: list[DataFrame], percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links found in each pair of parts."""
-    pairs = durable(pairs)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("part")).distinct()
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id").drop_duplicates("id")
-        ends = np.cumsum([len(x) // 8 for x in frame["tokens"]], dtype=np.int64)
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "ends": [ends.tobytes()], "tokens": [b"".join(frame["tokens"])]})
-
-    packed = whole.join(parts.join(used, "part").select("id", "part"), "id").groupBy("part").applyInPandas(pack, "part string, ids binary, ends binary, tokens binary")
-    own = pairs.where("a = b").select("a").join(packed, F.col("a") == F.col("part")).select(*[F.col(c).alias(f"a_{c}") for c in ("ids", "ends", "tokens")], *[F.lit(None).cast("binary").alias(f"b_{c}") for c in ("ids", "ends", "tokens")])
-    side = lambda x: packed.select(F.col("part").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "ends", "tokens")])
-    both = pairs.where("a < b").join(side("a"), "a").join(side("b"), "b").select(*own.columns)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,6 +251,7 @@ def _open(whole: DataFrame, parts: DataFrame, pairs: DataFrame, percent: int) ->
                 two = one if same else _Part(row["b_ids"], row["b_ends"], row["b_tokens"])
                 if not same and len(one.ids) > len(two.ids):
                     one, two = two, one
+                two.united()
                 root: dict[int, int] = {}
                 for i, query in one.each():
                     size = len(query)
@@ -247,5 +267,5 @@ def _open(whole: DataFrame, parts: DataFrame, pairs: DataFrame, percent: int) ->
                             b.append(min(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    schema = "a long, b long"
-    return own.mapInArrow(settle, schema).union(both.mapInArrow(settle, schema))
+    found = [x.mapInArrow(settle, "a long, b long") for x in pairs]
+    return found[0].union(found[1]) if len(found) > 1 else found[0]

@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import durable
-from lexforge.llm.shingles import mixed, texts
+from lexforge.llm.words import mixed, powers, texts
 
 KMER = 48
 PIECE = 1 << 19
 SHARD_BYTES = 2_000_000
-_BASE = 0x9E3779B97F4A7C15
 _PLACE = (1 << 24) - 1
 
 
@@ -97,22 +96,17 @@ def _merged(lists: list[list[int]]) -> list[tuple[int, int]]:
 
 
 @lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, their inverses, and a number for each byte."""
-    n = PIECE + 4096
-    up, down = np.ones(n, dtype=np.uint64), np.ones(n, dtype=np.uint64)
-    up[1:] = np.multiply.accumulate(np.full(n - 1, _BASE, dtype=np.uint64))
-    down[1:] = np.multiply.accumulate(np.full(n - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
-    return up, down, mixed(np.arange(1, 257, dtype=np.uint64))
+def _bytes() -> np.ndarray:
+    return mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place where a string of ``length`` bytes starts, what its anchor has (equal at two
     places only if the anchor is the same one), and the hash of the substring at each place."""
-    up, down, byte = _powers()
+    up, down = powers(PIECE + 4096)
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(byte[data] * up[:n], out=total[1:])
+    np.cumsum(_bytes()[data] * up[:n], out=total[1:])
     m = n - KMER + 1
     full = mixed((total[KMER:] - total[:m]) * down[:m])
     low = (full & ~np.uint64(_PLACE)) | np.arange(m, dtype=np.uint64)

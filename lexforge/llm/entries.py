@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import table
+from lexforge.llm.byte_bpe import encoded_digests
 from lexforge.llm.embedding_dedup import near_duplicates
 from lexforge.llm.jaccard_join import jaccard_components
 from lexforge.llm.suffix_dedup import remove_repeats
@@ -33,8 +36,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_dedup, op4_suffix_array_dedup, op5_jaccard_join)}
+    return {f.__name__: f for f in (op1_cover_tree_dedup, op4_suffix_array_dedup, op5_jaccard_join, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,8 @@ from lexforge.llm._shared import table
 from lexforge.llm.byte_bpe import encoded_digests
 from lexforge.llm.embedding_dedup import near_duplicates
 from lexforge.llm.jaccard_join import jaccard_components
+from lexforge.llm.private_data import KINDS, find_private, spans_text
+from lexforge.llm.source_mixture import mixture_report
 from lexforge.llm.suffix_dedup import remove_repeats
 
 
@@ -41,8 +43,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "extra")).alias("spans"))
+
+
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_dedup, op4_suffix_array_dedup, op5_jaccard_join, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_cover_tree_dedup, op4_suffix_array_dedup, op5_jaccard_join, op7_byte_bpe, op9_private_data, op10_source_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,15 @@
 """Jaccard similarity join of whole texts by a token-group matrix.
 
 1. Documents with equal shingle sets are one class, which its smallest id stands for.
-2. A first scan counts shingles in a fixed number of buckets. The counts only order shingles, rare
-   ones first; by that order a prefix of each set is taken that any linked set must meet. A class
-   none of whose prefix shingles is in another's prefix is alone. The others' whole sets are made.
-3. Classes whose prefixes agree under one of a few min-hashes form a group, which is cut where it
-   would be large. Each part is compared in itself and with the first part of its group. What that
-   connects is one group from now on, however large: links inside it are of no more interest.
+2. A first scan counts words in a fixed number of buckets. The counts only order shingles, those
+   of rare words first; by that order a prefix of each set is taken that any linked set must meet.
+   A class none of whose prefix shingles is in another's prefix is alone.
+3. Classes whose prefixes agree under one of a few min-hashes form a group if a bound allows a link
+   with its first class: counts of shingles in a few bins bound any overlap. Whole sets are made
+   again only for groups of several classes and for groups that such bounds do not keep apart. A
+   group is cut where it would be large; each part is compared in itself and with the first part.
+   What that connects is one group from now on, however large: links inside it are of no more
+   interest.
 4. The matrix has a row (shingle, group) for each shingle in the union of the group's prefixes, so
    a group of thousands of near copies counts once for each shingle. Groups that share a shingle
    are a candidate pair.
@@ -23,14 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import components, durable
-from lexforge.llm.words import shingle_sets, texts
+from lexforge.llm.words import shingle_sets, texts, word_numbers
 
 BUCKETS = 1 << 16
 KEYS = 4
@@ -50,17 +52,17 @@ def jaccard_components(
     repeat an id are one document; a row without an id has no component. Other columns are ignored.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = _bucket_counts(docs, k)
-    sets = durable(_prefixes(docs, k, percent, order))
+    sets = durable(_prefixes(docs, k, percent, _word_loads(docs)))
     some = sets.where("id is not null and n > 0")
     reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")))
     held = durable(_shared_tokens(reps))
-    near = _groups(reps.join(held.select("id").distinct(), "id", "left_semi"))
-    cuts, parts = _cut(near)
+    near = _groups(reps.join(held.select("id").distinct(), "id", "left_semi"), percent)
+    wanted = durable(_not_alone(held, near, percent))
+    cuts, parts = _cut(wanted)
     packed = durable(_pack(docs.join(parts, "id"), k))
     first = durable(_settle(_within(packed, cuts), percent))
     merged = components(first).withColumnRenamed("node", "id")
-    groups = durable(near.select("id", "n", "bins").join(merged, "id", "left").select("id", "n", "bins", F.coalesce("root", "id").alias("lead")))
+    groups = durable(wanted.select("id", "n", "bins").join(merged, "id", "left").select("id", "n", "bins", F.coalesce("root", "id").alias("lead")))
     second = durable(_settle(_across(packed, held, groups, percent), percent))
     roots = components(first.union(second))
     classes = reps.select("s1", "s2", F.col("id").alias("node")).join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
@@ -71,37 +73,37 @@ def jaccard_components(
     )
 
 
-def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of all documents counted in BUCKETS buckets: what the driver gets never grows."""
+def _word_loads(docs: DataFrame) -> np.ndarray:
+    """Logarithms of word counts in BUCKETS buckets: what the driver gets never grows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, sets in shingle_sets(texts(batch.column(0)), k):
-                total += np.bincount((np.concatenate(sets) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            for _, _, found in word_numbers(texts(batch.column(0))):
+                total += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["bucket", "n"])
 
     rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    out = np.zeros(BUCKETS)
+    out[rows["bucket"].to_numpy(dtype=np.int64)] = np.log(rows["n"].to_numpy(dtype=np.float64))
     return out
 
 
-def _row(tokens: np.ndarray, percent: int, order: np.ndarray) -> tuple:
+def _row(tokens: np.ndarray, load: np.ndarray, percent: int) -> tuple:
     """Size, 128 bits that stand for the set, its prefix and how many shingles fall in each bin."""
-    size, bucket = len(tokens), (tokens >> np.uint64(48)).astype(np.int64)
+    size = len(tokens)
     long = xxhash.xxh3_128_intdigest(tokens.tobytes())
     reach = size - (percent * size + 99) // 100 + 1
-    rare = np.argsort(order[bucket], kind="stable")[:reach]
+    rare = np.argsort(load, kind="stable")[:reach]
     bins = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32)
     return size, (long >> 64) - (1 << 63), (long & ((1 << 64) - 1)) - (1 << 63), tokens[rare].view(np.int64), bins
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, weight: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_row(tokens, percent, order) for _, sets in shingle_sets(texts(batch.column("text")), k) for tokens in sets]
+            rows = [_row(x, load, percent) for _, sets, loads in shingle_sets(texts(batch.column("text")), k, weight) for x, load in zip(sets, loads, strict=True)]
             n, s1, s2, prefixes, hist = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
@@ -121,15 +123,46 @@ def _shared_tokens(reps: DataFrame) -> DataFrame:
     return rows.join(common, "token").select("id", "token")
 
 
-def _groups(reps: DataFrame) -> DataFrame:
-    """(id, n, lead): classes with like prefixes get the same lead."""
+def _side_bins(groups: DataFrame, x: str) -> DataFrame:
+    return groups.select(F.col("lead").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "bins")])
+
+
+def _allowed(percent: int):
+    """Whether sizes and bins of two groups, a and b, leave room for a link."""
+    bound = F.expr("aggregate(zip_with(a_bins, b_bins, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    sizes = (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
+    return sizes & (100 * bound >= percent * F.greatest("a_low", "b_low"))
+
+
+def _groups(reps: DataFrame, percent: int) -> DataFrame:
+    """(id, n, bins, lead): classes with like prefixes that a link may join get the same lead."""
     key = lambda i: F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(i))))
-    keyed = reps.select("id", F.posexplode(F.array(*[key(i) for i in range(KEYS)])).alias("k", "key"))
-    first = keyed.groupBy("k", "key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1")
-    led = keyed.join(first, ["k", "key"]).groupBy("id").agg(F.min("lead").alias("lead"))
+    each = F.posexplode(F.array(*[key(i) for i in range(KEYS)])).alias("k", "key")
+    own = [F.col("n").alias(x) for x in ("b_low", "b_high")]
+    keyed = reps.select("id", F.col("bins").alias("b_bins"), *own, each)
+    first = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "b_low", "b_bins")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    first = first.select("k", "key", F.col("x.id").alias("lead"), F.col("x.b_low").alias("a_low"), F.col("x.b_low").alias("a_high"), F.col("x.b_bins").alias("a_bins"))
+    led = keyed.join(first, ["k", "key"]).where(_allowed(percent)).groupBy("id").agg(F.min("lead").alias("lead"))
     return durable(reps.select("id", "n", "bins").join(led, "id", "left").select("id", "n", "bins", F.coalesce("lead", "id").alias("lead")))
 
 
+def _candidates(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: groups that share a row of the matrix and whose sizes and bins allow a link."""
+    matrix = held.join(groups.select("id", "lead"), "id").select("token", "lead").distinct()
+    common = matrix.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
+    rows = durable(matrix.join(common, "token"))
+    pairs = rows.select("token", F.col("lead").alias("a")).join(rows.select("token", F.col("lead").alias("b")), "token").where("a < b").select("a", "b").distinct()
+    most = groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins"))
+    return durable(pairs.join(_side_bins(most, "a"), "a").join(_side_bins(most, "b"), "b").where(_allowed(percent)).select("a", "b"))
+
+
+def _not_alone(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The classes of groups that hold several, or are in a candidate pair."""
+    paired = _candidates(held, groups, percent).select(F.explode(F.array("a", "b")).alias("lead"))
+    several = groups.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
+    return groups.join(paired.union(several).distinct(), "lead", "left_semi")
+
+
 def _cut(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lead, cuts, docs) of each group, and (id, part): each group in as many parts."""
     sizes = groups.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / PART_DOCS, F.sum("n") / PART_TOKENS)).alias("cuts"), F.count("*").alias("docs"))
@@ -142,19 +175,36 @@ def _pack(found: DataFrame, k: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x.tobytes() for _, some in shingle_sets(texts(batch.column("text")), k) for x in some]
+            sets = [x.tobytes() for _, some, _ in shingle_sets(texts(batch.column("text")), k) for x in some]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(sets, pa.binary())], ["id", "part", "tokens"])
 
     return _packed(found.select("id", "part", "text").mapInArrow(make, "id long, part string, tokens binary"))
 
 
 def _packed(sets: DataFrame) -> DataFrame:
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id").drop_duplicates("id")
-        ends = np.cumsum([len(x) // 8 for x in frame["tokens"]], dtype=np.int64)
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "ends": [ends.tobytes()], "tokens": [b"".join(frame["tokens"])]})
+    """Rows of a part come one after another after a sort; a row goes out where the next part begins."""
+
+    def row(part: str, ids: list[int], tokens: list[bytes]) -> pa.RecordBatch:
+        ends = np.cumsum([len(x) // 8 for x in tokens], dtype=np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part]), *[pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), ends.tobytes(), b"".join(tokens))]], ["part", *_FIELDS]
+        )
 
-    return sets.groupBy("part").applyInPandas(pack, "part string, ids binary, ends binary, tokens binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, tokens = None, [], []
+        for batch in batches:
+            for part, i, x in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "tokens")), strict=True):
+                if part != now and ids:
+                    yield row(now, ids, tokens)
+                    ids, tokens = [], []
+                if not ids or ids[-1] != i:
+                    ids.append(i)
+                    tokens.append(x)
+                now = part
+        if ids:
+            yield row(now, ids, tokens)
+
+    return sets.repartition("part").sortWithinPartitions("part", "id").mapInArrow(pack, "part string, ids binary, ends binary, tokens binary")
 
 
 _FIELDS = ("ids", "ends", "tokens")
@@ -174,15 +224,7 @@ def _within(packed: DataFrame, cuts: DataFrame) -> list[DataFrame]:
 
 def _across(packed: DataFrame, held: DataFrame, groups: DataFrame, percent: int) -> list[DataFrame]:
     """Parts of groups that share a row of the matrix and whose bins allow a link."""
-    matrix = held.join(groups.select("id", "lead"), "id").select("token", "lead").distinct()
-    common = matrix.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
-    rows = durable(matrix.join(common, "token"))
-    pairs = rows.select("token", F.col("lead").alias("a")).join(rows.select("token", F.col("lead").alias("b")), "token").where("a < b").select("a", "b").distinct()
-    most = groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins"))
-    side = lambda x: most.select(F.col("lead").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "bins")])
-    bound = F.expr("aggregate(zip_with(a_bins, b_bins, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    allowed = (100 * bound >= percent * F.greatest("a_low", "b_low")) & (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
-    pairs = durable(pairs.join(side("a"), "a").join(side("b"), "b").where(allowed).select("a", "b"))
+    pairs = _candidates(held, groups, percent)
     used = pairs.select(F.explode(F.array("a", "b")).alias("lead")).distinct()
     sizes, parts = _cut(groups.join(used, "lead", "left_semi"))
 

@@ -79,28 +79,47 @@ def word_numbers(column: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarr
         yield first, counts, found
 
 
-def shingle_sets(column: Sequence[bytes | None], k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def shingle_sets(column: Sequence[bytes | None], k: int, weight: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray] | None]]:
     """For runs of texts: the first one's index, and each one's distinct ``k``-word shingles, ascending.
 
-    A text of fewer words is one shingle; one without words has none.
+    A text of fewer words is one shingle; one without words has none. ``weight`` has a number for
+    the first 16 bits of a word's number; then the last item has the sum of its words' for each shingle.
     """
     steps = [np.uint64(pow(_BASE, 2 * i + 3, 1 << 64)) for i in range(k)]
     for first, counts, found in word_numbers(column):
-        whole = mixed(sum((found[i : len(found) - k + 1 + i] * steps[i] ^ found[i : len(found) - k + 1 + i] >> np.uint64(31) for i in range(k)), start=np.uint64(k))) if len(found) >= k else found[:0]
-        out, at = [], 0
+        m = max(0, len(found) - k + 1)
+        whole = np.full(m, k, dtype=np.uint64)
+        load = np.zeros(m)
+        each = None if weight is None else weight[(found >> np.uint64(48)).astype(np.int64)]
+        for i in range(k if m else 0):
+            x = found[i : m + i]
+            whole += x * steps[i] ^ x >> np.uint64(31)
+            if each is not None:
+                load += each[i : m + i]
+        whole = mixed(whole)
+        sets, loads, at = [], [], 0
         for n in counts.tolist():
             if n >= k:
-                x = np.sort(whole[at : at + n - k + 1])
+                x = whole[at : at + n - k + 1]
+                if each is None:
+                    x = np.sort(x)
+                else:
+                    by = np.argsort(x)
+                    x = x[by]
                 keep = np.empty(len(x), dtype=bool)
                 keep[0] = True
                 np.not_equal(x[1:], x[:-1], out=keep[1:])
-                out.append(x[keep])
+                sets.append(x[keep])
+                if each is not None:
+                    loads.append(load[at : at + n - k + 1][by[keep]])
             elif n:
                 total = np.full(1, n, dtype=np.uint64)
                 for i in range(n):
                     total = mixed(total * steps[i] + found[at + i])
-                out.append(total)
+                sets.append(total)
+                loads.append(np.zeros(1))
             else:
-                out.append(found[:0])
+                sets.append(found[:0])
+                loads.append(np.zeros(0))
             at += n
-        yield first, out
+        yield first, sets, loads if each is not None else None

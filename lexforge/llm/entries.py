@@ -14,14 +14,25 @@ from lexforge.llm.byte_bpe import encoded_digests
 from lexforge.llm.embedding_dedup import near_duplicates
 from lexforge.llm.jaccard_join import jaccard_components
 from lexforge.llm.private_data import KINDS, find_private, spans_text
+from lexforge.llm.quality_classifier import score_quality
+from lexforge.llm.quality_rules import judge
 from lexforge.llm.source_mixture import mixture_report
 from lexforge.llm.suffix_dedup import remove_repeats
+from lexforge.llm.toxicity import score_toxicity
 
 
 def op1_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.to - x.from)")
@@ -38,6 +49,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
     return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -54,7 +69,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_dedup, op4_suffix_array_dedup, op5_jaccard_join, op7_byte_bpe, op9_private_data, op10_source_mixture)}
+    return {f.__name__: f for f in (op1_cover_tree_dedup, op2_toxicity, op3_host_rules, op4_suffix_array_dedup, op5_jaccard_join, op6_quality_classifier, op7_byte_bpe, op9_private_data, op10_source_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:

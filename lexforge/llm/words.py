@@ -62,8 +62,11 @@ def pieces(column: Sequence[bytes | None]) -> Iterator[tuple[int, bytes, np.ndar
         yield first, b" ".join(got), np.cumsum([0, *(len(t) + 1 for t in got[:-1])])
 
 
-def word_numbers(column: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of texts: the first one's index, the words of each, and all words' numbers in order."""
+def word_numbers(column: Sequence[bytes | None], head: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first one's index, the words of each, and all words' numbers in order.
+
+    With ``head``, each word is followed by the number of its first ``head`` bytes, or of itself.
+    """
     numbers, white = _bytes()
     for first, raw, begins in pieces(column):
         data = np.frombuffer(raw, np.uint8)
@@ -76,6 +79,10 @@ def word_numbers(column: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarr
         np.cumsum(numbers[data] * up[: len(data)], out=total[1:])
         found = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
         counts = np.diff(np.searchsorted(start, np.append(begins, len(data) + 1)))
+        if head:
+            short = np.minimum(end - start, head)
+            heads = mixed((total[start + short] - total[start]) * down[start] + np.uint64(1 << 20))
+            found, counts = np.column_stack([found, heads]).ravel(), 2 * counts
         yield first, counts, found
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,21 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where none is
     named (a local test session) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: under that of the checkpoints."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm._shared import table
+from lexforge.llm._shared import shared_path, table
 from lexforge.llm.byte_bpe import encoded_digests
 from lexforge.llm.embedding_dedup import near_duplicates
 from lexforge.llm.jaccard_join import jaccard_components
@@ -19,6 +19,7 @@ from lexforge.llm.quality_rules import judge
 from lexforge.llm.source_mixture import mixture_report
 from lexforge.llm.suffix_dedup import remove_repeats
 from lexforge.llm.toxicity import score_toxicity
+from lexforge.llm.warc import assemble, read_records, resolve, write_warc
 
 
 def op1_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return resolve(assemble(read_records(spark, path, payloads=False)))
+
+
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(table(spark, sf_dir, "documents"))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -69,7 +76,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_dedup, op2_toxicity, op3_host_rules, op4_suffix_array_dedup, op5_jaccard_join, op6_quality_classifier, op7_byte_bpe, op9_private_data, op10_source_mixture)}
+    return {f.__name__: f for f in (op1_cover_tree_dedup, op2_toxicity, op3_host_rules, op4_suffix_array_dedup, op5_jaccard_join, op6_quality_classifier, op7_byte_bpe, op8_warc_transactions, op9_private_data, op10_source_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,17 +1,71 @@
-"""The corpus pipeline: stages that each apply one operator of the training-data package."""
+"""The corpus pipeline: each stage applies one operator of the training-data package to what is left.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. ``run`` writes each result as Parquet and reads it again as the next
+one's documents.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexforge.llm._shared import shared_path, table
+from lexforge.llm.byte_bpe import encode
+from lexforge.llm.jaccard_join import jaccard_components
+from lexforge.llm.private_data import redact
+from lexforge.llm.quality_classifier import score_quality
+from lexforge.llm.source_mixture import mixed_documents
+
+#: Near-duplicate documents share this percentage of their distinct five-word shingles.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    rejected = scored.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that near-duplicate links connect: the one of smallest id."""
+    found = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mixture of sources takes of the documents, repeats as further rows."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, as little-endian unsigned 32-bit numbers, and their count."""
+    ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    there = encode(docs, ranks, public_tokenizers.PATTERN)
+    return there.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
 
-STAGES: list = []
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("PII", private_data), ("source mixture", mixture), ("byte-level BPE", tokens)]
 
-#: SQL cannot express the fitted classifier, the min-hash groups or the pseudorandom mixture.
+#: SQL cannot express the fitted classifier or the pseudorandom mixture.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = shared_path(spark, f"pipeline-{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

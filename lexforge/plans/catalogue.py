@@ -2,14 +2,152 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexforge.functions import keys, ngrams, normalize, phonetics, segments, stemmers
+from lexforge.functions.lexer import word_tokens
+from lexforge.functions.tokenizer import WordTokenizer, is_junk, starts_with_vowel
+from lexforge.operators import tables
+from lexforge.plans import golden, oracles
+from lexforge.sources import names
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+STOPWORDS = ("the", "of", "and", "de", "la", "der", "die", "que", "en")
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tokens(tokenizer: WordTokenizer | None = None, simple: bool = False) -> Query:
+    return lambda spark, d: tables.explode_tokens(_table(spark, d, "documents"), tokenizer=tokenizer, simple=simple)
+
+
+def _counted(query: Query, *by: str) -> Query:
+    return lambda spark, d: query(spark, d).groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def _words(name: str, f: Callable[[str], Column]) -> Query:
+    """A function of words over the vocabulary of the documents."""
+    return lambda spark, d: tables.vocabulary(_table(spark, d, "documents")).select("word", f("word").alias(name))
+
+
+def _texts(name: str, f: Callable[[str], Column]) -> Query:
+    return lambda spark, d: _table(spark, d, "documents").select("doc_id", f("text").alias(name))
+
+
+def _parts(name: str, f: Callable[[str], Column]) -> Query:
+    return lambda spark, d: _table(spark, d, "part").select("p_partkey", f("p_name").alias(name))
+
+
+def _grams(make: Callable[[Column], Column]) -> Query:
+    """Grams of the words of part names, a row each."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        grams = F.transform(make(F.split("p_name", " ")), lambda g: F.array_join(g, " "))
+        return _table(spark, d, "part").select("p_partkey", F.posexplode(grams).alias("pos", "gram"))
+
+    return query
+
+
+def _lens(spark: SparkSession, d: str) -> DataFrame:
+    size = F.size(F.split("p_name", " "))
+    some = {f"n{n}": ngrams.ngrams_len(size, n) for n in (1, 2, 5, 6, 9)} | {"r1_4": ngrams.ngrams_range_len(size, 1, 4), "r7_8": ngrams.ngrams_range_len(size, 7, 8)}
+    return _table(spark, d, "part").select("p_partkey", *[c.cast("long").alias(k) for k, c in some.items()])
+
+
+def _golden(cases: dict, f: Callable[[str], Column], kind: str = "string") -> Query:
+    """(input, output) for cases; an array gives a row per item with its place."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "number int, input string")
+        if kind == "array":
+            return df.select("number", F.posexplode(f("input")).alias("pos", "output"))
+        return df.select("number", f("input").alias("output"))
+
+    return query
+
+
+def _golden_tokens(spark: SparkSession, d: str) -> DataFrame:
+    df = spark.createDataFrame([(i, t) for i, t, _ in golden.token_rows()], "number int, input string")
+    return df.select("number", F.posexplode(word_tokens("input")).alias("pos", "t")).select("number", "pos", "t.kind", "t.text")
+
+
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    """Part names through a CSV file and back."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{folder}/names-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    _table(spark, d, "part").select("p_name", F.col("p_partkey").cast("string").alias("p_partkey")).write.option("header", True).mode("overwrite").csv(f"{path}-in")
+    names.encode_csv(spark, f"{path}-in", f"{path}-out")
+    return names.read_csv(spark, f"{path}-out")
+
+
+def _pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return tables.segmented(_table(spark, d, "documents")).groupBy("doc_id", "par", "sent").agg(F.count("*").alias("n_tokens"))
+
+
+_PLAIN = WordTokenizer()
+
+QUERIES: dict[str, Query] = {
+    "simple_tokens": _tokens(simple=True),
+    "simple_token_counts": _counted(_tokens(WordTokenizer().stopwords(STOPWORDS).min_token_chars(3), simple=True), "text"),
+    "word_tokens_docs": _tokens(),
+    "word_tokens_golden": _golden_tokens,
+    "token_kind_counts": _counted(_tokens(), "kind"),
+    "tokens_blacklist": _counted(_tokens(_PLAIN.kind_blacklist(["punct", "number"])), "doc_id"),
+    "tokens_whitelist": _counted(_tokens(_PLAIN.kind_whitelist(["number", "mention"])), "kind", "text"),
+    "tokens_min_max": _counted(_tokens(_PLAIN.min_token_chars(4).max_token_chars(7)), "doc_id"),
+    "tokens_stopwords": _counted(_tokens(_PLAIN.stopwords(STOPWORDS)), "doc_id"),
+    "tokens_no_junk": _counted(_tokens(_PLAIN.filter_junk()), "doc_id"),
+    "junk_words": lambda spark, d: tables.vocabulary(_table(spark, d, "documents")).select("word", is_junk("word").alias("junk"), starts_with_vowel("word").alias("vowel")),
+    "junk_golden": _golden(golden.JUNK, is_junk),
+    "ngrams_2": _grams(lambda t: ngrams.ngrams(t, 2)),
+    "ngrams_3": _grams(lambda t: ngrams.ngrams(t, 3)),
+    "ngrams_short": _grams(lambda t: ngrams.ngrams(t, 9)),
+    "ngrams_range_1_3": _grams(lambda t: ngrams.ngrams_range(t, 1, 3)),
+    "ngrams_len": _lens,
+    "paragraphs": lambda spark, d: tables.explode_paragraphs(_table(spark, d, "documents")),
+    "paragraphs_lines": lambda spark, d: tables.explode_paragraphs(_table(spark, d, "documents"), aerated=False),
+    "paragraphs_golden": _golden({k: v[0] for k, v in golden.PARAGRAPHS.items()}, segments.split_paragraphs, "array"),
+    "paragraphs_lines_golden": _golden({k: v[1] for k, v in golden.PARAGRAPHS.items()}, lambda c: segments.split_paragraphs(c, False), "array"),
+    "sentences": lambda spark, d: tables.explode_sentences(_table(spark, d, "documents")),
+    "sentences_golden": _golden(golden.SENTENCES, segments.split_sentences, "array"),
+    "hashtag_parts_golden": _golden(golden.HASHTAGS, lambda c: F.array_join(segments.split_hashtag(c), " ")),
+    "fingerprint_key": _parts("fingerprint", keys.fingerprint),
+    "fingerprint_tokens": lambda spark, d: _table(spark, d, "documents").select("doc_id", F.posexplode(keys.fingerprint_tokens("text")).alias("pos", "token")),
+    "fingerprint_golden": _golden(golden.FINGERPRINTS, keys.fingerprint),
+    "omission_key": _words("omission_key", keys.omission_key),
+    "omission_golden": _golden(golden.OMISSION, keys.omission_key),
+    "soundex": _words("soundex", phonetics.soundex),
+    "soundex_golden": _golden(golden.SOUNDEX, phonetics.soundex),
+    "refined_soundex": _words("refined_soundex", phonetics.refined_soundex),
+    "refined_soundex_golden": _golden(golden.REFINED, phonetics.refined_soundex),
+    "phonogram": _words("phonogram", phonetics.phonogram),
+    "phonogram_golden": _golden(golden.PHONOGRAM, phonetics.phonogram),
+    "csv_phonogram_roundtrip": _csv,
+    "names_phonogram": lambda spark, d: names.encode_names(spark, [n for n in golden.PHONOGRAM if n]),
+    "s_stem": _words("stem", stemmers.s_stem),
+    "s_stem_golden": _golden(golden.S_STEMS, stemmers.s_stem),
+    "porter_stem": _words("stem", stemmers.porter_stem),
+    "porter_stem_golden": _golden(golden.PORTER_STEMS, stemmers.porter_stem),
+    "carry_stem": _words("stem", stemmers.carry_stem),
+    "carry_stem_golden": _golden(golden.CARRY_STEMS, stemmers.carry_stem),
+    "stem_measure": _words("measure", lambda c: stemmers.measure(c).cast("long")),
+    "squeeze": _texts("squeezed", normalize.squeeze),
+    "reduce_lengthening": _texts("reduced", normalize.reduce_lengthening),
+    "unidecode": _words("ascii", normalize.unidecode),
+    "doc_pipeline": _pipeline,
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql(STOPWORDS)

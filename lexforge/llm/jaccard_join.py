@@ -2,21 +2,20 @@
 
 1. Documents with equal shingle sets are one class, which its smallest id stands for.
 2. A first scan counts words in a fixed number of buckets. The counts only order shingles, those
-   of rare words first; by that order a prefix of each set is taken that any linked set must meet.
-   A class none of whose prefix shingles is in another's prefix is alone.
+   of rare words first; by that order a prefix of each set is taken, so long that linked sets share
+   not one shingle of their prefixes but a number that grows with their sizes.
 3. Classes whose prefixes agree under one of a few min-hashes form a group if a bound allows a link
-   with its first class: counts of shingles in a few bins bound any overlap. Whole sets are made
-   again only for groups of several classes and for groups that such bounds do not keep apart. A
-   group is cut where it would be large; each part is compared in itself and with the first part.
-   What that connects is one group from now on, however large: links inside it are of no more
-   interest.
+   with its first class: counts of shingles in a few bins bound any overlap.
 4. The matrix has a row (shingle, group) for each shingle in the union of the group's prefixes, so
-   a group of thousands of near copies counts once for each shingle. Groups that share a shingle
-   are a candidate pair.
-5. A task gets two packed parts of a candidate pair, bounds the overlap of each query with the
-   union of the other part's sets and opens the part if the bound allows a link. Exact set sizes
-   decide.
-6. The links' spanning forests go through distributed connected components.
+   a group of thousands of near copies counts once for each shingle. Groups that share enough rows,
+   and whose sizes and bins allow a link, are a candidate pair. Whole sets are made again only for
+   groups of several classes and those in candidate pairs.
+5. A group is cut where it would be large; each part is compared in itself and with the first part.
+   What that connects is one group from now on, however large: links inside it are of no more
+   interest. The candidate pairs of these groups are compared part by part.
+6. A task gets two packed parts, bounds the overlap of each query with the union of the other
+   part's sets and opens the part if the bound allows a link. Exact set sizes decide.
+7. The links' spanning forests go through distributed connected components.
 
 No group is dropped or capped: a large group is cut into parts, and all parts are compared.
 """
@@ -28,16 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import components, durable
-from lexforge.llm.words import shingle_sets, texts, word_numbers
+from lexforge.llm.words import mixed, shingle_sets, texts, word_numbers
 
 BUCKETS = 1 << 16
 KEYS = 4
 #: A power of two.
 BINS = 32
+#: A prefix is longer than it must be by one shingle for so many of the set.
+SHARE = 40
 PART_DOCS = 256
 PART_TOKENS = 400_000
 
@@ -54,12 +56,12 @@ def jaccard_components(
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = durable(_prefixes(docs, k, percent, _word_loads(docs)))
     some = sets.where("id is not null and n > 0")
-    reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")))
+    reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "keys", "bins")]))
     held = durable(_shared_tokens(reps))
-    near = _groups(reps.join(held.select("id").distinct(), "id", "left_semi"), percent)
+    near = _groups(reps.select("id", "n", "keys", "bins").join(held.select("id").distinct(), "id", "left_semi"), percent)
     wanted = durable(_not_alone(held, near, percent))
     cuts, parts = _cut(wanted)
-    packed = durable(_pack(docs.join(parts, "id"), k))
+    packed = durable(_pack(docs, parts, k))
     first = durable(_settle(_within(packed, cuts), percent))
     merged = components(first).withColumnRenamed("node", "id")
     groups = durable(wanted.select("id", "n", "bins").join(merged, "id", "left").select("id", "n", "bins", F.coalesce("root", "id").alias("lead")))
@@ -90,30 +92,37 @@ def _word_loads(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _shared(n):
+    """How many shingles of its prefix a set of n has in common with that of any linked set, at least
+    (of two linked sets, the smaller such number)."""
+    return 1 + n // SHARE
+
+
 def _row(tokens: np.ndarray, load: np.ndarray, percent: int) -> tuple:
-    """Size, 128 bits that stand for the set, its prefix and how many shingles fall in each bin."""
+    """Size, 128 bits that stand for the set, its prefix, min-hashes and shingles in each bin."""
     size = len(tokens)
     long = xxhash.xxh3_128_intdigest(tokens.tobytes())
-    reach = size - (percent * size + 99) // 100 + 1
-    rare = np.argsort(load, kind="stable")[:reach]
+    reach = size - (percent * size + 99) // 100
+    rare = tokens[np.argsort(load, kind="stable")[: reach + _shared(size)]]
+    keys = [mixed(rare[: reach + 1] ^ np.uint64(i + 1)).min().view(np.int64) if size else 0 for i in range(KEYS)]
     bins = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32)
-    return size, (long >> 64) - (1 << 63), (long & ((1 << 64) - 1)) - (1 << 63), tokens[rare].view(np.int64), bins
+    return size, (long >> 64) - (1 << 63), (long & ((1 << 64) - 1)) - (1 << 63), rare.view(np.int64), keys, bins
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, weight: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_row(x, load, percent) for _, sets, loads in shingle_sets(texts(batch.column("text")), k, weight) for x, load in zip(sets, loads, strict=True)]
-            n, s1, s2, prefixes, hist = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+            n, s1, s2, prefixes, keys, hist = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
             bins = pa.ListArray.from_arrays(pa.array(np.arange(0, BINS * len(n) + 1, BINS), pa.int32()), pa.array(np.concatenate([*hist, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists, bins],
-                ["id", "n", "s1", "s2", "prefix", "bins"],
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists, pa.array(keys, pa.list_(pa.int64())), bins],
+                ["id", "n", "s1", "s2", "prefix", "keys", "bins"],
             )
 
-    return docs.mapInArrow(make, "id long, n long, s1 long, s2 long, prefix array<long>, bins array<int>")
+    return docs.mapInArrow(make, "id long, n long, s1 long, s2 long, prefix array<long>, keys array<long>, bins array<int>")
 
 
 def _shared_tokens(reps: DataFrame) -> DataFrame:
@@ -136,8 +145,7 @@ def _allowed(percent: int):
 
 def _groups(reps: DataFrame, percent: int) -> DataFrame:
     """(id, n, bins, lead): classes with like prefixes that a link may join get the same lead."""
-    key = lambda i: F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(i))))
-    each = F.posexplode(F.array(*[key(i) for i in range(KEYS)])).alias("k", "key")
+    each = F.posexplode("keys").alias("k", "key")
     own = [F.col("n").alias(x) for x in ("b_low", "b_high")]
     keyed = reps.select("id", F.col("bins").alias("b_bins"), *own, each)
     first = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "b_low", "b_bins")).alias("x"), F.count("*").alias("c")).where("c > 1")
@@ -147,13 +155,14 @@ def _groups(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: groups that share a row of the matrix and whose sizes and bins allow a link."""
+    """(a, b), a < b: groups that share enough rows of the matrix and whose sizes and bins allow a link."""
     matrix = held.join(groups.select("id", "lead"), "id").select("token", "lead").distinct()
     common = matrix.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
     rows = durable(matrix.join(common, "token"))
-    pairs = rows.select("token", F.col("lead").alias("a")).join(rows.select("token", F.col("lead").alias("b")), "token").where("a < b").select("a", "b").distinct()
+    pairs = rows.select("token", F.col("lead").alias("a")).join(rows.select("token", F.col("lead").alias("b")), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     most = groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins"))
-    return durable(pairs.join(_side_bins(most, "a"), "a").join(_side_bins(most, "b"), "b").where(_allowed(percent)).select("a", "b"))
+    enough = F.col("both") >= 1 + F.floor(F.least("a_low", "b_low") / SHARE)
+    return durable(pairs.join(_side_bins(most, "a"), "a").join(_side_bins(most, "b"), "b").where(enough & _allowed(percent)).select("a", "b"))
 
 
 def _not_alone(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -164,47 +173,57 @@ def _not_alone(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _cut(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lead, cuts, docs) of each group, and (id, part): each group in as many parts."""
+    """(lead, cuts, docs) of each group, and (id, part, split): each group in as many parts."""
     sizes = groups.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / PART_DOCS, F.sum("n") / PART_TOKENS)).alias("cuts"), F.count("*").alias("docs"))
     cut = F.pmod(F.xxhash64("id"), "cuts")
-    return sizes, groups.select("id", "lead").join(sizes, "lead").select("id", F.concat_ws(".", "lead", cut).alias("part"))
+    return sizes, groups.select("id", "lead").join(sizes, "lead").select("id", F.concat_ws(".", "lead", cut).alias("part"), (F.col("cuts") > 1).alias("split"))
 
 
-def _pack(found: DataFrame, k: int) -> DataFrame:
-    """(part, ids, ends, tokens): the whole sets of a part's classes one after another."""
+def _pack(docs: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(part, split, ids, ends, tokens): the whole sets of a part's classes one after another.
+
+    Texts are compressed for the shuffle that brings them to their parts.
+    """
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([press(t or b"") for t in texts(batch.column("text"))], pa.binary())], ["id", "small"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sets = [x.tobytes() for _, some, _ in shingle_sets(texts(batch.column("text")), k) for x in some]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(sets, pa.binary())], ["id", "part", "tokens"])
+            column = [whole(t) for t in batch.column("small").to_pylist()]
+            sets = [x.tobytes() for _, some, _ in shingle_sets(column, k) for x in some]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("split"), pa.array(sets, pa.binary())], ["id", "part", "split", "tokens"])
 
-    return _packed(found.select("id", "part", "text").mapInArrow(make, "id long, part string, tokens binary"))
+    found = docs.where("id is not null").mapInArrow(small, "id long, small binary").join(parts, "id").select("id", "part", "split", "small")
+    return _packed(found.mapInArrow(make, "id long, part string, split boolean, tokens binary"))
 
 
 def _packed(sets: DataFrame) -> DataFrame:
     """Rows of a part come one after another after a sort; a row goes out where the next part begins."""
 
-    def row(part: str, ids: list[int], tokens: list[bytes]) -> pa.RecordBatch:
+    def row(part: str, split: bool, ids: list[int], tokens: list[bytes]) -> pa.RecordBatch:
         ends = np.cumsum([len(x) // 8 for x in tokens], dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part]), *[pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), ends.tobytes(), b"".join(tokens))]], ["part", *_FIELDS]
-        )
+        packs = (np.array(ids, np.int64).tobytes(), ends.tobytes(), b"".join(tokens))
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([split]), *[pa.array([x], pa.binary()) for x in packs]], ["part", "split", *_FIELDS])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, tokens = None, [], []
         for batch in batches:
-            for part, i, x in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "tokens")), strict=True):
-                if part != now and ids:
-                    yield row(now, ids, tokens)
+            for part, split, i, x in zip(*(batch.column(c).to_pylist() for c in ("part", "split", "id", "tokens")), strict=True):
+                if now and part != now[0]:
+                    yield row(*now, ids, tokens)
                     ids, tokens = [], []
                 if not ids or ids[-1] != i:
                     ids.append(i)
                     tokens.append(x)
-                now = part
+                now = part, split
         if ids:
-            yield row(now, ids, tokens)
+            yield row(*now, ids, tokens)
 
-    return sets.repartition("part").sortWithinPartitions("part", "id").mapInArrow(pack, "part string, ids binary, ends binary, tokens binary")
+    return sets.repartition("part").sortWithinPartitions("part", "id").mapInArrow(pack, "part string, split boolean, ids binary, ends binary, tokens binary")
 
 
 _FIELDS = ("ids", "ends", "tokens")
@@ -219,7 +238,8 @@ def _within(packed: DataFrame, cuts: DataFrame) -> list[DataFrame]:
     own = packed.where("length(ids) > 8").select(*[F.col(c).alias(f"a_{c}") for c in _FIELDS], *[F.lit(None).cast("binary").alias(f"b_{c}") for c in _FIELDS])
     more = cuts.where("cuts > 1").select("lead", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cuts") - 1)).alias("c"))
     pairs = more.select(F.concat_ws(".", "lead", F.lit(0)).alias("a"), F.concat_ws(".", "lead", "c").alias("b"))
-    return [own, pairs.join(_side(packed, "a"), "a").join(_side(packed, "b"), "b").select(*own.columns)]
+    split = packed.where("split")
+    return [own, pairs.join(_side(split, "a"), "a").join(_side(split, "b"), "b").select(*own.columns)]
 
 
 def _across(packed: DataFrame, held: DataFrame, groups: DataFrame, percent: int) -> list[DataFrame]:
@@ -235,7 +255,7 @@ def _across(packed: DataFrame, held: DataFrame, groups: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array([x.tobytes() for _, x in part.each()], pa.binary())], ["id", "tokens"])
 
     sets = packed.select(*_FIELDS).mapInArrow(unpack, "id long, tokens binary")
-    again = durable(_packed(sets.join(parts, "id").select("id", "part", "tokens")))
+    again = durable(_packed(sets.join(parts, "id").select("id", "part", "split", "tokens")))
     each = lambda x: sizes.select(F.col("lead").alias(x), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias(f"{x}_cut"))
     named = lambda x: F.concat_ws(".", x, f"{x}_cut").alias(x)
     pairs = pairs.join(each("a"), "a").join(each("b"), "b").select(named("a"), named("b"))

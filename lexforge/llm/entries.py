@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.llm import oracles
 from lexforge.llm._shared import shared_path, table
 from lexforge.llm.byte_bpe import encoded_digests
 from lexforge.llm.embedding_dedup import near_duplicates
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -46,5 +46,5 @@ def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
 
 def per_word(words: DataFrame, column: str, out: str, f: Callable[[str], Column]) -> DataFrame:
     """Add ``out`` = f(column), computed once for each distinct word and joined back."""
-    known = words.select(column).distinct().withColumn(out, f(column))
-    return words.join(known, words[column].eqNullSafe(known[column]), "left").select(*[words[c] for c in words.columns], known[out])
+    known = words.select(F.col(column).alias("_word")).distinct().withColumn(out, f("_word"))
+    return words.join(known, F.col(column).eqNullSafe(F.col("_word")), "left").select(*words.columns, out)

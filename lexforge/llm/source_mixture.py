@@ -232,6 +232,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
                     rows.append(i)
                     out.append(text if runs == [[0, size]] else _stretches(text, runs))
             kept = batch.take(pa.array(rows, pa.int64()))
+            if not rows:
+                continue
             put = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
             yield pa.RecordBatch.from_arrays([put[n] if n in put else kept.column(kept.schema.get_field_index(n)) for n in names], names)
 

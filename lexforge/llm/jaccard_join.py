@@ -1,9 +1,10 @@
 """Jaccard similarity join of whole texts by a token-group matrix.
 
 1. Documents with equal shingle sets are one class, which its smallest id stands for.
-2. A first scan counts words in a fixed number of buckets. The counts only order shingles, those
-   of rare words first; by that order a prefix of each set is taken, so long that linked sets share
-   not one shingle of their prefixes but a number that grows with their sizes.
+2. A first scan counts words and shingles in fixed numbers of buckets. The counts only order
+   shingles, rare ones first and among them those of rare words; by that order a prefix of each set
+   is taken, so long that linked sets share not one shingle of their prefixes but a number that
+   grows with their sizes.
 3. Classes whose prefixes agree under one of a few min-hashes form a group if a bound allows a link
    with its first class: counts of shingles in a few bins bound any overlap.
 4. The matrix has a row (shingle, group) for each shingle in the union of the group's prefixes, so
@@ -32,9 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import components, durable
-from lexforge.llm.words import mixed, shingle_sets, texts, word_numbers
+from lexforge.llm.words import mixed, shingle_sets, texts
 
-BUCKETS = 1 << 16
+#: Buckets of words and of shingles in which the first scan counts.
+WORD_BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+_CHUNK = 1 << 14
 KEYS = 4
 #: A power of two.
 BINS = 32
@@ -54,7 +58,7 @@ def jaccard_components(
     repeat an id are one document; a row without an id has no component. Other columns are ignored.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = durable(_prefixes(docs, k, percent, _word_loads(docs)))
+    sets = durable(_prefixes(docs, k, percent, _counts(docs, k)))
     some = sets.where("id is not null and n > 0")
     reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "keys", "bins")]))
     held = durable(_shared_tokens(reps))
@@ -75,21 +79,43 @@ def jaccard_components(
     )
 
 
-def _word_loads(docs: DataFrame) -> np.ndarray:
-    """Logarithms of word counts in BUCKETS buckets: what the driver gets never grows."""
+def _counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of word counts by bucket, and how far shingle counts exceed what chance gives.
+
+    Each task sends its counts as a few packed rows, and so many come to the driver, however many
+    documents there are.
+    """
+    chunks = (WORD_BUCKETS + BUCKETS) // _CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(WORD_BUCKETS + BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, _, found in word_numbers(texts(batch.column(0))):
-                total += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["bucket", "n"])
+            for _, sets, _, found in shingle_sets(texts(batch.column(0)), k):
+                total[:WORD_BUCKETS] += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=WORD_BUCKETS)
+                np.add.at(total, WORD_BUCKETS + (np.concatenate(sets) >> np.uint64(46)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks)), pa.array([x.tobytes() for x in np.split(total, chunks)], pa.binary())], ["chunk", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = np.log(rows["n"].to_numpy(dtype=np.float64))
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for chunk, n in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()], pa.binary())], ["chunk", "n"])
+                    now, total = chunk, np.zeros(_CHUNK, dtype=np.int64)
+                total = total + np.frombuffer(n, np.int64)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()], pa.binary())], ["chunk", "n"])
+
+    schema = "chunk long, n binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, schema).collect()
+    out = np.zeros((chunks, _CHUNK), dtype=np.int64)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["n"], np.int64)
+    words, shingles = out.ravel()[:WORD_BUCKETS], out.ravel()[WORD_BUCKETS:]
+    usual = np.median(shingles)
+    more = np.maximum(0.0, (shingles - usual) / (np.sqrt(usual) + 1))
+    return np.log(np.maximum(words, 1)), np.where(more > 3, np.ceil(np.log2(more + 1)), 0.0)
 
 
 def _shared(n):
@@ -98,21 +124,21 @@ def _shared(n):
     return 1 + n // SHARE
 
 
-def _row(tokens: np.ndarray, load: np.ndarray, percent: int) -> tuple:
+def _row(tokens: np.ndarray, load: np.ndarray, more: np.ndarray, percent: int) -> tuple:
     """Size, 128 bits that stand for the set, its prefix, min-hashes and shingles in each bin."""
     size = len(tokens)
     long = xxhash.xxh3_128_intdigest(tokens.tobytes())
     reach = size - (percent * size + 99) // 100
-    rare = tokens[np.argsort(load, kind="stable")[: reach + _shared(size)]]
+    rare = tokens[np.lexsort((load, more[(tokens >> np.uint64(46)).astype(np.int64)]))[: reach + _shared(size)]]
     keys = [mixed(rare[: reach + 1] ^ np.uint64(i + 1)).min().view(np.int64) if size else 0 for i in range(KEYS)]
     bins = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32)
     return size, (long >> 64) - (1 << 63), (long & ((1 << 64) - 1)) - (1 << 63), rare.view(np.int64), keys, bins
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, weight: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_row(x, load, percent) for _, sets, loads in shingle_sets(texts(batch.column("text")), k, weight) for x, load in zip(sets, loads, strict=True)]
+            rows = [_row(x, load, counts[1], percent) for _, sets, loads, _ in shingle_sets(texts(batch.column("text")), k, counts[0]) for x, load in zip(sets, loads, strict=True)]
             n, s1, s2, prefixes, keys, hist = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
@@ -194,7 +220,7 @@ def _pack(docs: DataFrame, parts: DataFrame, k: int) -> DataFrame:
         whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             column = [whole(t) for t in batch.column("small").to_pylist()]
-            sets = [x.tobytes() for _, some, _ in shingle_sets(column, k) for x in some]
+            sets = [x.tobytes() for _, some, _, _ in shingle_sets(column, k) for x in some]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("split"), pa.array(sets, pa.binary())], ["id", "part", "split", "tokens"])
 
     found = docs.where("id is not null").mapInArrow(small, "id long, small binary").join(parts, "id").select("id", "part", "split", "small")

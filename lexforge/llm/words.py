@@ -86,11 +86,12 @@ def word_numbers(column: Sequence[bytes | None], head: int = 0) -> Iterator[tupl
         yield first, counts, found
 
 
-def shingle_sets(column: Sequence[bytes | None], k: int, weight: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray] | None]]:
-    """For runs of texts: the first one's index, and each one's distinct ``k``-word shingles, ascending.
+def shingle_sets(column: Sequence[bytes | None], k: int, weight: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray] | None, np.ndarray]]:
+    """For runs of texts: the first one's index, each one's distinct ``k``-word shingles, ascending,
+    what ``weight`` gives for them, and the numbers of all words.
 
     A text of fewer words is one shingle; one without words has none. ``weight`` has a number for
-    the first 16 bits of a word's number; then the last item has the sum of its words' for each shingle.
+    the first 16 bits of a word's number; then the third item has the sum of its words' for each shingle.
     """
     steps = [np.uint64(pow(_BASE, 2 * i + 3, 1 << 64)) for i in range(k)]
     for first, counts, found in word_numbers(column):
@@ -129,4 +130,4 @@ def shingle_sets(column: Sequence[bytes | None], k: int, weight: np.ndarray | No
                 sets.append(found[:0])
                 loads.append(np.zeros(0))
             at += n
-        yield first, sets, loads if each is not None else None
+        yield first, sets, loads if each is not None else None, found

@@ -211,7 +211,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     # a piece used twice is in both passes
     lists = plan.uses().groupBy("source", "start").agg(F.collect_list(F.struct("low", "high", "uses")).alias("_pieces"))
     order = Window.partitionBy("id", "hash").orderBy("start")
-    keyed = plan.rows.join(lists, ["source", "start"]).select("id", "hash", "size", "_pieces", F.row_number().over(order).alias("nth"))
+    # an empty document begins where the next one does
+    keyed = plan.rows.where("size > 0").join(lists, ["source", "start"]).select("id", "hash", "size", "_pieces", F.row_number().over(order).alias("nth"))
     again = Window.partitionBy("_id", "_hash").orderBy("_id")
     own = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
     own = own.withColumn("_nth", F.row_number().over(again))

@@ -8,7 +8,8 @@ source's blocks (a Feistel network, with another key for each pass through them)
 are joined by source and index. A block is used at most once a pass, so no document is taken more
 often than the passes allow.
 
-Only sums over sources reach the driver, one row at a time.
+Only sums over sources reach the driver, one row at a time. The planner takes what a few sources'
+rows expand to for small, so the joins are told to merge rather than to broadcast it.
 """
 
 from __future__ import annotations
@@ -50,16 +51,16 @@ class Mixture:
     def taken(self) -> DataFrame:
         """(source, start, taken): words that the mixture takes of a document, repeats counted."""
         uses = self.slots.groupBy("source", "block").agg(F.count("*").alias("uses"))
-        return self.pieces.join(uses, ["source", "block"]).groupBy("source", "start").agg(F.sum(F.col("uses") * (F.col("high") - F.col("low"))).alias("taken"))
+        return self.pieces.join(uses.hint("merge"), ["source", "block"]).groupBy("source", "start").agg(F.sum(F.col("uses") * (F.col("high") - F.col("low"))).alias("taken"))
 
     def uses(self) -> DataFrame:
         """(source, start, low, high, uses) of each piece that is taken at all."""
         uses = self.slots.groupBy("source", "block").agg(F.count("*").alias("uses"))
-        return self.pieces.join(uses, ["source", "block"]).drop("block")
+        return self.pieces.join(uses.hint("merge"), ["source", "block"]).drop("block")
 
     def blocks(self) -> DataFrame:
         """(shard, place, source, block, start, low, high): the output's words, as pieces of documents."""
-        return self.slots.join(self.pieces, ["source", "block"]).select("shard", "place", "source", "block", "start", "low", "high")
+        return self.pieces.join(self.slots.hint("merge"), ["source", "block"]).select("shard", "place", "source", "block", "start", "low", "high")
 
 
 def mix(
@@ -195,7 +196,7 @@ def _slots(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
 def mixture_report(documents: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken."""
     plan = mix(documents, **options)
-    return plan.rows.join(plan.taken(), ["source", "start"], "left").select(
+    return plan.rows.join(plan.taken().hint("merge"), ["source", "start"], "left").select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken")
     )
 
@@ -212,11 +213,11 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     lists = plan.uses().groupBy("source", "start").agg(F.collect_list(F.struct("low", "high", "uses")).alias("_pieces"))
     order = Window.partitionBy("id", "hash").orderBy("start")
     # an empty document begins where the next one does
-    keyed = plan.rows.where("size > 0").join(lists, ["source", "start"]).select("id", "hash", "size", "_pieces", F.row_number().over(order).alias("nth"))
+    keyed = plan.rows.where("size > 0").join(lists.hint("merge"), ["source", "start"]).select("id", "hash", "size", "_pieces", F.row_number().over(order).alias("nth"))
     again = Window.partitionBy("_id", "_hash").orderBy("_id")
     own = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
     own = own.withColumn("_nth", F.row_number().over(again))
-    joined = own.join(keyed, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")) & (F.col("_nth") == F.col("nth")))
+    joined = own.join(keyed.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")) & (F.col("_nth") == F.col("nth")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

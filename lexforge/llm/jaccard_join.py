@@ -182,13 +182,15 @@ def _groups(reps: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: groups that share enough rows of the matrix and whose sizes and bins allow a link."""
-    matrix = held.join(groups.select("id", "lead"), "id").select("token", "lead").distinct()
+    most = durable(groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins")))
+    known = groups.select("id", "lead").join(most.select("lead", "low"), "lead")
+    matrix = held.join(known, "id").select("token", "lead", "low").distinct()
     common = matrix.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
     rows = durable(matrix.join(common, "token"))
-    pairs = rows.select("token", F.col("lead").alias("a")).join(rows.select("token", F.col("lead").alias("b")), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    most = groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins"))
-    enough = F.col("both") >= 1 + F.floor(F.least("a_low", "b_low") / SHARE)
-    return durable(pairs.join(_side_bins(most, "a"), "a").join(_side_bins(most, "b"), "b").where(enough & _allowed(percent)).select("a", "b"))
+    side = lambda x: rows.select("token", F.col("lead").alias(x), F.col("low").alias(f"{x}_low"))
+    shared = side("a").join(side("b"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"), F.min(F.least("a_low", "b_low")).alias("low"))
+    pairs = shared.where(F.col("both") >= 1 + F.floor(F.col("low") / SHARE)).select("a", "b")
+    return durable(pairs.join(_side_bins(most, "a"), "a").join(_side_bins(most, "b"), "b").where(_allowed(percent)).select("a", "b"))
 
 
 def _not_alone(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

@@ -119,23 +119,32 @@ def _contexts(text: str, kind: str, x: int, y: int) -> list[str]:
     return found + ([f"{kind}|{b} _ {c}"] if b and c and not _DIGIT.search(b + c) else [])
 
 
+def _digest(text: str) -> Column:
+    """What tells the texts of rows apart that repeat an id or have none; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def find_private(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, ``base`` and ``extra``, arrays of (kind, from, to) in code points.
 
     A null text is empty. Rows that repeat an id are judged each by its own text, also those
     without an id. Other columns are ignored. ``extra`` holds what the contexts add, in order.
     """
+    return _found(documents, id_col, text_col, accept, rounds).select(F.col("id").alias(id_col), "base", "extra")
+
+
+def _found(documents: DataFrame, id_col: str, text_col: str, accept: float, rounds: int) -> DataFrame:
+    """One row per document: ``id``, ``i`` and ``none`` (the id, or 0 and true), ``key`` (the text's digest), ``base``, ``extra``."""
     span = pa.struct([("kind", pa.string()), ("from", pa.int64()), ("to", pa.int64())])
     loose = pa.struct([("kind", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bases, looses = [], [], []
+            bases, looses = [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 some = [(s, True) for s in base] + [(s, False) for s in (_loose_spans(text, base) if base or "@" in text or _DIGIT.search(text) else [])]
-                keys.append(xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63))
                 bases.append([dict(zip(("kind", "from", "to"), s, strict=True)) for s in base])
                 looses.append(
                     [
@@ -144,10 +153,10 @@ def find_private(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(keys, pa.int64()), pa.array(bases, pa.list_(span)), pa.array(looses, pa.list_(loose))], ["id", "key", "base", "loose"]
+                [batch.column("id"), batch.column("key"), pa.array(bases, pa.list_(span)), pa.array(looses, pa.list_(loose))], ["id", "key", "base", "loose"]
             )
 
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("key"))
     kept = "id long, key long, base array<struct<kind: string, from: long, to: long>>"
     found = durable(docs.mapInArrow(scan, f"{kept}, loose array<struct<kind: string, from: long, to: long, seed: boolean, instance: long, patterns: array<string>>>"))
     mentions = found.select("id", "key", F.explode("loose").alias("m")).select("id", "key", "m.*")
@@ -160,7 +169,10 @@ def find_private(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     rows = found.select("id", "key", "base", F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("none"))
     return rows.join(extra, ["i", "none", "key"], "left").select(
-        F.col("id").alias(id_col),
+        "id",
+        "i",
+        "none",
+        "key",
         "base",
         F.coalesce(F.expr("transform(extra, x -> struct(x.kind as kind, x.from as from, x.to as to))"), F.array().cast("array<struct<kind: string, from: long, to: long>>")).alias("extra"),
     )
@@ -190,11 +202,16 @@ def spans_text(spans: Column) -> Column:
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with each personal span replaced by its kind in brackets; columns stay.
 
-    Of spans that overlap, the whole stretch is replaced by the first one's kind.
+    Of spans that overlap, the whole stretch is replaced by the first one's kind. Every row is
+    redacted by its own text, also rows that repeat an id and those without one. A null text stays.
     """
-    spans = find_private(documents.dropDuplicates([id_col]), id_col, text_col)
-    listed = spans.where(F.size("base") + F.size("extra") > 0).select(id_col, F.concat("base", "extra").alias("_spans"))
+    spans = _found(documents, id_col, text_col, ACCEPT, ROUNDS).where(F.size("base") + F.size("extra") > 0)
+    keys = ["_id", "_none", "_digest"]
+    # rows of one id and one text have the same spans
+    listed = spans.groupBy(F.col("i").alias("_id"), F.col("none").alias("_none"), F.col("key").alias("_digest")).agg(F.first(F.concat("base", "extra")).alias("_spans"))
     names = documents.columns
+    number = F.col(id_col).cast("long")
+    docs = documents.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull(), "_digest": _digest(text_col)})
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,4 +226,4 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append("".join([*parts, text[last:]]) if parts else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in names], names)
 
-    return documents.join(listed, id_col, "left").select(*names, "_spans").mapInArrow(replace, documents.schema)
+    return docs.join(listed, keys, "left").select(*names, "_spans").mapInArrow(replace, documents.schema)

@@ -115,6 +115,17 @@ def test_private_without_ids_or_rows(spark):
     assert find_private(df.limit(0)).count() == 0
 
 
+def test_redaction_of_rows_without_ids_and_repeated_ids(spark):
+    texts = [(None, "mail a@b.com now"), (None, "nothing here"), (None, "mail a@b.com now"), (None, None), (3, "x c@d.org y"), (3, "long clean text of no one"), (3, "+49 170 1234567 call"), (0, "clean"), (4, "e@f.net"), (4, "e@f.net")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, _row long").repartition(3)
+    out = redact(df)
+    assert out.columns == df.columns
+    found = {r._row: (r.doc_id, r.text) for r in out.collect()}
+    clean = ["mail [EMAIL] now", "nothing here", "mail [EMAIL] now", None, "x [EMAIL] y", texts[5][1], "[PHONE] call", "clean", "[EMAIL]", "[EMAIL]"]
+    assert found == {k: (i, clean[k]) for k, (i, _) in enumerate(texts)}
+    assert redact(df.limit(0)).count() == 0
+
+
 def test_rules(spark):
     good = " ".join(f"word{i}" for i in range(60))
     texts = [None, "", " \n ", "a b c a b c d", "x\nx\n\nx\ny", "### $5 <b> | *", "é é b", good, (good + " ") * 2, "w " * 30_000, "a\tb\x0bc\x0cd\re"]

@@ -13,29 +13,59 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm._shared import shared_path, table
+from lexforge.llm._shared import durable, shared_path, table
 from lexforge.llm.byte_bpe import encode
 from lexforge.llm.jaccard_join import jaccard_components
 from lexforge.llm.private_data import redact
-from lexforge.llm.quality_classifier import score_quality
+from lexforge.llm.quality_classifier import accepted
 from lexforge.llm.source_mixture import mixed_documents
 
 #: Near-duplicate documents share this percentage of their distinct five-word shingles.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+#: So many ids that stand for several texts are sent to all tasks at most.
+FEW_IDS = 100_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality classifier does not reject, each row judged by itself."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect: the one of smallest id."""
-    found = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of documents that near-duplicate links connect: the one of smallest id.
+
+    Rows that repeat an id and its text are one document, and one of them stays; rows that repeat an
+    id with other texts are documents of their own. Rows without an id are one document if they have
+    the same text, and stay only where no row of their group has an id. Texts without words link
+    with nothing: one row stays for each id, and all rows that have no id either.
+    """
+    nothing = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = _numbered(docs.where(~nothing))
+    found = durable(jaccard_components(keyed, NEAR_WORDS, NEAR_PERCENT, "_row").distinct())
+    large = found.groupBy("component_id").agg(F.count("*").alias("c")).where("c > 1").select("component_id")
+    members = found.join(large, "component_id").join(keyed.select("_row", "doc_id").distinct(), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
+    dropped = members.join(first, "component_id").where("_row <> m._row").select("_row")
+    single = keyed.dropDuplicates(["_row"]).join(dropped, "_row", "left_anti")
+    return single.select(*docs.columns).union(docs.where(nothing))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``: the id where all its rows have one text, else a hash of id and text.
+
+    A hash has 64 bits, so that two documents share a number with a chance of about n * n / 2**65.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = F.xxhash64(F.lit("row"), F.col("doc_id").isNull(), "doc_id", text)
+    several = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("_several")))
+    n = several.count()
+    if not n:
+        return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), own))
+    marked = docs.join(F.broadcast(several) if n <= FEW_IDS else several, "doc_id", "left")
+    number = F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id").cast("long"))
+    return marked.select(*docs.columns, number.alias("_row"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

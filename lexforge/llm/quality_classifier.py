@@ -187,11 +187,27 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for x in range(0, len(whole), 512):
-                batch = whole.slice(x, 512)
-                views = _views(texts(batch.column("text")), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(s) for s in model.value.score(views)]], ["doc_id", "score", "text_score", "metadata_score"])
+        for batch, scores in _scored(batches, model.value):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(s) for s in scores]], ["doc_id", "score", "text_score", "metadata_score"])
 
     found = docs.mapInArrow(run, "doc_id long, score double, text_score double, metadata_score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "metadata_score")
+
+
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that ``score_quality`` predicts 1 for, each judged by itself whatever its id; columns stay."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in _scored(batches, model.value):
+            yield batch.filter(pa.array(scores[0] >= 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for whole in batches:
+        for x in range(0, len(whole), 512):
+            batch = whole.slice(x, 512)
+            views = _views(texts(batch.column("text")), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            yield batch, model.score(views)

@@ -80,3 +80,46 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).columns[-2:] == ["ids", "n_tokens"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_quality_judges_rows(spark):
+    """Rows without an id and rows that share one go or stay by their own texts."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    verdict = {r.doc_id: r.predicted for r in score_quality(docs, labels).collect()}
+    rows = [tuple(r) for r in docs.collect()]
+    good, bad = ([r for r in rows if verdict[r[0]] == k][:5] for k in (1, 0))
+    more = [(None, *r[1:]) for r in good + bad] + [(77_000_000, *r[1:]) for r in good + bad] + [good[0]] * 3
+    df = spark.createDataFrame(rows + more, SCHEMA)
+    out = corpus_pipeline.quality(spark, df, DATA)
+    assert out.columns == df.columns
+    judged = out.collect()
+    scored = Counter((r.doc_id, r.predicted) for r in score_quality(df, labels).collect())
+    for i in (None, 77_000_000):
+        assert sum(r.doc_id == i for r in judged) == scored[i, 1] and 0 < scored[i, 1] < 10
+    texts = Counter((r.doc_id is None, r.text) for r in judged if r.doc_id in (None, 77_000_000))
+    assert all(texts[True, r[1]] == texts[False, r[1]] for r in good + bad)
+    assert sum(r.doc_id == good[0][0] for r in judged) == 4
+    assert corpus_pipeline.quality(spark, df.limit(0), DATA).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(100))
+    near = lambda x: text(x) + " more"
+    texts = [
+        (None, text("a")), (None, text("a")), (None, near("a")),  # no ids: one of them stays
+        (9, text("b")), (None, near("b")), (None, text("b")),  # the one with an id stays
+        (5, text("c")), (5, text("c")), (5, text("c")),  # exact repeats: one stays
+        (6, text("d")), (6, text("e")), (6, near("e")), (3, text("e")),  # one id, two groups
+        (20, text("f")), (10, near("f")), (None, text("g")),
+        (None, None), (None, " "), (30, ""), (31, ""), (30, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, DATA)
+    assert out.columns == df.columns
+    found = Counter((r.doc_id, (r.text or " ").split(" ")[0]) for r in out.collect())
+    assert found == Counter({(None, "a0"): 1, (9, "b0"): 1, (5, "c0"): 1, (6, "d0"): 1, (3, "e0"): 1, (10, "f0"): 1, (None, "g0"): 1, (None, ""): 2, (30, ""): 1, (31, ""): 1})
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), DATA).count() == 0

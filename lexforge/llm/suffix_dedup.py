@@ -45,18 +45,21 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. A null
     text is empty. Rows that repeat an id must repeat its text; each is a document of its own for
-    the count. A row without an id counts as another document but is not changed itself.
+    the count. A row without an id counts as another document but is not changed itself; its bytes
+    are compared as those of others are.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # a row without an id goes by a hash of its text; its segments have n below 0
+    docs = docs.select(F.coalesce("id", F.xxhash64("text")).alias("id"), F.col("id").isNull().alias("none"), "text")
     rows = docs.where(F.octet_length("text") >= length).mapInArrow(_segments(length), "mh long, dg long, id long, start long, n int")
     common = rows.groupBy("mh").agg(F.count("*").alias("c"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("c > 1")
     held = durable(rows.join(common.select("mh", (F.col("x") == F.col("y")).alias("same")), "mh"))
-    kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct("id", "start", "n")).alias("at"))
-    kinds = durable(kinds.select("mh", "dg", "same", "c", "at.*"))
-    known = kinds.where("c > 1").select("mh", "dg", F.expr("array(0, n)").alias("runs"))
-    found = _compare(docs, kinds.where("not same and id is not null"), length)
+    kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct(F.col("n") < 0, "id", "start", "n")).alias("at"))
+    kinds = durable(kinds.select("mh", "dg", "same", "c", "at.id", "at.start", "at.n"))
+    known = kinds.where("c > 1").select("mh", "dg", F.expr("array(0, abs(n))").alias("runs"))
+    found = _compare(docs, kinds.where("not same"), length)
     fresh = found.join(kinds.where("c = 1").select("mh", "dg"), ["mh", "dg"], "left_semi")
-    back = held.where("id is not null").join(known.union(fresh), ["mh", "dg"])
+    back = held.where("n > 0").join(known.union(fresh), ["mh", "dg"])
     ends = F.expr(f"transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0))")
     return back.select("id", ends.alias("runs")).groupBy("id").agg(F.collect_set("runs").alias("runs"))
 
@@ -120,17 +123,17 @@ def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(length: int):
-    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int | None, int, int, int]]]]:
-        """Bytes, and in them for each text or part of one: id, offset in the text, first and last byte."""
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
+        """Bytes, and in them for each text or part of one: id, sign of n, offset in the text, first and last byte."""
         got, held, at = [], [], 0
-        for doc, text in zip(batch.column("id").to_pylist(), texts(batch.column("text")), strict=True):
+        for doc, none, text in zip(batch.column("id").to_pylist(), batch.column("none").to_pylist(), texts(batch.column("text")), strict=True):
             for x in range(0, max(1, len(text) - length + 1), PIECE - length + 1):
                 part = text[x : x + PIECE]
                 if at and at + len(part) > PIECE:
                     yield b"".join(got), held
                     got, held, at = [], [], 0
                 got.append(part)
-                held.append((doc, x, at, at + len(part)))
+                held.append((doc, -1 if none else 1, x, at, at + len(part)))
                 at += len(part)
         if at:
             yield b"".join(got), held
@@ -139,8 +142,8 @@ def _segments(length: int):
         for batch in batches:
             for raw, held in pieces(batch):
                 low, full = _anchors(np.frombuffer(raw, np.uint8), length)
-                first = np.array([h[2] for h in held])
-                stop = np.array([h[3] for h in held])
+                first = np.array([h[3] for h in held])
+                stop = np.array([h[4] for h in held])
                 new = np.ones(len(low), dtype=bool)
                 new[1:] = low[1:] != low[:-1]
                 new[first[first < len(low)]] = True
@@ -156,11 +159,12 @@ def _segments(length: int):
                 at, end = at[live], end[live]
                 owner = np.searchsorted(first, at, side="right") - 1
                 ids = [h[0] for h in held]
-                shift = np.array([h[1] - h[2] for h in held])
+                sign = np.array([h[1] for h in held])
+                shift = np.array([h[2] - h[3] for h in held])
                 view = memoryview(raw)
                 dg = np.array([xxhash.xxh3_64_intdigest(view[x : y + length - 1]) for x, y in zip(at.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full[(low[at] & np.uint64(_PLACE)).astype(np.int64)].view(np.int64)), pa.array(dg.view(np.int64)), pa.array([ids[o] for o in owner.tolist()], pa.int64()), pa.array(at + shift[owner]), pa.array((end - at).astype(np.int32))],
+                    [pa.array(full[(low[at] & np.uint64(_PLACE)).astype(np.int64)].view(np.int64)), pa.array(dg.view(np.int64)), pa.array([ids[o] for o in owner.tolist()], pa.int64()), pa.array(at + shift[owner]), pa.array(((end - at) * sign[owner]).astype(np.int32))],
                     ["mh", "dg", "id", "start", "n"],
                 )
 
@@ -169,23 +173,24 @@ def _segments(length: int):
 
 def _compare(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """(mh, dg, runs): ranges of passages in a segment that also start in another segment."""
-    size = F.col("n") + length - 1
+    size = F.abs("n") + length - 1
     loads = kinds.groupBy("mh").agg(F.sum(size).alias("bytes"))
     total = loads.agg(F.sum(F.when(F.col("bytes") <= SHARD_BYTES, F.col("bytes")))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
     large = loads.where(F.col("bytes") > SHARD_BYTES).select("mh", F.ceil(F.col("bytes") / SHARD_BYTES).alias("cuts"))
     placed = kinds.join(large, "mh", "left").select(
         "id",
+        (F.col("n") < 0).alias("none"),
         F.struct(
             F.when(F.col("cuts").isNull(), F.pmod("mh", F.lit(shards))).otherwise(F.col("mh")).alias("shard"),
             F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.pmod("dg", "cuts")).cast("int").alias("cut"),
             "mh",
             "dg",
             "start",
-            "n",
+            F.abs("n").alias("n"),
         ).alias("at"),
     )
-    wanted = placed.groupBy("id").agg(F.collect_list("at").alias("at"))
+    wanted = placed.groupBy("id", "none").agg(F.collect_list("at").alias("at"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +207,9 @@ def _compare(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds_of)], names)
 
-    parts = docs.where("id is not null").join(wanted, "id").select("text", "at").mapInArrow(fetch, "shard long, cut int, mh long, dg long, bytes binary")
+    # of rows without an id that have the same text, one is read
+    each = docs.where("not none").union(docs.where("none and text is not null").dropDuplicates(["id"]))
+    parts = each.join(wanted, ["id", "none"]).select("text", "at").mapInArrow(fetch, "shard long, cut int, mh long, dg long, bytes binary")
     schema = "mh long, dg long, runs array<int>"
 
     def alone(frame: pd.DataFrame) -> pd.DataFrame:

@@ -181,6 +181,31 @@ def test_repeats_of_rows_without_ids(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [2_000_000, 3_000])
+def test_passages_of_rows_without_ids_count(spark, shard, monkeypatch):
+    """Copies without an id, one of them or all, share a passage but no whole segment with others."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    draw = random.Random(5)
+    some = lambda n: "".join(draw.choice("abcdefgh é\n") for _ in range(n))
+    shared = [some(n) for n in (200, 230, 260, 900)]
+    rows = []
+    for p in shared:
+        copy, other = (some(150) + p + some(150) for _ in range(2))
+        rows += [(None, copy), (None, copy), (len(rows) + 100, copy), (None, other), (None, other), (None, some(90) + p[:210]), (len(rows), some(80) + p + some(120))]
+        alone = some(500)
+        rows += [(None, alone), (len(rows) + 200, some(40) + alone[100:320] + some(70))]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], DOCS).repartition(3)
+    expected = left([t for _, t in rows], 200)
+    found = remove_repeats(df).select("doc_id", "kept", F.sha2("kept", 256).alias("sha"), "spans").collect()
+    assert len(found) == len(rows)
+    by_id = {i: e for (i, _), e in zip(rows, expected, strict=True) if i is not None}
+    for r in found:
+        if r.doc_id is None:
+            assert r.kept.decode() in {t for i, t in rows if i is None} and not r.spans
+        else:
+            assert (sum(s["to"] - s["from"] for s in r.spans), len(r.spans), r.sha) == by_id[r.doc_id], r.doc_id
+
+
 def test_suffix_arrays():
     draw = random.Random(2)
     for _ in range(60):

@@ -2,11 +2,14 @@
 
 One view is the text's content: its words in hashed buckets and how much they repeat. The other is
 the page's metadata: language, source, length and layout. Each view has a logistic model. Over some
-rounds, each model labels documents of an unlabelled pool, and those that it is surest of train the
+rounds, each model labels all unlabelled documents, and every one that it is sure of trains the
 other view's model. Both are then calibrated on labelled rows that neither was fitted to, and the
 score is the mean of their calibrated log odds.
 
-The models are fitted on the driver from bounded samples; all documents are scored in one scan.
+A round is a scan. Its tasks sum the gradient of the other view's loss over the documents that a
+view is sure of, and a curvature for each weight, which together bound that loss from above for any
+weights; the sums have the size of the weights. The driver fits the bounded sample of labelled rows
+and these bounds. A last scan scores all documents.
 """
 
 from __future__ import annotations
@@ -23,18 +26,19 @@ from pyspark.sql import functions as F
 from lexforge.llm.toxicity import held_out
 from lexforge.llm.words import texts, word_numbers
 
-#: Bounds, about, of the samples by a hash of the id: rows with each label, and the pool.
+#: Bound, about, of the sample by a hash of the id: rows with each label.
 LABELLED = 3000
-POOL = 3000
 BUCKETS = 1 << 14
 ROUNDS = 3
-#: Pseudo-labels of each kind that a view gives the other in a round.
-GIVEN = 200
+#: What a document that the other view labelled counts, beside 1 for a labelled row.
+GIVEN_WEIGHT = 0.5
 SURE = 0.95
 
 _DENSE = 8
 _FACTS = 12
 _NAMES = 1 << 10
+_SIZES = (BUCKETS + _DENSE, _NAMES + _FACTS)
+_CHUNK = 1 << 11
 
 
 def _layout(text: bytes) -> list[float]:
@@ -93,18 +97,75 @@ def _views(column: list[bytes | None], langs: list[str | None], sources: list[st
     return _rows(content), _rows(facts)
 
 
-def _fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, steps: int = 150) -> np.ndarray:
-    """Logistic regression by Adam on whole batches, with a ridge."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    total = weight.sum() or 1.0
+@dataclass
+class Bound:
+    """A quadratic upper bound of a loss: its gradient and curvatures at some weights, and the weight of its rows."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curve: np.ndarray
+    weight: float
+
+
+def _fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, given: Bound | None = None, steps: int = 150) -> np.ndarray:
+    """Logistic regression by Adam on whole batches, with a ridge, and with what bounds the loss of further rows."""
+    w, m, v = np.zeros(size) if given is None else given.at.copy(), np.zeros(size), np.zeros(size)
+    total = (weight.sum() + (given.weight if given else 0.0)) or 1.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-rows.times(w)))
-        g = np.bincount(rows.place, weights=rows.value * (weight * (p - y))[rows.owner], minlength=size) / total + 1e-4 * w
+        p = 1 / (1 + np.exp(-np.clip(rows.times(w), -30, 30)))
+        g = np.bincount(rows.place, weights=rows.value * (weight * (p - y))[rows.owner], minlength=size)
+        if given:
+            g += given.gradient + given.curve * (w - given.at)
+        g = g / total + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
+def _taught(views: tuple[Rows, Rows], models: list[np.ndarray]) -> np.ndarray:
+    """For each view its gradient, curvatures and number of rows, over the rows that the other view is sure of."""
+    odds = [rows.times(w) for rows, w in zip(views, models, strict=True)]
+    out = []
+    for k, rows in enumerate(views):
+        p = 1 / (1 + np.exp(-np.clip(odds[1 - k], -30, 30)))
+        sure = (p >= SURE) | (1 - p >= SURE)
+        mine = np.where(np.abs(odds[k]) < 1e-6, 1e-6, np.clip(odds[k], -30, 30))
+        q = 1 / (1 + np.exp(-mine))
+        # Jaakkola and Jordan: (q - 1/2) / x is the curvature of a parabola that is nowhere below the loss
+        size = np.bincount(rows.owner, weights=np.abs(rows.value), minlength=len(sure))
+        slope, curve = sure * (q - (p >= 0.5)), sure * (q - 0.5) / mine * size
+        out += [np.bincount(rows.place, weights=rows.value * slope[rows.owner], minlength=_SIZES[k])]
+        out += [np.bincount(rows.place, weights=np.abs(rows.value) * curve[rows.owner], minlength=_SIZES[k]), [sure.sum()]]
+    return np.concatenate(out)
+
+
+def _teach(docs: DataFrame, models: list[np.ndarray]) -> list[Bound]:
+    """What each view learns from the other one in all of ``docs``: sums of fixed size come to the driver."""
+    sizes = [n for size in _SIZES for n in (size, size, 1)]
+    chunks = -(-sum(sizes) // _CHUNK)
+    known = docs.sparkSession.sparkContext.broadcast(models)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(chunks * _CHUNK)
+        for _, views in _viewed(batches):
+            total[: sum(sizes)] += _taught(views, known.value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks)), pa.array([x.tobytes() for x in np.split(total, chunks)], pa.binary())], ["chunk", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, sums in zip(batch.column("chunk").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                totals[chunk] = totals.get(chunk, 0.0) + np.frombuffer(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["chunk", "sums"])
+
+    schema = "chunk long, sums binary"
+    out = np.zeros((chunks, _CHUNK))
+    for r in docs.select("text", "lang", "source").mapInArrow(scan, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        out[r["chunk"]] = np.frombuffer(r["sums"])
+    parts = np.split(out.ravel()[: sum(sizes)], np.cumsum(sizes)[:-1])
+    return [Bound(models[k], GIVEN_WEIGHT * parts[3 * k], GIVEN_WEIGHT * parts[3 * k + 1], GIVEN_WEIGHT * float(parts[3 * k + 2][0])) for k in (0, 1)]
+
+
 def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     for _ in range(50):
@@ -131,8 +192,10 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit on about LABELLED rows of each label and POOL unlabelled rows, which the driver gets."""
-    sizes = (BUCKETS + _DENSE, _NAMES + _FACTS)
+    """Fit on about LABELLED rows of each label, which the driver gets, and on all rows without one of those labels.
+
+    Rows that are held out teach nothing; those without an id are unlabelled.
+    """
     labelled = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good")).where(~held_out())
     n = {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
     share = {k: min(1.0, LABELLED / v) for k, v in n.items()}
@@ -140,36 +203,20 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     known = labelled.where(draw < F.when(F.col("good"), share.get(True, 0.0)).otherwise(share.get(False, 0.0)))
     docs = documents.select("doc_id", "text", "lang", "source")
     some = docs.join(F.broadcast(known), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    total = docs.where("doc_id is not null").count()
-    unlabelled = docs.where((draw >= 0.5) & (draw < 0.5 + 0.5 * min(1.0, 2 * POOL / max(total, 1))) & ~held_out())
-    pool = unlabelled.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    pool = pool[~pool["doc_id"].isin(some["doc_id"])]
     if not len(some):
-        return Model((np.zeros(sizes[0]), np.zeros(sizes[1])), [(0.0, 30.0), (0.0, 30.0)])
-    views, extra = (_views([t.encode() if t else None for t in x["text"]], x["lang"].tolist(), x["source"].tolist()) for x in (some, pool))
+        return Model((np.zeros(_SIZES[0]), np.zeros(_SIZES[1])), [(0.0, 30.0), (0.0, 30.0)])
+    unlabelled = docs.where(F.col("doc_id").isNull() | ~held_out()).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
+    views = _views([t.encode() if t else None for t in some["text"]], some["lang"].tolist(), some["source"].tolist())
     y = some["good"].to_numpy(np.float64)
     weight = np.array([1 / share[bool(g)] for g in y])
     apart = some["doc_id"].to_numpy(np.int64) % 4 == 0
     fitted, tested = np.flatnonzero(~apart), np.flatnonzero(apart)
     if not len(tested) or not len(fitted):
         fitted = tested = np.arange(len(y))
-    # what each view is fitted to: labelled rows, then rows of the pool that the other view labelled
-    given: list[dict[int, float]] = [{}, {}]
-    models = [np.zeros(s) for s in sizes]
-    for turn in range(ROUNDS + 1):
-        for k in (0, 1):
-            rows, more = views[k].some(fitted), extra[k].some(np.array(sorted(given[k]), dtype=np.int64))
-            both = Rows(np.concatenate([rows.place, more.place]), np.concatenate([rows.value, more.value]), np.concatenate([rows.count, more.count]))
-            target = np.concatenate([y[fitted], [given[k][i] for i in sorted(given[k])]])
-            models[k] = _fit(both, target, np.concatenate([weight[fitted], np.full(len(given[k]), 0.5)]), sizes[k])
-        if turn == ROUNDS or not len(pool):
-            break
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(extra[k].times(models[k]), -30, 30)))
-            free = np.array([i not in given[1 - k] for i in range(len(p))])
-            for good, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                given[1 - k] |= {int(i): good for i in best[free[best] & (sure[best] >= SURE)][:GIVEN]}
+    models = [_fit(views[k].some(fitted), y[fitted], weight[fitted], _SIZES[k]) for k in (0, 1)]
+    for _ in range(ROUNDS):
+        given = _teach(unlabelled, models)
+        models = [_fit(views[k].some(fitted), y[fitted], weight[fitted], _SIZES[k], given[k]) for k in (0, 1)]
     curves = [_platt(views[k].some(tested).times(models[k]), y[tested], weight[tested]) for k in (0, 1)]
     return Model((models[0], models[1]), curves)
 
@@ -206,8 +253,12 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch, views in _viewed(batches):
+        yield batch, model.score(views)
+
+
+def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[Rows, Rows]]]:
     for whole in batches:
         for x in range(0, len(whole), 512):
             batch = whole.slice(x, 512)
-            views = _views(texts(batch.column("text")), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-            yield batch, model.score(views)
+            yield batch, _views(texts(batch.column("text")), batch.column("lang").to_pylist(), batch.column("source").to_pylist())

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lexforge.llm import byte_bpe, private_data, source_mixture, toxicity
+from lexforge.llm import byte_bpe, private_data, quality_classifier, source_mixture, toxicity
 from lexforge.llm.byte_bpe import encode, encoded_digests
 from lexforge.llm.private_data import find_private, redact, spans_text
 from lexforge.llm.quality_classifier import score_quality
@@ -206,6 +206,37 @@ def test_quality(spark):
     assert np.mean([r.predicted == (r.doc_id % 7 != 0) for r in held]) > 0.97 and len(found) == 904
 
 
+def test_all_unlabelled_rows_teach(spark):
+    """What a rare source is like is known from its text alone, wherever a hash of the ids puts its rows."""
+    df, labels = labelled(spark)
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    ids = [r.id for r in spark.range(10_000, 10_900).where(draw < 0.5).where(~toxicity.held_out("id")).limit(150).collect()]
+    text = lambda i: " ".join(f"{'abcdefg'[(i * j) % 7]}{'gfedcba'[(i + j) % 7]}".upper() + "!!" for j in range(40))
+    rare = [(i, text(i), "xx", "rare", 1) for i in ids]
+    apart = [(k, "abc de fg", "xx", source, 1) for k, source in ((20_000, "rare"), (20_001, "other"))]
+    found = {r.doc_id: r for r in score_quality(df.union(spark.createDataFrame(rare + apart, df.schema)), labels).collect()}
+    assert found[20_000].metadata_score < found[20_001].metadata_score - 1e-4
+
+
+def test_rounds_sum_over_all_rows(spark):
+    df, labels = labelled(spark)
+    models = [np.random.default_rng(k).normal(0, 3, n) for k, n in enumerate(quality_classifier._SIZES)]
+    rows = df.collect()
+    views = quality_classifier._views([r.text.encode() if r.text else None for r in rows], [r.lang for r in rows], [r.source for r in rows])
+    bounds = quality_classifier._teach(df.repartition(5), models)
+    for k, b in enumerate(bounds):
+        p = 1 / (1 + np.exp(-np.clip(views[1 - k].times(models[1 - k]), -30, 30)))
+        sure = np.flatnonzero(np.abs(p - 0.5) >= 0.45)
+        assert 0 < len(sure) and b.weight == len(sure) * quality_classifier.GIVEN_WEIGHT
+        mine, y = views[k].some(sure), (p >= 0.5)[sure]
+        loss = lambda w: quality_classifier.GIVEN_WEIGHT * np.logaddexp(0, (1 - 2 * y) * mine.times(w)).sum()  # noqa: B023, E731
+        draw = np.random.default_rng(9)
+        for size in (1e-4, 0.1, 2):
+            step = draw.normal(0, size, len(b.at))
+            bound = loss(b.at) + b.gradient @ step + (b.curve * step * step).sum() / 2
+            assert loss(b.at + step) <= bound + 1e-6 and (size > 1e-3 or abs(loss(b.at + step) - bound) < 0.05)
+
+
 def test_models_without_labels(spark):
     df, labels = labelled(spark, 20)
     none = labels.limit(0)

@@ -5,20 +5,23 @@
    shingles, rare ones first and among them those of rare words; by that order a prefix of each set
    is taken, so long that linked sets share not one shingle of their prefixes but a number that
    grows with their sizes.
-3. Classes whose prefixes agree under one of a few min-hashes form a group if a bound allows a link
-   with its first class: counts of shingles in a few bins bound any overlap.
-4. The matrix has a row (shingle, group) for each shingle in the union of the group's prefixes, so
-   a group of thousands of near copies counts once for each shingle. Groups that share enough rows,
-   and whose sizes and bins allow a link, are a candidate pair. Whole sets are made again only for
-   groups of several classes and those in candidate pairs.
-5. A group is cut where it would be large; each part is compared in itself and with the first part.
-   What that connects is one group from now on, however large: links inside it are of no more
-   interest. The candidate pairs of these groups are compared part by part.
+3. Classes are partitioned into groups of similar ones by a few min-hashes of their whole sets. Of
+   the classes that agree under one, the leader is that whose min-hashes most classes share, so the
+   middle of a cloud of near copies leads it; a class joins its best leader if a bound allows a link.
+4. A group is cut where it would be large; each part is compared in itself and with the first part,
+   where the leader is. What that connects is one group from now on, however large: links inside it
+   are of no more interest.
+5. The matrix has a row (shingle, group) for each shingle in the union of the group's prefixes, so
+   a group of thousands of near copies counts once for each shingle. A row also bounds the sizes of
+   sets that may link through it: a shingle far back in a prefix serves only for smaller partners.
+   Groups that share enough such rows, and whose bins (counts of shingles by hash, which bound any
+   overlap) allow a link, are a candidate pair, and are compared part by part.
 6. A task gets two packed parts, bounds the overlap of each query with the union of the other
    part's sets and opens the part if the bound allows a link. Exact set sizes decide.
 7. The links' spanning forests go through distributed connected components.
 
-No group is dropped or capped: a large group is cut into parts, and all parts are compared.
+Whole sets are made again only for groups of several classes and those in candidate pairs. No group
+is dropped or capped: a large group is cut into parts, and all parts are compared.
 """
 
 from __future__ import annotations
@@ -39,9 +42,9 @@ from lexforge.llm.words import mixed, shingle_sets, texts
 WORD_BUCKETS = 1 << 16
 BUCKETS = 1 << 18
 _CHUNK = 1 << 14
-KEYS = 4
+KEYS = 8
 #: A power of two.
-BINS = 32
+BINS = 64
 #: A prefix is longer than it must be by one shingle for so many of the set.
 SHARE = 40
 PART_DOCS = 256
@@ -61,15 +64,13 @@ def jaccard_components(
     sets = durable(_prefixes(docs, k, percent, _counts(docs, k)))
     some = sets.where("id is not null and n > 0")
     reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "keys", "bins")]))
-    held = durable(_shared_tokens(reps))
-    near = _groups(reps.select("id", "n", "keys", "bins").join(held.select("id").distinct(), "id", "left_semi"), percent)
-    wanted = durable(_not_alone(held, near, percent))
-    cuts, parts = _cut(wanted)
-    packed = durable(_pack(docs, parts, k))
-    first = durable(_settle(_within(packed, cuts), percent))
+    held = durable(_shared_tokens(reps, percent))
+    near = durable(_groups(reps, percent))
+    cuts, parts = _cut(near)
+    first = durable(_settle(_within(durable(_pack(docs, parts, k)), cuts), percent))
     merged = components(first).withColumnRenamed("node", "id")
-    groups = durable(wanted.select("id", "n", "bins").join(merged, "id", "left").select("id", "n", "bins", F.coalesce("root", "id").alias("lead")))
-    second = durable(_settle(_across(packed, held, groups, percent), percent))
+    groups = durable(reps.select("id", "n", "bins").join(merged, "id", "left").select("id", "n", "bins", F.coalesce("root", "id").alias("lead")))
+    second = durable(_settle(_across(docs, held, groups, k, percent), percent))
     roots = components(first.union(second))
     classes = reps.select("s1", "s2", F.col("id").alias("node")).join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     return sets.join(classes, ["s1", "s2"], "left").select(
@@ -130,7 +131,7 @@ def _row(tokens: np.ndarray, load: np.ndarray, more: np.ndarray, percent: int) -
     long = xxhash.xxh3_128_intdigest(tokens.tobytes())
     reach = size - (percent * size + 99) // 100
     rare = tokens[np.lexsort((load, more[(tokens >> np.uint64(46)).astype(np.int64)]))[: reach + _shared(size)]]
-    keys = [mixed(rare[: reach + 1] ^ np.uint64(i + 1)).min().view(np.int64) if size else 0 for i in range(KEYS)]
+    keys = [mixed(tokens ^ np.uint64(i + 1)).min().view(np.int64) if size else 0 for i in range(KEYS)]
     bins = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32)
     return size, (long >> 64) - (1 << 63), (long & ((1 << 64) - 1)) - (1 << 63), rare.view(np.int64), keys, bins
 
@@ -151,11 +152,18 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts: tuple[np.ndarray, n
     return docs.mapInArrow(make, "id long, n long, s1 long, s2 long, prefix array<long>, keys array<long>, bins array<int>")
 
 
-def _shared_tokens(reps: DataFrame) -> DataFrame:
-    """(id, token): prefix shingles that more than one class has in its prefix."""
-    rows = reps.select("id", F.explode("prefix").alias("token"))
+def _shared_tokens(reps: DataFrame, percent: int) -> DataFrame:
+    """(id, token, n, reach): prefix shingles that more than one class has in its prefix.
+
+    Of sets of n and m shingles that link, at least t = percent (n + m) / (100 + percent) are common,
+    so the first ones of these are at places up to n - t + shared - 1 of the one: a shingle at some
+    place serves for partners of up to ``reach`` shingles. A class needs enough such shingles.
+    """
+    rows = reps.select("id", "n", F.posexplode("prefix").alias("p", "token"))
+    reach = F.floor((F.col("n") + F.floor(F.col("n") / SHARE) - F.col("p")) * (100 + percent) / percent) - F.col("n")
+    rows = rows.select("id", "token", F.col("n").cast("int"), F.least(reach, F.lit((1 << 31) - 1)).cast("int").alias("reach"))
     common = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    return rows.join(common, "token").select("id", "token")
+    return rows.join(common, "token").select("id", "token", "n", "reach")
 
 
 def _side_bins(groups: DataFrame, x: str) -> DataFrame:
@@ -165,45 +173,49 @@ def _side_bins(groups: DataFrame, x: str) -> DataFrame:
 def _allowed(percent: int):
     """Whether sizes and bins of two groups, a and b, leave room for a link."""
     bound = F.expr("aggregate(zip_with(a_bins, b_bins, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    sizes = (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
-    return sizes & (100 * bound >= percent * F.greatest("a_low", "b_low"))
+    return _sizes(percent) & ((100 + percent) * bound >= percent * (F.col("a_low") + F.col("b_low")))
+
+
+def _sizes(percent: int):
+    return (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
 
 
 def _groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(id, n, bins, lead): classes with like prefixes that a link may join get the same lead."""
-    each = F.posexplode("keys").alias("k", "key")
-    own = [F.col("n").alias(x) for x in ("b_low", "b_high")]
-    keyed = reps.select("id", F.col("bins").alias("b_bins"), *own, each)
-    first = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "b_low", "b_bins")).alias("x"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("k", "key", F.col("x.id").alias("lead"), F.col("x.b_low").alias("a_low"), F.col("x.b_low").alias("a_high"), F.col("x.b_bins").alias("a_bins"))
-    led = keyed.join(first, ["k", "key"]).where(_allowed(percent)).groupBy("id").agg(F.min("lead").alias("lead"))
-    return durable(reps.select("id", "n", "bins").join(led, "id", "left").select("id", "n", "bins", F.coalesce("lead", "id").alias("lead")))
+    """(id, n, lead): classes that share a leader, itself included, where a bound allows a link with it."""
+    keyed = reps.select("id", F.posexplode("keys").alias("k", "key"))
+    common = durable(keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1"))
+    alike = durable(keyed.join(common, ["k", "key"]))
+    middle = alike.groupBy("id").agg(F.sum("c").alias("c"))
+    ranked = F.struct("c", (-F.col("id")).alias("id"))
+    best = alike.select("id", "k", "key").join(middle, "id").groupBy("k", "key").agg(F.max(ranked).alias("x"))
+    led = alike.select("id", "k", "key").join(best, ["k", "key"]).groupBy("id").agg(F.max("x").alias("x")).select("id", (-F.col("x.id")).alias("lead"))
+    own = reps.join(led, "id").select("id", "lead", "n", *[F.col("n").alias(x) for x in ("b_low", "b_high")], F.col("bins").alias("b_bins"))
+    sides = reps.join(led.select("lead").distinct(), F.col("id") == F.col("lead")).select("lead", *[F.col("n").alias(x) for x in ("a_low", "a_high")], F.col("bins").alias("a_bins"))
+    joined = durable(own.join(sides, "lead").where((F.col("id") == F.col("lead")) | _allowed(percent)).select("id", "n", "lead"))
+    several = joined.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
+    return joined.join(several, "lead").select("id", "n", "lead")
 
 
 def _candidates(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: groups that share enough rows of the matrix and whose sizes and bins allow a link."""
     most = durable(groups.groupBy("lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.max(F.col("bins")[i]) for i in range(BINS)]).alias("bins")))
-    known = groups.select("id", "lead").join(most.select("lead", "low"), "lead")
-    matrix = held.join(known, "id").select("token", "lead", "low").distinct()
+    known = groups.select("id", "lead")
+    matrix = held.join(known, "id").groupBy("token", "lead").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
+    matrix = durable(matrix)
     common = matrix.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
     rows = durable(matrix.join(common, "token"))
-    side = lambda x: rows.select("token", F.col("lead").alias(x), F.col("low").alias(f"{x}_low"))
-    shared = side("a").join(side("b"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"), F.min(F.least("a_low", "b_low")).alias("low"))
-    pairs = shared.where(F.col("both") >= 1 + F.floor(F.col("low") / SHARE)).select("a", "b")
+    side = lambda x: rows.select("token", F.col("lead").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "reach")])
+    fits = (F.col("a_low") <= F.col("b_reach")) & (F.col("b_low") <= F.col("a_reach")) & _sizes(percent)
+    shared = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & fits)
+    pairs = shared.groupBy("a", "b").agg(F.count("*").alias("both"), F.min(F.least("a_low", "b_low")).alias("low"))
+    pairs = pairs.where(F.col("both") >= 1 + F.floor(F.col("low") / SHARE)).select("a", "b")
     return durable(pairs.join(_side_bins(most, "a"), "a").join(_side_bins(most, "b"), "b").where(_allowed(percent)).select("a", "b"))
 
 
-def _not_alone(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The classes of groups that hold several, or are in a candidate pair."""
-    paired = _candidates(held, groups, percent).select(F.explode(F.array("a", "b")).alias("lead"))
-    several = groups.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
-    return groups.join(paired.union(several).distinct(), "lead", "left_semi")
-
-
 def _cut(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lead, cuts, docs) of each group, and (id, part, split): each group in as many parts."""
     sizes = groups.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / PART_DOCS, F.sum("n") / PART_TOKENS)).alias("cuts"), F.count("*").alias("docs"))
-    cut = F.pmod(F.xxhash64("id"), "cuts")
+    cut = F.when(F.col("id") == F.col("lead"), 0).otherwise(F.pmod(F.xxhash64("id"), "cuts"))
     return sizes, groups.select("id", "lead").join(sizes, "lead").select("id", F.concat_ws(".", "lead", cut).alias("part"), (F.col("cuts") > 1).alias("split"))
 
 
@@ -270,24 +282,16 @@ def _within(packed: DataFrame, cuts: DataFrame) -> list[DataFrame]:
     return [own, pairs.join(_side(split, "a"), "a").join(_side(split, "b"), "b").select(*own.columns)]
 
 
-def _across(packed: DataFrame, held: DataFrame, groups: DataFrame, percent: int) -> list[DataFrame]:
-    """Parts of groups that share a row of the matrix and whose bins allow a link."""
+def _across(docs: DataFrame, held: DataFrame, groups: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Parts of groups that share rows of the matrix and whose bins allow a link."""
     pairs = _candidates(held, groups, percent)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("lead")).distinct()
+    used = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "lead")
     sizes, parts = _cut(groups.join(used, "lead", "left_semi"))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = _Part(row["ids"], row["ends"], row["tokens"])
-                yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array([x.tobytes() for _, x in part.each()], pa.binary())], ["id", "tokens"])
-
-    sets = packed.select(*_FIELDS).mapInArrow(unpack, "id long, tokens binary")
-    again = durable(_packed(sets.join(parts, "id").select("id", "part", "split", "tokens")))
+    packed = durable(_pack(docs, parts, k))
     each = lambda x: sizes.select(F.col("lead").alias(x), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias(f"{x}_cut"))
     named = lambda x: F.concat_ws(".", x, f"{x}_cut").alias(x)
     pairs = pairs.join(each("a"), "a").join(each("b"), "b").select(named("a"), named("b"))
-    both = pairs.join(_side(again, "a"), "a").join(_side(again, "b"), "b")
+    both = pairs.join(_side(packed, "a"), "a").join(_side(packed, "b"), "b")
     return [both.select(*[f"{x}_{c}" for x in "ab" for c in _FIELDS])]
 
 

@@ -7,7 +7,7 @@
    grows with their sizes.
 3. Classes are partitioned into groups of similar ones by a few min-hashes of their whole sets. Of
    the classes that agree under one, the leader is that whose min-hashes most classes share, so the
-   middle of a cloud of near copies leads it; a class joins its best leader if a bound allows a link.
+   middle of a cloud of near copies leads it; a class joins the leader that it agrees with most.
 4. A group is cut where it would be large; each part is compared in itself and with the first part,
    where the leader is. What that connects is one group from now on, however large: links inside it
    are of no more interest.
@@ -43,10 +43,12 @@ WORD_BUCKETS = 1 << 16
 BUCKETS = 1 << 18
 _CHUNK = 1 << 14
 KEYS = 8
+#: Classes that agree with a leader under so many of these share its group.
+AGREE = 3
 #: A power of two.
 BINS = 64
 #: A prefix is longer than it must be by one shingle for so many of the set.
-SHARE = 40
+SHARE = 100
 PART_DOCS = 256
 PART_TOKENS = 400_000
 
@@ -65,7 +67,7 @@ def jaccard_components(
     some = sets.where("id is not null and n > 0")
     reps = durable(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "keys", "bins")]))
     held = durable(_shared_tokens(reps, percent))
-    near = durable(_groups(reps, percent))
+    near = durable(_groups(reps))
     cuts, parts = _cut(near)
     first = durable(_settle(_within(durable(_pack(docs, parts, k)), cuts), percent))
     merged = components(first).withColumnRenamed("node", "id")
@@ -180,20 +182,20 @@ def _sizes(percent: int):
     return (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
 
 
-def _groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(id, n, lead): classes that share a leader, itself included, where a bound allows a link with it."""
-    keyed = reps.select("id", F.posexplode("keys").alias("k", "key"))
-    common = durable(keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1"))
+def _groups(reps: DataFrame) -> DataFrame:
+    """(id, n, lead): classes that agree with a leader under enough min-hashes, and the leader itself.
+
+    Which classes share a group decides where links are looked for first, not which are found.
+    """
+    keyed = reps.select("id", "n", F.posexplode("keys").alias("k", "key"))
+    common = keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1")
     alike = durable(keyed.join(common, ["k", "key"]))
     middle = alike.groupBy("id").agg(F.sum("c").alias("c"))
-    ranked = F.struct("c", (-F.col("id")).alias("id"))
-    best = alike.select("id", "k", "key").join(middle, "id").groupBy("k", "key").agg(F.max(ranked).alias("x"))
-    led = alike.select("id", "k", "key").join(best, ["k", "key"]).groupBy("id").agg(F.max("x").alias("x")).select("id", (-F.col("x.id")).alias("lead"))
-    own = reps.join(led, "id").select("id", "lead", "n", *[F.col("n").alias(x) for x in ("b_low", "b_high")], F.col("bins").alias("b_bins"))
-    sides = reps.join(led.select("lead").distinct(), F.col("id") == F.col("lead")).select("lead", *[F.col("n").alias(x) for x in ("a_low", "a_high")], F.col("bins").alias("a_bins"))
-    joined = durable(own.join(sides, "lead").where((F.col("id") == F.col("lead")) | _allowed(percent)).select("id", "n", "lead"))
-    several = joined.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
-    return joined.join(several, "lead").select("id", "n", "lead")
+    best = alike.join(middle.withColumnRenamed("c", "all"), "id").groupBy("k", "key").agg(F.max(F.struct("all", (-F.col("id")).alias("id"), "n")).alias("x"))
+    agreed = alike.select("id", "n", "k", "key").join(best, ["k", "key"]).groupBy("id", "n", "x").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE)
+    led = agreed.groupBy("id", "n").agg(F.max(F.struct("agree", "x")).alias("x")).select("id", "n", (-F.col("x.x.id")).alias("lead"), F.col("x.x.n").alias("lead_n"))
+    led = durable(led.where("id <> lead"))
+    return led.select("id", "n", "lead").union(led.select("lead", "lead_n", "lead").distinct())
 
 
 def _candidates(held: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

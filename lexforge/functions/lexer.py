@@ -15,8 +15,10 @@ KINDS = ("word", "hashtag", "mention", "emoji", "punct", "number", "url", "email
 VOWELS = "aáàâäąåoôóøeéèëêęiíïîıuúùûüyÿæœ"
 VOWELS_BOTH = VOWELS + "".join(c.upper() for c in VOWELS if len(c.upper()) == 1)
 
-#: What surrounds a field and a token in the rewritten text; no text has these noncharacters.
-_FIELD, _TOKEN = "\ufdd1", "\ufdd0"
+#: What surrounds a field and a token in the rewritten text: noncharacters, and others for texts that have one of them.
+_MARKS = (("\ufdd1", "\ufdd0"), ("\ufdd3", "\ufdd2"))
+#: White space of Unicode.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(None)
@@ -79,17 +81,27 @@ _FIELDS = ("$1$2$7$10$12", "$3", "$4", "$6", "$11", "$5", "$8", "$9")
 
 
 def word_tokens(col: ColumnOrName) -> Column:
-    """All tokens of a text as an array of (kind, text), in order; a null text gives null."""
-    marked = F.regexp_replace(column(col), pattern(), _TOKEN + _FIELD.join(_FIELDS))
+    """All tokens of a text as an array of (kind, text), in order; a null text gives null.
+
+    A text with a noncharacter of both pairs of marks (U+FDD0 to U+FDD3) is read with U+FFFD for those of the first.
+    """
+    text, (first, second) = column(col), _MARKS
+    has = lambda marks: F.contains(text, F.lit(marks[0])) | F.contains(text, F.lit(marks[1]))
+    plain = F.translate(text, "".join(first), "\ufffd" * 2)
+    return F.when(~has(first), _lexed(text, *first)).when(~has(second), _lexed(text, *second)).otherwise(_lexed(plain, *first))
+
+
+def _lexed(text: Column, field: str, token_mark: str) -> Column:
+    marked = F.regexp_replace(text, pattern(), token_mark + field.join(_FIELDS))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    empty = _FIELD * (len(KINDS) - 1)
+    empty = field * (len(KINDS) - 1)
 
     def token(piece: Column) -> Column:
-        text = F.ltrim(piece, F.lit(_FIELD))
-        kind = F.element_at(kinds, F.length(piece) - F.length(text) + 1)
-        return F.struct(kind.alias("kind"), F.regexp_replace(F.translate(text, _FIELD, ""), r"(?U)\s+\z", "").alias("text"))
+        body = F.ltrim(piece, F.lit(field))
+        kind = F.try_element_at(kinds, F.length(piece) - F.length(body) + 1)
+        return F.struct(kind.alias("kind"), F.rtrim(body, F.lit(field + _SPACES)).alias("text"))
 
-    pieces = F.filter(F.split(marked, _TOKEN), lambda p: (p != "") & (p != empty))
+    pieces = F.filter(F.split(marked, token_mark), lambda p: (p != "") & (p != empty))
     return F.transform(pieces, token)
 
 
@@ -110,6 +122,12 @@ def token_pair(token: ColumnOrName) -> Column:
     return F.struct(token["text"].alias("text"), token["kind"].alias("kind"))
 
 
+def parsed_kind(col: ColumnOrName) -> Column:
+    """The kind that a string names, as tokens write it; null for any other string."""
+    name = column(col)
+    return F.when(name.isin(*KINDS), name)
+
+
 def checked_kind(kind: str) -> str:
     if kind not in KINDS:
         raise ValueError(f"unknown word token kind {kind!r}")

@@ -19,7 +19,19 @@ SPECIAL = {
     "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H",
     "ŋ": "ng", "Ŋ": "NG", "ĸ": "k", "ŧ": "t", "Ŧ": "T", "ŉ": "'n", "ſ": "s",
     "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": ",,", "‟": '"', "«": "<<", "»": ">>",
-    "–": "-", "—": "--", "…": "...", " ": " ", "·": "*", "€": "EUR", "£": "PS", "°": "deg",
+    "–": "-", "—": "--", "…": "...", "\xa0": " ", "€": "EUR", "¡": "!", "¢": "C/", "£": "PS", "¤": "$?", "¥": "Y=", "¦": "|",
+    "§": "SS", "¨": '"', "©": "(c)", "ª": "a", "¬": "!", "®": "(r)", "¯": "-", "°": "deg", "±": "+-", "²": "2", "³": "3",
+    "´": "'", "µ": "u", "¶": "P", "·": "*", "¸": ",", "¹": "1", "º": "o", "¼": "1/4", "½": "1/2", "¾": "3/4", "¿": "?",
+    "×": "x", "÷": "/",
+}
+#: Greek and Cyrillic capitals in ASCII; small letters take the same in lower case.
+CAPITALS = {
+    "Α": "A", "Β": "B", "Γ": "G", "Δ": "D", "Ε": "E", "Ζ": "Z", "Η": "E", "Θ": "Th", "Ι": "I", "Κ": "K", "Λ": "L", "Μ": "M",
+    "Ν": "N", "Ξ": "X", "Ο": "O", "Π": "P", "Ρ": "R", "Σ": "S", "Τ": "T", "Υ": "U", "Φ": "Ph", "Χ": "Kh", "Ψ": "Ps", "Ω": "O",
+    "А": "A", "Б": "B", "В": "V", "Г": "G", "Д": "D", "Е": "E", "Ж": "Zh", "З": "Z", "И": "I", "К": "K", "Л": "L", "М": "M",
+    "Н": "N", "О": "O", "П": "P", "Р": "R", "С": "S", "Т": "T", "У": "U", "Ф": "F", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh",
+    "Щ": "Shch", "Ъ": "'", "Ы": "Y", "Ь": "'", "Э": "E", "Ю": "Iu", "Я": "Ia", "Ё": "Io", "Ђ": "Dj", "Є": "Ie", "Ѕ": "Dz", "І": "I",
+    "Ї": "Yi", "Ј": "J", "Љ": "Lj", "Њ": "Nj", "Ћ": "Tsh", "Џ": "Dzh", "Ґ": "G",
 }
 
 
@@ -49,18 +61,32 @@ def _one_to_one() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-def unidecode(col: ColumnOrName) -> Column:
-    """Latin letters and common punctuation in ASCII; any other character beyond ASCII goes.
+@lru_cache(1)
+def _greek_and_cyrillic() -> dict[str, str]:
+    """Letters of both scripts, those with marks by their base letter."""
+    found = {k: v for x, y in CAPITALS.items() for k, v in ((x.lower(), y.lower()), (x, y))} | {"ς": "s"}
+    for code in range(0x370, 0x500):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base in found and chr(code) not in found:
+            found[chr(code)] = found[base]
+    return found
+
 
-    Scripts other than Latin are not transliterated.
-    """
+def _replaced(col: Column, table: dict[str, str]) -> Column:
+    for k, v in table.items():
+        if len(v) > 1:
+            col = F.replace(col, F.lit(k), F.lit(v))
+    return col
+
+
+def unidecode(col: ColumnOrName) -> Column:
+    """Latin, Greek and Cyrillic letters and common signs in ASCII; any other character beyond ASCII goes."""
     col = column(col)
-    several = {k: v for k, v in SPECIAL.items() if len(v) > 1}
-    out = F.translate(col, *_one_to_one())
-    for k, v in several.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    out = F.regexp_replace(out, r"[^\x00-\x7F]", "")
-    return F.when(col.rlike(r"[^\x00-\x7F]"), out).otherwise(col)
+    letters = _greek_and_cyrillic()
+    ones = {k: v for k, v in letters.items() if len(v) == 1}
+    other = _replaced(F.translate(col, "".join(ones), "".join(ones.values())), letters)
+    latin = bind(F.when(col.rlike(r"[\x{370}-\x{4FF}]"), other).otherwise(col), lambda c: _replaced(F.translate(c, *_one_to_one()), SPECIAL))
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(latin, r"[^\x00-\x7F]", "")).otherwise(col)
 
 
 def bind(value: Column, body) -> Column:

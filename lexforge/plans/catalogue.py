@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import keys, ngrams, normalize, phonetics, segments, stemmers
-from lexforge.functions.lexer import word_tokens
+from lexforge.functions.lexer import KINDS, parsed_kind, simple_tokens, token_pair, token_struct, word_tokens
 from lexforge.functions.tokenizer import WordTokenizer, is_junk, starts_with_vowel
 from lexforge.operators import tables
 from lexforge.plans import golden, oracles
 from lexforge.sources import names
 
+MARKED = golden.MARKED
 STOPWORDS = ("the", "of", "and", "de", "la", "der", "die", "que", "en")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,10 +80,52 @@ def _golden_tokens(spark: SparkSession, d: str) -> DataFrame:
     return df.select("number", F.posexplode(word_tokens("input")).alias("pos", "t")).select("number", "pos", "t.kind", "t.text")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """What all executors see: the folder of checkpoints. A local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return named or tempfile.gettempdir()
+
+
+def _token_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents as tokens made by hand, as (text, kind)."""
+    words = _tokens(simple=True)(spark, d)
+    return words.select("doc_id", "pos", token_pair(token_struct("text", "word")).alias("p")).select("doc_id", "pos", F.col("p.text").alias("text"), F.col("p.kind").alias("kind"))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Strings that are names of kinds, and others."""
+    names_ = spark.createDataFrame([(k,) for k in [*KINDS, "Word", "", "smiley"]], "input string").union(_table(spark, d, "conversations").select("role"))
+    return names_.distinct().select("input", parsed_kind("input").alias("kind"))
+
+
+def _hashtags(spark: SparkSession, d: str) -> DataFrame:
+    """Hashtags made of each document's first words, capitals first, with its size between, and their parts."""
+    word = lambda i: F.initcap(F.try_element_at(F.col("w"), F.lit(i)))
+    words = _table(spark, d, "documents").select("doc_id", "n_chars", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    tags = words.select("doc_id", F.concat(F.lit("#"), F.concat_ws("", word(1), word(2), F.col("n_chars").cast("string"), word(3), word(4))).alias("tag"))
+    return tags.select("doc_id", F.posexplode(segments.split_hashtag("tag")).alias("pos", "part"))
+
+
+def _doc_grams(spark: SparkSession, d: str) -> DataFrame:
+    """How often each two-word gram of whole documents occurs."""
+    words = F.transform(simple_tokens("text"), lambda t: t["text"])
+    grams = _table(spark, d, "documents").select(F.explode(F.transform(ngrams.ngrams(words, 2), lambda g: F.array_join(g, " "))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def _marked_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of documents to which elisions, contractions, emoji, addresses and tags are added: the last ones, counted from the end."""
+    more = F.concat(F.col("text"), F.lit(f"\n{MARKED}"))
+    tokens = F.slice(word_tokens(more), -len(golden.MARKED_TOKENS), len(golden.MARKED_TOKENS))
+    return _table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(tokens).alias("pos", "t")).select("doc_id", "pos", "t.kind", "t.text")
+
+
 def _csv(spark: SparkSession, d: str) -> DataFrame:
     """Part names through a CSV file and back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder}/names-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = f"{_shared_folder(spark)}/names-{uuid.uuid4().hex}"
     _table(spark, d, "part").select("p_name", F.col("p_partkey").cast("string").alias("p_partkey")).write.option("header", True).mode("overwrite").csv(f"{path}-in")
     names.encode_csv(spark, f"{path}-in", f"{path}-out")
     return names.read_csv(spark, f"{path}-out")
@@ -103,6 +147,13 @@ QUERIES: dict[str, Query] = {
     "tokens_whitelist": _counted(_tokens(_PLAIN.kind_whitelist(["number", "mention"])), "kind", "text"),
     "tokens_min_max": _counted(_tokens(_PLAIN.min_token_chars(4).max_token_chars(7)), "doc_id"),
     "tokens_stopwords": _counted(_tokens(_PLAIN.stopwords(STOPWORDS)), "doc_id"),
+    "tokens_insert_stopword": _counted(_tokens(WordTokenizer().insert_stopword("the").insert_stopword("").insert_stopword("Que"), simple=True), "doc_id"),
+    "token_pairs": _token_pairs,
+    "token_kinds": _kinds,
+    "tokens_marked_docs": _marked_tokens,
+    "hashtag_parts_docs": _hashtags,
+    "ngrams_docs_2": _doc_grams,
+    "unidecode_golden": _golden(golden.UNIDECODE, normalize.unidecode),
     "tokens_no_junk": _counted(_tokens(_PLAIN.filter_junk()), "doc_id"),
     "junk_words": lambda spark, d: tables.vocabulary(_table(spark, d, "documents")).select("word", is_junk("word").alias("junk"), starts_with_vowel("word").alias("vowel")),
     "junk_golden": _golden(golden.JUNK, is_junk),

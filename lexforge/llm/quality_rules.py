@@ -28,7 +28,7 @@ def with_measures(documents: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumns(
         {
             "_words": F.expr(r"filter(split(_text, '[ \\t-\\r]+'), w -> w <> '')"),
-            "_lines": F.expr(r"filter(split(_text, '\n'), l -> translate(l, ' \t\u000b\f\r', '') <> '')"),
+            "_lines": F.expr(r"filter(split(_text, '\n'), l -> translate(l, ' \t\u000b\u000c\r', '') <> '')"),
             "word_chars": F.length(solid).cast("long"),
             "n_symbols": (F.length("_text") - F.length(F.translate(F.col("_text"), "#*$%&|<>", ""))).cast("long"),
         }

@@ -194,7 +194,8 @@ class Model:
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on about LABELLED rows of each label, which the driver gets, and on all rows without one of those labels.
 
-    Rows that are held out teach nothing; those without an id are unlabelled.
+    Rows that are held out teach nothing; those without an id are unlabelled. Of labelled rows that
+    repeat an id the one of smallest text, language and source counts.
     """
     labelled = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good")).where(~held_out())
     n = {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
@@ -202,7 +203,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     known = labelled.where(draw < F.when(F.col("good"), share.get(True, 0.0)).otherwise(share.get(False, 0.0)))
     docs = documents.select("doc_id", "text", "lang", "source")
-    some = docs.join(F.broadcast(known), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    some = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct("text", "lang", "source")).alias("d"))
+    some = some.select("doc_id", "good", "d.*").toPandas().sort_values("doc_id")
     if not len(some):
         return Model((np.zeros(_SIZES[0]), np.zeros(_SIZES[1])), [(0.0, 30.0), (0.0, 30.0)])
     unlabelled = docs.where(F.col("doc_id").isNull() | ~held_out()).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")

@@ -1,12 +1,14 @@
 """Toxicity from the nearest labelled examples by TF-IDF cosine.
 
 A bounded sample of labelled documents is the index. Its terms are words, and beginnings of words,
-that labelled-toxic examples have much more often than others; inverse document frequencies of
-these terms are counted over all documents. The index is inverted and cut into blocks of examples;
-for each term and block it holds the largest weight. A query adds these up to bound its cosine with
-every block, opens blocks from the largest bound on, and stops where the bound is below the k-th
-best cosine, so its neighbours are exact. Votes weighted by nearness are calibrated by a logistic
-curve fitted to the examples, each left out of its own neighbours.
+that labelled-toxic examples have surely more often than others; inverse document frequencies of
+these terms are counted over all documents. (Over all words, nearness is of topics: the README has
+figures.) The index is inverted: a term's postings lie by example and fall into blocks of examples,
+and each block has its largest weight. A query adds these up to bound its cosine with every block,
+opens blocks from the largest bound on, reads in them the postings of its own terms only, and stops
+where the bound is below the k-th best cosine, so its neighbours are exact. Votes weighted by
+nearness are calibrated by a logistic curve fitted to the examples, each left out of its own
+neighbours.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.words import texts, word_numbers
 
-#: Bounds of the index: examples of each label, about, by a hash of their id; and terms.
+#: Bounds of the index: examples of each label, about, by a hash of their id. Their texts bound its terms.
 TOXIC_EXAMPLES = 3000
 OTHER_EXAMPLES = 5000
-TERMS = 8192
 NEIGHBOURS = 15
 BLOCK = 64
 HEAD = 5
@@ -41,11 +42,11 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    rows: np.ndarray  # postings by block and term: example, term, weight
-    columns: np.ndarray
+    rows: np.ndarray  # postings by term and then by example: example and weight
     weights: np.ndarray
-    starts: np.ndarray
-    largest: np.ndarray
+    starts: np.ndarray  # by term and block: where its postings begin
+    largest: np.ndarray  # by term and block: the largest weight
+    block: int  # examples in a block
     slope: float = 1.0
     shift: float = 0.0
     alone: float = 0.0
@@ -53,17 +54,18 @@ class Index:
     def query(self, at: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, exactly; ``at`` and ``weight`` are a unit vector."""
         bounds = weight @ self.largest[at]
-        full = np.zeros(len(self.terms) + 1)
-        full[at] = weight
         best, cosines = np.zeros(0, dtype=np.int64), np.zeros(0)
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or len(best) == NEIGHBOURS and bounds[b] < cosines[-1] - 1e-12:
                 break
-            part = slice(self.starts[b], self.starts[b + 1])
-            dots = np.bincount(self.rows[part] - b * BLOCK, weights=self.weights[part] * full[self.columns[part]], minlength=BLOCK)
+            some = np.flatnonzero(self.largest[at, b])
+            first = self.starts[at[some], b]
+            n = self.starts[at[some], b + 1] - first
+            postings = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            dots = np.bincount(self.rows[postings] - b * self.block, weights=self.weights[postings] * np.repeat(weight[some], n), minlength=self.block)
             found = np.flatnonzero(dots > 0)
-            found = found[found + b * BLOCK != skip]
-            best, cosines = np.concatenate([best, found + b * BLOCK]), np.concatenate([cosines, dots[found]])
+            found = found[found + b * self.block != skip]
+            best, cosines = np.concatenate([best, found + b * self.block]), np.concatenate([cosines, dots[found]])
             keep = np.lexsort((best, -cosines))[:NEIGHBOURS]
             best, cosines = best[keep], cosines[keep]
         return best, cosines
@@ -112,7 +114,9 @@ def build_index(documents: DataFrame, labels: DataFrame) -> Index:
     bound = {True: TOXIC_EXAMPLES, False: OTHER_EXAMPLES}
     share = {t: min(1.0, bound[t] / n) for t, n in sizes.items()}
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic"), share.get(True, 0.0)).otherwise(share.get(False, 0.0)) * (1 << 30)
-    some = documents.select("doc_id", "text").join(F.broadcast(labelled.where(pick)), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # of rows that repeat an id the one of smallest text counts, so that few rows come to the driver and reruns agree
+    some = documents.select("doc_id", "text").join(F.broadcast(labelled.where(pick)), "doc_id")
+    some = some.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     ids, toxic = some["doc_id"].to_numpy(np.int64), some["toxic"].to_numpy(bool)
     column = [t.encode() if t else None for t in some["text"]]
     bags = [x for x, _ in _counts(column)]
@@ -130,7 +134,11 @@ def build_index(documents: DataFrame, labels: DataFrame) -> Index:
     weights = np.concatenate([vectors[o][1] for o in order] or [np.zeros(0)])
     largest = np.zeros((len(terms) + 1, blocks))
     np.maximum.at(largest, (columns, rows // BLOCK), weights)
-    index = Index(terms, idf, ids[order], toxic[order].astype(np.float64), rows, columns, weights, np.searchsorted(rows, np.arange(blocks + 1) * BLOCK), largest)
+    by = np.lexsort((rows, columns))
+    rows, columns, weights = rows[by], columns[by], weights[by]
+    edges = np.arange(len(terms) + 1)[:, None] * blocks + np.arange(blocks + 1)
+    starts = np.searchsorted(columns * blocks + rows // BLOCK, edges) if blocks else np.zeros((len(terms) + 1, 1), dtype=np.int64)
+    index = Index(terms, idf, ids[order], toxic[order].astype(np.float64), rows, weights, starts, largest, BLOCK)
     _calibrate(index, [vectors[o] for o in order], order, toxic, share)
     return index
 
@@ -143,13 +151,11 @@ def _terms(bags: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     n, m = toxic.sum() + 1.0, (~toxic).sum() + 1.0
     odds = np.log((a + 0.5) / n) - np.log((b + 0.5) / m)
     sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    good = np.flatnonzero((a + b >= 3) & (odds > 1) & (sure > 1.64))
-    good = good[np.argsort(-sure[good], kind="stable")[:TERMS]]
-    return np.sort(each[good])
+    return each[(a + b >= 3) & (odds > 1) & (sure > 1.64)]
 
 
 def _idf(documents: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """Over all documents: at most TERMS + 1 rows come to the driver."""
+    """Over all documents: a row for each term comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms) + 1, dtype=np.int64)
@@ -193,7 +199,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text, and one without any indexed term, gets the rate of such examples. Labels
     that are null or of no document teach nothing; of several labels of a document the highest
-    counts. Without toxic labels all scores are near 0. Rows may repeat; other columns are ignored.
+    counts. Without toxic labels all scores are near 0. Rows may repeat (of an example's texts the
+    smallest is learned from); other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels))

@@ -65,7 +65,7 @@ def pieces(column: Sequence[bytes | None]) -> Iterator[tuple[int, bytes, np.ndar
 def word_numbers(column: Sequence[bytes | None], head: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of texts: the first one's index, the words of each, and all words' numbers in order.
 
-    With ``head``, each word is followed by the number of its first ``head`` bytes, or of itself.
+    With ``head``, each word is followed by the number of its first ``head`` characters, or of itself.
     """
     numbers, white = _bytes()
     for first, raw, begins in pieces(column):
@@ -80,8 +80,9 @@ def word_numbers(column: Sequence[bytes | None], head: int = 0) -> Iterator[tupl
         found = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
         counts = np.diff(np.searchsorted(start, np.append(begins, len(data) + 1)))
         if head:
-            short = np.minimum(end - start, head)
-            heads = mixed((total[start + short] - total[start]) * down[start] + np.uint64(1 << 20))
+            first_bytes = np.append(np.flatnonzero((data & 0xC0) != 0x80), np.full(head, len(data)))  # of characters
+            stop = np.minimum(end, first_bytes[np.searchsorted(first_bytes, start) + head])
+            heads = mixed((total[stop] - total[start]) * down[start] + np.uint64(1 << 20))
             found, counts = np.column_stack([found, heads]).ravel(), 2 * counts
         yield first, counts, found
 

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where none is
-    named (a local test session) a temporary one is set.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. A local session that
+    names none gets a temporary one; on a cluster that is an error, as executors share no local folder.
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -35,10 +35,23 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph.
 

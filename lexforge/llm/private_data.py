@@ -5,7 +5,8 @@ Strings that only resemble an identifier (a phone number without a country code,
 that fails its check digit, an address without a domain's dot, a dotted number out of range) are
 instances not yet believed. Spark scores the graph of patterns and instances in rounds: a pattern
 by the mean score of its instances, shrunk towards 0, an instance by the noisy-or of its patterns.
-Strings that end at or above the acceptance score are spans too.
+Scores only rise; rounds go on until two in a row accept nothing new. Strings at or above the
+acceptance score are spans too.
 
 One scan yields a short row per document; only those rows are joined and grouped. Each base search
 is linear in the length of the text.
@@ -21,10 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm._shared import durable
+from lexforge.llm._shared import durable, unused
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds in a row that accept nothing new before scoring ends.
+QUIET = 2
 #: A pattern of n instances whose scores sum to s has confidence s / (n + PRIOR).
 PRIOR = 1.0
 ACCEPT = 0.5
@@ -43,8 +45,7 @@ _LOOSE = (
     ("phone", re.compile(r"\(?[0-9][ ().0-9-]+[0-9]")),
 )
 _BLANK = " \t\n\x0b\f\r"
-_LEFT = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\Z")
-_RIGHT = re.compile(r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,64})")
+_RIGHT = re.compile(r"[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)")
 _EDGE = ".,;:!?\"'()[]{}<>"
 
 Span = tuple[str, int, int]
@@ -107,16 +108,32 @@ def _loose_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-def _contexts(text: str, kind: str, x: int, y: int) -> list[str]:
-    """Lexical patterns around a string: two words before it, and a word on each side."""
-    left = _LEFT.search(text[max(0, x - 160) : x])
-    if not left:
+def _word_before(text: str, at: int) -> tuple[int, str]:
+    """Where the word before a blank begins, and the word; "" if there is none."""
+    stop = at
+    while stop and text[stop - 1] in _BLANK:
+        stop -= 1
+    start = stop
+    while stop < at and start and text[start - 1] not in _BLANK:
+        start -= 1
+    return start, text[start:stop]
+
+
+def _contexts(text: str, kind: str, x: int, y: int) -> list[int]:
+    """Lexical patterns around a string, as numbers: two words before it, and a word on each side.
+
+    A string that follows no blank has none, so each word of a text is read a few times at most.
+    """
+    at, near = _word_before(text, x)
+    far = _word_before(text, at)[1] if near else ""
+    if not far:
         return []
-    a, b = (w.strip(_EDGE).lower() for w in left.groups())
-    right = _RIGHT.match(text, y, y + 240)
+    a, b = (w.strip(_EDGE).lower() for w in (far, near))
+    right = _RIGHT.match(text, y)
     c = right[1].strip(_EDGE).lower() if right else ""
     found = [f"{kind}|{a} {b} _"] if a and b and not _DIGIT.search(a + b) else []
-    return found + ([f"{kind}|{b} _ {c}"] if b and c and not _DIGIT.search(b + c) else [])
+    found += [f"{kind}|{b} _ {c}"] if b and c and not _DIGIT.search(b + c) else []
+    return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63) for p in found]
 
 
 def _digest(text: str) -> Column:
@@ -124,19 +141,19 @@ def _digest(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def find_private(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
+def find_private(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """One row per document: id, ``base`` and ``extra``, arrays of (kind, from, to) in code points.
 
     A null text is empty. Rows that repeat an id are judged each by its own text, also those
     without an id. Other columns are ignored. ``extra`` holds what the contexts add, in order.
     """
-    return _found(documents, id_col, text_col, accept, rounds).select(F.col("id").alias(id_col), "base", "extra")
+    return _found(documents, id_col, text_col, accept).select(F.col("id").alias(id_col), "base", "extra")
 
 
-def _found(documents: DataFrame, id_col: str, text_col: str, accept: float, rounds: int) -> DataFrame:
+def _found(documents: DataFrame, id_col: str, text_col: str, accept: float) -> DataFrame:
     """One row per document: ``id``, ``i`` and ``none`` (the id, or 0 and true), ``key`` (the text's digest), ``base``, ``extra``."""
     span = pa.struct([("kind", pa.string()), ("from", pa.int64()), ("to", pa.int64())])
-    loose = pa.struct([("kind", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
+    loose = pa.struct([("kind", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +175,9 @@ def _found(documents: DataFrame, id_col: str, text_col: str, accept: float, roun
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("key"))
     kept = "id long, key long, base array<struct<kind: string, from: long, to: long>>"
-    found = durable(docs.mapInArrow(scan, f"{kept}, loose array<struct<kind: string, from: long, to: long, seed: boolean, instance: long, patterns: array<string>>>"))
+    found = durable(docs.mapInArrow(scan, f"{kept}, loose array<struct<kind: string, from: long, to: long, seed: boolean, instance: long, patterns: array<long>>>"))
     mentions = found.select("id", "key", F.explode("loose").alias("m")).select("id", "key", "m.*")
-    believed = _believed(mentions, rounds).where(F.col("score") >= accept).select("instance")
+    believed = _believed(mentions, accept)
     extra = (
         mentions.where("not seed")
         .join(believed, "instance")
@@ -178,18 +195,23 @@ def _found(documents: DataFrame, id_col: str, text_col: str, accept: float, roun
     )
 
 
-def _believed(mentions: DataFrame, rounds: int) -> DataFrame:
-    """(instance, score) after some rounds over the graph of patterns and instances."""
+def _believed(mentions: DataFrame, accept: float) -> DataFrame:
+    """The instances that the graph of patterns and instances gives the acceptance score at least."""
     edges = durable(mentions.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(rounds):
+    good = F.col("score") >= accept
+    seen, quiet = -1, 0
+    while quiet < QUIET:
         patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"))
         scores = durable(
             edges.join(patterns, "pattern")
             .groupBy("instance")
             .agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         )
-    return scores
+        n = scores.where(good).count()
+        quiet = quiet + 1 if n == seen else 0
+        seen = n
+    return scores.where(good).select("instance")
 
 
 def spans_text(spans: Column) -> Column:
@@ -205,19 +227,19 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of spans that overlap, the whole stretch is replaced by the first one's kind. Every row is
     redacted by its own text, also rows that repeat an id and those without one. A null text stays.
     """
-    spans = _found(documents, id_col, text_col, ACCEPT, ROUNDS).where(F.size("base") + F.size("extra") > 0)
-    keys = ["_id", "_none", "_digest"]
-    # rows of one id and one text have the same spans
-    listed = spans.groupBy(F.col("i").alias("_id"), F.col("none").alias("_none"), F.col("key").alias("_digest")).agg(F.first(F.concat("base", "extra")).alias("_spans"))
+    spans = _found(documents, id_col, text_col, ACCEPT).where(F.size("base") + F.size("extra") > 0)
     names = documents.columns
+    *keys, listed_in = unused(names, "_id", "_none", "_digest", "_spans")
+    # rows of one id and one text have the same spans
+    listed = spans.groupBy(*[F.col(c).alias(k) for c, k in zip(("i", "none", "key"), keys, strict=True)]).agg(F.first(F.concat("base", "extra")).alias(listed_in))
     number = F.col(id_col).cast("long")
-    docs = documents.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull(), "_digest": _digest(text_col)})
+    docs = documents.withColumns(dict(zip(keys, (F.coalesce(number, F.lit(0)), number.isNull(), _digest(text_col)), strict=True)))
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             at = batch.schema.get_field_index(text_col)
-            for text, some in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, some in zip(batch.column(at).to_pylist(), batch.column(listed_in).to_pylist(), strict=True):
                 parts, last = [], 0
                 for s in sorted(some or [], key=lambda s: (s["from"], -s["to"])):
                     if s["from"] >= last:
@@ -226,4 +248,4 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append("".join([*parts, text[last:]]) if parts else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in names], names)
 
-    return docs.join(listed, keys, "left").select(*names, "_spans").mapInArrow(replace, documents.schema)
+    return docs.join(listed, keys, "left").select(*names, listed_in).mapInArrow(replace, documents.schema)

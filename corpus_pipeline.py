@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm._shared import durable, shared_path, table
+from lexforge.llm._shared import durable, shared_path, table, unused
 from lexforge.llm.byte_bpe import encode
 from lexforge.llm.jaccard_join import jaccard_components
 from lexforge.llm.private_data import redact
@@ -29,7 +29,11 @@ FEW_IDS = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject, each row judged by itself."""
+    """Documents that the quality classifier does not reject, each row judged by itself.
+
+    So rows without an id, and rows that repeat one, go or stay by their own text, language and
+    source; null or empty texts are scored like any other. All columns and repeats stay as they are.
+    """
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -42,44 +46,57 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with nothing: one row stays for each id, and all rows that have no id either.
     """
     nothing = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = _numbered(docs.where(~nothing))
-    found = durable(jaccard_components(keyed, NEAR_WORDS, NEAR_PERCENT, "_row").distinct())
+    row = unused(docs.columns, "_row")[0]
+    keyed = _numbered(docs.where(~nothing), row)
+    found = durable(jaccard_components(keyed, NEAR_WORDS, NEAR_PERCENT, row).distinct())
     large = found.groupBy("component_id").agg(F.count("*").alias("c")).where("c > 1").select("component_id")
-    members = found.join(large, "component_id").join(keyed.select("_row", "doc_id").distinct(), "_row")
+    members = found.join(large, "component_id").join(keyed.select(row, "doc_id").distinct(), row).withColumnRenamed(row, "_row")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
-    dropped = members.join(first, "component_id").where("_row <> m._row").select("_row")
-    single = keyed.dropDuplicates(["_row"]).join(dropped, "_row", "left_anti")
+    dropped = members.join(first, "component_id").where("_row <> m._row").select(F.col("_row").alias(row))
+    single = keyed.dropDuplicates([row]).join(dropped, row, "left_anti")
     return single.select(*docs.columns).union(docs.where(nothing))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with ``_row``: the id where all its rows have one text, else a hash of id and text.
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a number: the id where all its rows have one text, else a hash of id and text.
 
     A hash has 64 bits, so that two documents share a number with a chance of about n * n / 2**65.
     """
     text = F.coalesce("text", F.lit(""))
+    mark = unused([*docs.columns, row], "_several")[0]
     own = F.xxhash64(F.lit("row"), F.col("doc_id").isNull(), "doc_id", text)
-    several = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("_several")))
+    several = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias(mark)))
     n = several.count()
     if not n:
-        return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), own))
+        return docs.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), own))
     marked = docs.join(F.broadcast(several) if n <= FEW_IDS else several, "doc_id", "left")
-    number = F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id").cast("long"))
-    return marked.select(*docs.columns, number.alias("_row"))
+    number = F.when(F.col("doc_id").isNull() | F.col(mark), own).otherwise(F.col("doc_id").cast("long"))
+    return marked.select(*docs.columns, number.alias(row))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
+    """The documents with personal data replaced by its kind, and ``n_chars`` of what is left.
+
+    Every row is redacted by its own text, also without an id or with one that repeats. A null text
+    stays null, with null ``n_chars``; an empty one stays.
+    """
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mixture of sources takes of the documents, repeats as further rows."""
+    """What the mixture of sources takes of the documents, repeats as further rows.
+
+    Rows that repeat are documents of their own. Texts without a word, null or not, have nothing to
+    take and go; so do documents that no drawn block touches. A null source is a source, the last one.
+    """
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, as little-endian unsigned 32-bit numbers, and their count."""
+    """The documents with their token ids, as little-endian unsigned 32-bit numbers, and their count.
+
+    A null text has no tokens. Columns that are called ``ids`` or ``n_tokens`` give way to these.
+    """
     ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
     there = encode(docs, ranks, public_tokenizers.PATTERN)
     return there.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

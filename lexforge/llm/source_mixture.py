@@ -3,7 +3,8 @@
 The texts of a source, in a pseudorandom order, are one stream of words that is cut into blocks of
 a fixed length. Each source gets a number of slots, whose blocks make up its target. The slots of a
 source fall on output shards by a multinomial draw, so a shard holds multinomial counts of the
-sources. The k-th slot of a source takes block p(k), where p is a pseudorandom permutation of the
+sources, given that each source's counts add up to its target exactly. (Draws of each shard by
+itself would miss the targets of small sources and exceed the limit of full ones.) The k-th slot of a source takes block p(k), where p is a pseudorandom permutation of the
 source's blocks (a Feistel network, with another key for each pass through them), and the blocks
 are joined by source and index. A block is used at most once a pass, so no document is taken more
 often than the passes allow.
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm._shared import durable
+from lexforge.llm._shared import durable, unused
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 1 << 15
+TASK_SLOTS = 1 << 16
+MOST_TASKS = 20_000
 BUCKET_DOCS = 20_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -190,7 +193,9 @@ def _slots(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
                 )
 
     drawn = sources.where("n_slots > 0").select("source", "rank", "n_blocks", "n_slots").mapInPandas(draw, "source string, rank int, n_blocks long, shard long, first long, n long")
-    return drawn.repartition(F.col("source"), F.col("shard")).mapInArrow(fill, "source string, shard long, place long, `pass` long, block long")
+    # short rows that grow: a number of tasks by what they make, which adaptive execution leaves as it is
+    tasks = min(MOST_TASKS, 1 + int(total) // TASK_SLOTS)
+    return drawn.repartition(tasks, F.col("source"), F.col("shard")).mapInArrow(fill, "source string, shard long, place long, `pass` long, block long")
 
 
 def mixture_report(documents: DataFrame, **options) -> DataFrame:
@@ -210,20 +215,23 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     plan = mix(documents, **options)
     names = documents.columns
     # a piece used twice is in both passes
-    lists = plan.uses().groupBy("source", "start").agg(F.collect_list(F.struct("low", "high", "uses")).alias("_pieces"))
+    lists = plan.uses().groupBy("source", "start").agg(F.collect_list(F.struct("low", "high", "uses")).alias("pieces"))
     order = Window.partitionBy("id", "hash").orderBy("start")
     # an empty document begins where the next one does
-    keyed = plan.rows.where("size > 0").join(lists.hint("merge"), ["source", "start"]).select("id", "hash", "size", "_pieces", F.row_number().over(order).alias("nth"))
-    again = Window.partitionBy("_id", "_hash").orderBy("_id")
-    own = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    own = own.withColumn("_nth", F.row_number().over(again))
-    joined = own.join(keyed.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")) & (F.col("_nth") == F.col("nth")))
+    keyed = plan.rows.where("size > 0").join(lists.hint("merge"), ["source", "start"]).select("id", "hash", "size", "pieces", F.row_number().over(order).alias("nth"))
+    key, digest, place, length, listed = unused(names, "_id", "_hash", "_nth", "_size", "_pieces")
+    again = Window.partitionBy(key, digest).orderBy(key)
+    own = documents.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64("text")})
+    own = own.withColumn(place, F.row_number().over(again))
+    keyed = keyed.select(*[F.col(c).alias(f"{c}{'_' * 40}") for c in keyed.columns])
+    side = lambda c: F.col(f"{c}{'_' * 40}")
+    joined = own.join(keyed.hint("merge"), F.col(key).eqNullSafe(side("id")) & (F.col(digest) == side("hash")) & (F.col(place) == side("nth")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for i, (text, size, pieces) in enumerate(zip(texts, batch.column("_size").to_pylist(), batch.column("_pieces").to_pylist(), strict=True)):
+            for i, (text, size, pieces) in enumerate(zip(texts, batch.column(length).to_pylist(), batch.column(listed).to_pylist(), strict=True)):
                 for turn in range(1, 1 + max(p["uses"] for p in pieces)):
                     runs: list[list[int]] = []
                     for p in sorted((p for p in pieces if p["uses"] >= turn), key=lambda p: p["low"]):
@@ -239,7 +247,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
             put = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
             yield pa.RecordBatch.from_arrays([put[n] if n in put else kept.column(kept.schema.get_field_index(n)) for n in names], names)
 
-    return joined.select(*[own[n] for n in names], F.col("size").alias("_size"), "_pieces").mapInArrow(cut, documents.schema)
+    return joined.select(*names, side("size").alias(length), side("pieces").alias(listed)).mapInArrow(cut, documents.schema)
 
 
 _BLANKS = np.array([32, *range(9, 14)])

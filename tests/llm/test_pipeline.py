@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexforge.llm.private_data import base_spans
@@ -117,7 +118,7 @@ def test_one_row_of_each_group_stays(spark):
         (20, text("f")), (10, near("f")), (None, text("g")),
         (None, None), (None, " "), (30, ""), (31, ""), (30, ""),
     ]
-    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3).withColumn("_row", F.lit(1)).withColumn("_several", F.lit(2))
     out = corpus_pipeline.near_duplicates(spark, df, DATA)
     assert out.columns == df.columns
     found = Counter((r.doc_id, (r.text or " ").split(" ")[0]) for r in out.collect())

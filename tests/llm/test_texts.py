@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -108,6 +111,32 @@ def test_contexts_find_more(spark):
     assert clean[20] == "Please call me at [PHONE] this evening." and "[PHONE]" in clean[0] and clean[21] == texts[21]
 
 
+def test_contexts_reach_over_long_words(spark):
+    """No word beside a string is too long to be read, and chains of patterns are followed to their end."""
+    long = "w" * 500
+    texts = [f"Filler {long} call at +1 (743) 555-38{i:02d} {long} please." for i in range(20)] + [f"{long} call at (212) 555-0100 {long} please."]
+    found = {r.doc_id: r.extra for r in find_private(docs(spark, texts)).collect()}
+    assert [texts[20][s["from"] : s["to"]] for s in found[20]] == ["(212) 555-0100"]
+    # each link of the chain is believed only through the one before
+    number = lambda k: f"(212) 555-01{k:02d}"
+    texts = [f"x ask word0 now +1 (743) 555-38{i:02d} then" for i in range(9)]
+    for k in range(6):
+        texts += [f"x ask word{chr(97 + k)} now {number(k)} then" for _ in range(3)]
+        texts += [f"x ask word{'0' if not k else chr(96 + k)} now {number(k)} then"]
+    texts = [t.replace("word0", "wordz") for t in texts]
+    found = {r.doc_id: r.extra for r in find_private(docs(spark, texts)).collect()}
+    assert all(len(found[9 + i]) == 1 for i in range(4 * 6))
+
+
+def test_columns_that_clash(spark):
+    names = ["_id", "_none", "_digest", "_spans", "_hash", "_nth", "_size", "_pieces", "id", "hash", "nth", "size", "pieces", "uses"]
+    df = docs(spark, ["mail a@b.com now and then", "x y z", None]).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for made in (redact(df), mixed_documents(df)):
+        assert made.columns == df.columns
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in made.collect())
+    assert {r.text for r in redact(df).collect()} == {"mail [EMAIL] now and then", "x y z", None}
+
+
 def test_private_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a@b.com", 1), (None, "x", 1), (3, "a@b.com", 1), (3, "a@b.com", 1)], "doc_id long, text string, base long")
     found = find_private(df).collect()
@@ -128,7 +157,7 @@ def test_redaction_of_rows_without_ids_and_repeated_ids(spark):
 
 def test_rules(spark):
     good = " ".join(f"word{i}" for i in range(60))
-    texts = [None, "", " \n ", "a b c a b c d", "x\nx\n\nx\ny", "### $5 <b> | *", "é é b", good, (good + " ") * 2, "w " * 30_000, "a\tb\x0bc\x0cd\re"]
+    texts = [None, "", " \n ", "a b c a b c d", "x\nx\n\nx\ny", "### $5 <b> | *", "é é b", good, (good + " ") * 2, "w " * 30_000, "a\tb\x0bc\x0cd\re", "f\nf\nff\nff", "x\n\x0c\n\x0c\n\x0b\n\x0b\nf f\nf f"]
     found = {r.doc_id: r for r in judge(docs(spark, texts)).collect()}
     for i, text in enumerate(texts):
         words = WORD.findall(text or "")
@@ -184,19 +213,35 @@ def test_toxicity(spark):
     assert all(abs(again[i] - found[i].score) < 1e-9 for i in found)
 
 
-def test_neighbours_are_exact(spark):
-    df, labels = labelled(spark, 400)
-    index = toxicity.build_index(df, labels)
-    full = np.zeros((len(index.ids), len(index.terms)))
-    full[index.rows, index.columns] = index.weights
-    rng = np.random.default_rng(2)
-    for _ in range(20):
-        at = np.sort(rng.choice(len(index.terms), min(3, len(index.terms)), replace=False))
-        weight = np.full(len(at), 1 / np.sqrt(len(at)))
-        best, cosines = index.query(at, weight)
-        every = full[:, at] @ weight
-        expected = np.sort(every[every > 0])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(cosines, expected) and np.allclose(every[best], cosines)
+def test_neighbours_are_exact(spark, monkeypatch):
+    """Evidence against cosines of TF-IDF vectors made from the texts, with terms told by plain counting."""
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    df, labels = labelled(spark, 700)
+    df = df.where("doc_id < 700")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    toxic = {}
+    for r in labels.where("doc_id < 700").collect():
+        toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    known = sorted(i for i in toxic if zlib.crc32(str(i).encode()) % 5)
+    bags = {i: Counter(x for w in WORD.findall(t.lower()) for x in (("word", w), ("head", w[:5]))) for i, t in texts.items()}
+    n, m = 1 + sum(toxic[i] for i in known), 1 + sum(not toxic[i] for i in known)
+    a, b = (Counter(t for i in known if toxic[i] == k for t in bags[i]) for k in (1, 0))
+    odds = {t: math.log((a[t] + 0.5) / n) - math.log((b[t] + 0.5) / m) for t in a | b}
+    terms = {t for t, x in odds.items() if a[t] + b[t] >= 3 and x > 1 and x / math.sqrt(1 / (a[t] + 0.5) + 1 / (b[t] + 0.5)) > 1.64}
+    held = Counter(t for x in bags.values() for t in x)
+    vectors = {}
+    for i, x in bags.items():
+        v = {t: (1 + math.log(k)) * (math.log((1 + len(texts)) / (1 + held[t])) + 1) for t, k in x.items() if t in terms}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        vectors[i] = {t: w / size for t, w in v.items()}
+    found = {r.doc_id: r.evidence for r in score_toxicity(df, labels).collect()}
+    assert len(terms) > 4 and sum(map(bool, vectors.values())) > 70
+    for i, v in vectors.items():
+        every = sorted((sum(w * vectors[j].get(t, 0) for t, w in v.items()) for j in known), reverse=True)
+        cosines = [e.cosine for e in found[i]]
+        assert np.allclose(cosines, [c for c in every[:3] if c > 0]), i
+        for e in found[i]:
+            assert abs(sum(w * vectors[e.doc_id].get(t, 0) for t, w in v.items()) - e.cosine) < 1e-9 and e.toxic == toxic[e.doc_id]
 
 
 def test_quality(spark):

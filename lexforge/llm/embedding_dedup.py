@@ -1,13 +1,15 @@
-"""Near-duplicate vectors by dual traversal of a cover tree.
-
-Equal vectors are one point with a weight. Spark grows the upper levels of one tree per label:
-each level splits every node that is still large by a net whose points lie more than half the
-node's covering radius apart, so that radii halve from level to level, and a small node stays as
-its own child. The traversal keeps a table of node pairs. A pair whose distance less both
-covering radii is above the link distance is pruned, one whose distance plus both radii is within
-it is accepted as a whole, and the others are replaced by the pairs of their children. Pairs of
-leaves are opened in tasks, which go on in the same way with small trees in numpy and settle what
-is left by exact cosines in double precision.
+"""Near-duplicate vectors by dual traversal of cover trees.
+
+Equal vectors are one point with a weight. Spark grows the upper levels of one tree per label: a
+node that is still large is split among centres, its own and others more than half its radius
+apart, found on a bounded sample of it; its true covering radius is then measured. The traversal
+keeps a table of node pairs. A pair whose distance less both covering radii is above the link
+distance is pruned, one whose distance plus both radii is within it is accepted as a whole, and
+the others are replaced by the pairs of their children. Pairs of leaves are opened in tasks, one
+for each pair of tiles (neighbouring leaves of bounded size), so that a leaf's vectors go once to a
+task, whatever the number of its partners. A task grows a cover tree of each leaf in numpy, nested
+levels whose radii at least halve, goes on with the same bounds, and settles what is left by exact
+cosines in double precision.
 
 Nothing else than counts of nodes reaches the driver. A node accepted as a whole costs one row, so
 a large group of copies never becomes all its pairs.
@@ -20,15 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import components, durable
 
+#: Points of a leaf at most, leaves' worth of points in a tile, points from which a node's centres are taken.
 LEAF = 1024
-FANOUT = 16
+TILE = 4
 SAMPLE = 512
-SLACK = 1e-9
+#: Parts of a node whose points have one direction.
+SAME = 16
+#: Points of a node that no task splits further, and floating-point error allowed to bounds.
+SMALL = 16
+SLACK = 1e-7
 
 
 def near_duplicates(
@@ -73,7 +80,7 @@ def near_duplicates(
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     tree, placed = _grow(points, leaf)
     opened, whole = _traverse(tree, reach)
-    found = _open(opened, placed, threshold, reach)
+    found = _open(opened, placed, _tiles(tree, placed, TILE * leaf), threshold, reach)
     counts, edges = _merge(found, whole, placed)
     roots = components(edges)
     classes = (
@@ -105,17 +112,24 @@ def _unit(lists: pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _net(x: np.ndarray, radius: float, most: int) -> np.ndarray:
-    """Indices of points, in order, each more than ``radius`` from those before; at most ``most``."""
-    far = np.full(len(x), np.inf)
-    chosen = []
-    for _ in range(most):
-        left = np.flatnonzero(far > radius)
-        if not len(left):
-            break
-        chosen.append(left[0])
-        far = np.minimum(far, np.sqrt(((x - x[left[0]]) ** 2).sum(axis=1)))
-    return np.array(chosen)
+def _apart(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - centre) ** 2).sum(axis=1))
+
+
+def _net(x: np.ndarray, radius: float, first: int = 0, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres more than ``radius`` apart, the nearest of them to each point and its distance.
+
+    With ``most`` centres at most, some points may lie farther than the radius from all of them.
+    """
+    far, pick, chosen, new = np.full(len(x), np.inf), np.zeros(len(x), dtype=int), [], first
+    while True:
+        d = _apart(x, x[new])
+        pick[d < far] = len(chosen)
+        far = np.minimum(far, d)
+        chosen.append(new)
+        new = int(far.argmax())
+        if far[new] <= radius or len(chosen) == most:
+            return np.array(chosen), pick, far
 
 
 def _grow(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
@@ -158,12 +172,15 @@ def _split(placed: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", key=lambda s: pd.util.hash_array(s.to_numpy()))
         x = _unit(pa.array(frame["v"].tolist(), pa.list_(pa.float64())))
-        net = _net(x, float(frame["radius"].iloc[0]) / 2, FANOUT)
+        if "." in frame["node"].iloc[0]:  # a root's centre is no point; all others stay centres below
+            x = np.vstack([np.array(frame["centre"].iloc[0]), x])
+        most = int(min(max(2, 2 * frame["n"].iloc[0] // leaf), SAMPLE))
+        net = _net(x, float(frame["radius"].iloc[0]) / 2, most=most)[0]
         if len(net) < 2:  # one ball of half the radius holds the sample: take what lies farthest too
-            net = _net(x, 0.0, FANOUT)
+            net = _net(x, 0.0, most=most)[0]
         return pd.DataFrame({"node": [frame["node"].iloc[0]], "centres": [x[net].ravel().tolist()]})
 
-    nets = some.select("node", "id", "v", "radius").groupBy("node").applyInPandas(centres, "node string, centres array<double>")
+    nets = some.select("node", "id", "v", "radius", "n", "centre").groupBy("node").applyInPandas(centres, "node string, centres array<double>")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +197,8 @@ def _split(placed: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
                 x = _unit(batch.column("v").take(pa.array(rows)))
                 c = np.array(nets_of).reshape(-1, x.shape[1])
                 if len(c) == 1:  # nothing but one direction: equal parts, any of them
-                    deep = FANOUT ** (parent[int(rows[0])].count(".") % 15)
-                    part = pd.util.hash_array(batch.column("id").to_numpy()[rows]) // np.uint64(deep) % np.uint64(FANOUT)
+                    deep = SAME ** (parent[int(rows[0])].count(".") % 15)
+                    part = pd.util.hash_array(batch.column("id").to_numpy()[rows]) // np.uint64(deep) % np.uint64(SAME)
                     d = np.sqrt(((x - c[0]) ** 2).sum(axis=1))
                     pick = np.zeros(len(rows), dtype=int)
                 else:
@@ -226,46 +243,96 @@ def _traverse(tree: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     return pairs, whole
 
 
-class _Ball:
-    """A node of a small cover tree in a task."""
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray):
-        self.rows, self.children = rows, []
-        self.centre = x[rows[0]]
-        self.radius = float(np.sqrt(((x[rows] - self.centre) ** 2).sum(axis=1)).max())
-        if len(rows) > 128 and self.radius > 0:
-            net = _net(x[rows], self.radius / 2, FANOUT)
-            pick = (x[rows] @ x[rows[net]].T).argmax(axis=1)
-            parts = [rows[pick == k] for k in range(len(net))]
-            parts = [p for p in parts if len(p)]
-            if len(parts) > 1:
-                self.children = [_Ball(x, p) for p in parts]
-
-
-def _links(x: np.ndarray, y: np.ndarray | None, threshold: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Rows of x and of y (x itself if None), in blocks: (i, j, False) links i[k] with j[k], (i, j, True) all of i with all of j."""
-    one = _Ball(x, np.arange(len(x)))
-    two, same = (one, True) if y is None else (_Ball(y, np.arange(len(y))), False)
-    y = x if y is None else y
-    todo = [(one, two, same)]
+class CoverTree:
+    """A cover tree over unit vectors.
+
+    The points of a node lie within its radius of its centre, a point. Its children's centres are its
+    own and others more than half its radius apart, as many as it takes for each point to lie within
+    half the radius of one. ``order[start[k] : stop[k]]`` are the points of node k.
+    """
+
+    def __init__(self, x: np.ndarray, small: int = SMALL):
+        self.x, self.order, self.children = x, np.arange(len(x)), []
+        centre, start, stop, radius = [0], [0], [len(x)], [float(_apart(x, x[0]).max())]
+        while len(self.children) < len(centre):
+            k = len(self.children)
+            lo, hi = start[k], stop[k]
+            self.children.append(np.array([k]))
+            if hi - lo > small and radius[k] > SLACK:
+                rows = self.order[lo:hi].copy()
+                net, pick, far = _net(x[rows], radius[k] / 2, first=int(np.flatnonzero(rows == centre[k])[0]))
+                by = pick.argsort(kind="stable")
+                cuts = np.searchsorted(pick[by], np.arange(len(net) + 1))
+                self.children[k] = np.arange(len(centre), len(centre) + len(net))
+                self.order[lo:hi] = rows[by]
+                centre += rows[net].tolist()
+                start += (lo + cuts[:-1]).tolist()
+                stop += (lo + cuts[1:]).tolist()
+                radius += np.maximum.reduceat(far[by], cuts[:-1]).tolist()
+        self.centre, self.start, self.stop, self.radius = np.array(centre), np.array(start), np.array(stop), np.array(radius)
+        self.size = self.stop - self.start
+        self.split = np.array([len(c) > 1 for c in self.children])
+
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[self.start[node] : self.stop[node]]
+
+
+def _links(a: CoverTree, b: CoverTree | None, threshold: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Links of points of a with those of b (within a if None), in blocks, each once.
+
+    (i, j, False) links i[k] with j[k], (i, j, True) all of i with all others of j.
+    """
+    own = b is None
+    b = a if own else b
+    todo, last = [(np.zeros(1, dtype=int), np.zeros(1, dtype=int), own)], []
     while todo:
-        a, b, own = todo.pop()
-        d = 0.0 if own else float(np.sqrt(((a.centre - b.centre) ** 2).sum()))
-        if d - a.radius - b.radius > reach + SLACK:
-            continue
-        if d + a.radius + b.radius <= reach - SLACK and not own:
-            yield a.rows, b.rows, True
-        elif not a.children and not b.children:
-            i, j = np.nonzero(x[a.rows] @ y[b.rows].T >= threshold)
-            i, j = a.rows[i], b.rows[j]
-            keep = i < j if own else slice(None)
-            yield i[keep], j[keep], False
-        elif own:
-            todo += [(p, q, p is q) for k, p in enumerate(a.children) for q in a.children[k:]]
-        elif b.children and (not a.children or b.radius > a.radius):
-            todo += [(a, q, False) for q in b.children]
-        else:
-            todo += [(p, b, False) for p in a.children]
+        p, q, same = todo.pop()
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[a.centre[p]] @ b.x[b.centre[q]].T)))
+        both = a.radius[p][:, None] + b.radius[q][None, :]
+        near, whole = apart - both <= reach + SLACK, apart + both <= reach - SLACK
+        if same:
+            near = np.triu(near)
+            whole = whole | np.diag(both.diagonal() <= reach - SLACK)
+        i, j = np.nonzero(near & whole)
+        one = (a.size[p[i]] == 1) & (b.size[q[j]] == 1)
+        apart_ = ~(same & (i == j))
+        yield a.order[a.start[p[i[one & apart_]]]], b.order[b.start[q[j[one & apart_]]]], False
+        for k, m in zip(p[i[~one]], q[j[~one]], strict=True):
+            yield a.rows(k), b.rows(m), True
+        i, j = np.nonzero(near & ~whole)
+        done = ~a.split[p[i]] & ~b.split[q[j]]
+        last.append((p[i[done]], q[j[done]]))
+        todo += [(a.children[p[k]], b.children[q[m]], same and k == m) for k, m in zip(i[~done], j[~done], strict=True)]
+        if not todo or sum(len(k[0]) for k in last) > 1 << 20:
+            yield from _cosines(a, b, own, np.concatenate([k[0] for k in last]), np.concatenate([k[1] for k in last]), threshold)
+            last = []
+
+
+def _cosines(a: CoverTree, b: CoverTree, own: bool, p: np.ndarray, q: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Links between the points of nodes p[k] and q[k], by their cosines."""
+    many = a.size[p] * b.size[q]
+    most = max(1, (1 << 22) // a.x.shape[1])
+    for k in np.flatnonzero(many > most):
+        x, y = a.rows(p[k]), b.rows(q[k])
+        i, j = np.nonzero(a.x[x] @ b.x[y].T >= threshold)
+        keep = i < j if own and p[k] == q[k] else slice(None)
+        yield x[i[keep]], y[j[keep]], False
+    p, q = p[many <= most], q[many <= most]
+    ends = np.cumsum(a.size[p] * b.size[q])
+    at = 0
+    while at < len(p):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        s, t = p[at:stop], q[at:stop]
+        wide = b.size[t]
+        n = a.size[s] * wide
+        pair = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i, j = nth // wide[pair], nth % wide[pair]
+        keep = (i < j) | (s != t)[pair] if own else slice(None)
+        i, j = a.order[a.start[s][pair] + i][keep], b.order[b.start[t][pair] + j][keep]
+        hit = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= threshold
+        yield i[hit], j[hit], False
+        at = stop
 
 
 def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -284,8 +351,26 @@ def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         root = new
 
 
-def _open(pairs: DataFrame, placed: DataFrame, threshold: float, reach: float) -> DataFrame:
-    """(id, n, root): partial counts and a spanning forest of the links, from each opened pair."""
+def _tiles(tree: DataFrame, placed: DataFrame, most: int) -> DataFrame:
+    """(node, tile) of each leaf: tiles hold about so many points.
+
+    The highest nodes of at most so many points are whole in a tile; it takes some of one parent.
+    """
+    sizes = tree.groupBy("node").agg(F.max("n").alias("n")).withColumn("parent", F.regexp_extract("node", r"^(.*)[.]", 1))
+    large = sizes.where(F.col("n") > most).select(F.col("node").alias("parent"), F.ceil(F.col("n") / most).alias("parts"))
+    part = F.pmod(F.xxhash64("above"), F.coalesce("parts", F.lit(1)))
+    small = sizes.where(F.col("n") <= most).select(F.col("node").alias("above"), "parent").join(large, "parent", "left")
+    small = small.select("above", F.concat_ws("#", F.when(F.col("parts").isNull(), F.col("above")).otherwise(F.col("parent")), part).alias("tile"))
+    leaves = placed.select("node").distinct().withColumn("above", F.explode(_above()))
+    return leaves.join(small, "above").groupBy("node").agg(F.min_by("tile", F.length("above")).alias("tile"))
+
+
+def _above() -> Column:
+    return F.expr("transform(sequence(1, size(split(node, '[.]'))), i -> substring_index(node, '.', i))")
+
+
+def _open(pairs: DataFrame, placed: DataFrame, tiles: DataFrame, threshold: float, reach: float) -> DataFrame:
+    """(id, n, root): partial counts and a spanning forest of the links, from each pair of tiles."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -293,42 +378,47 @@ def _open(pairs: DataFrame, placed: DataFrame, threshold: float, reach: float) -
         return pd.DataFrame({"node": [frame["node"].iloc[0]], "ids": [frame["id"].to_numpy().tobytes()], "w": [frame["w"].to_numpy().tobytes()], "x": [x.tobytes()]})
 
     blocks = placed.groupBy("node").applyInPandas(pack, "node string, ids binary, w binary, x binary")
-    side = lambda x: blocks.select(*[F.col(c).alias(f"{x}_{c}") for c in blocks.columns])
-    joined = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = row["a_node"] == row["b_node"]
-                ids = np.frombuffer(row["a_ids"], np.int64)
-                w = np.frombuffer(row["a_w"], np.int64)
-                x = np.frombuffer(row["a_x"], np.float64).reshape(len(ids), -1)
-                x = _unit(pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]))
-                m, y = len(ids), None
-                if not own:
-                    more = np.frombuffer(row["b_ids"], np.int64)
-                    y = np.frombuffer(row["b_x"], np.float64).reshape(len(more), -1)
-                    y = _unit(pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]))
-                    ids, w = np.concatenate([ids, more]), np.concatenate([w, np.frombuffer(row["b_w"], np.int64)])
-                shift, n, tree = 0 if own else m, np.zeros(len(ids), dtype=np.int64), []
-                for i, j, full in _links(x, y, threshold, reach):
-                    j = j + shift
-                    if full:
+    tile = lambda side: tiles.select(F.col("node").alias(side), F.col("tile").alias(f"tile_{side}"))
+    pairs = pairs.join(tile("a"), "a").join(tile("b"), "b").select("a", "b", F.least("tile_a", "tile_b").alias("t"), F.greatest("tile_a", "tile_b").alias("u"))
+    pairs = durable(pairs)
+    wanted = pairs.select(F.col("t").alias("one"), F.col("u").alias("two"), F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def settle(leaves: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
+        trees, first, ids, w, at = {}, {}, [], [], 0
+        for leaf in leaves.itertuples():
+            ids.append(np.frombuffer(leaf.ids, np.int64))
+            w.append(np.frombuffer(leaf.w, np.int64))
+            x = np.frombuffer(leaf.x, np.float64).reshape(len(ids[-1]), -1)
+            trees[leaf.node] = CoverTree(_unit(pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])))
+            first[leaf.node], at = at, at + len(x)
+        ids, w = np.concatenate(ids), np.concatenate(w)
+        order = np.argsort(ids)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(ids))
+        n, links, held = np.zeros(len(ids), dtype=np.int64), [], 0
+        for pair in opened.itertuples():
+            own = pair.a == pair.b
+            for i, j, whole in _links(trees[pair.a], None if own else trees[pair.b], threshold, reach):
+                i, j = i + first[pair.a], j + first[pair.b]
+                if whole:
+                    if i[0] == j[0]:
+                        n[i] += w[i].sum() - w[i]
+                    else:
                         n[i] += w[j].sum()
                         n[j] += w[i].sum()
-                        tree += [(i, np.full(len(i), j[0])), (np.full(len(j), i[0]), j)]
-                    elif len(i):
-                        np.add.at(n, i, w[j])
-                        np.add.at(n, j, w[i])
-                        tree.append((i, j))
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(ids))
-                root = ids[order[_forest(len(ids), [(rank[i], rank[j]) for i, j in tree])[rank]]]
-                hit = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(root[hit])], ["id", "n", "root"])
+                    i, j = np.concatenate([i, j]), np.concatenate([np.full(len(i), j[0]), np.full(len(j), i[0])])
+                else:
+                    np.add.at(n, i, w[j])
+                    np.add.at(n, j, w[i])
+                links.append((rank[i], rank[j]))
+                held += len(i)
+                if held > 1 << 21:  # what they span is all that is needed of links
+                    links, held = [(np.arange(len(ids)), _forest(len(ids), links))], 0
+        root = ids[order[_forest(len(ids), links)[rank]]]
+        return pd.DataFrame({"id": ids[n > 0], "n": n[n > 0], "root": root[n > 0]})
 
-    return durable(joined.select("a_node", "a_ids", "a_w", "a_x", "b_node", "b_ids", "b_w", "b_x").mapInArrow(settle, "id long, n long, root long"))
+    sides = wanted.join(blocks, "node").groupBy("one", "two"), pairs.groupBy("t", "u")
+    return durable(sides[0].cogroup(sides[1]).applyInPandas(settle, "id long, n long, root long"))
 
 
 def _merge(found: DataFrame, whole: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -340,8 +430,7 @@ def _merge(found: DataFrame, whole: DataFrame, placed: DataFrame) -> tuple[DataF
         .groupBy("anc")
         .agg(F.sum("b_w").alias("add"), F.min("least").alias("least"), F.max("self").alias("self"))
     )
-    above = F.expr("transform(sequence(1, size(split(node, '[.]'))), i -> substring_index(node, '.', i))")
-    inside = placed.select("id", "w", F.explode(above).alias("anc")).join(per_node, "anc").select("id", (F.col("add") - F.col("self") * F.col("w")).alias("n"), F.col("least").alias("root"))
+    inside = placed.select("id", "w", F.explode(_above()).alias("anc")).join(per_node, "anc").select("id", (F.col("add") - F.col("self") * F.col("w")).alias("n"), F.col("least").alias("root"))
     inside = durable(inside)
     counts = found.select("id", "n").union(inside.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
     edges = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import embedding_dedup, jaccard_join, suffix_dedup
 from lexforge.llm._shared import components
-from lexforge.llm.embedding_dedup import near_duplicates
+from lexforge.llm.embedding_dedup import CoverTree, near_duplicates
 from lexforge.llm.jaccard_join import jaccard_components
 from lexforge.llm.suffix_dedup import SuffixArray, remove_repeats
 
@@ -223,12 +223,35 @@ def test_suffix_arrays():
             assert held.tolist() == [s[i : i + n] in strings[0] for i in range(len(s) - n + 1)]
 
 
-def test_trees_prune_without_losing_links():
+@pytest.mark.parametrize("spread", [1.0, 0.01])
+def test_trees_prune_without_losing_links(spread):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(900, 4))
+    x = np.repeat(rng.normal(size=(30, 4)), 30, axis=0) + rng.normal(scale=spread, size=(900, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = set()
-    for i, j, whole in embedding_dedup._links(x, None, 0.98, 0.2):
-        found |= {(a, b) for a in i for b in j} if whole else set(zip(i.tolist(), j.tolist(), strict=True))
-    expected = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.98), strict=True) if a < b}
-    assert {(min(p), max(p)) for p in found} == expected
+    one, two = CoverTree(x), CoverTree(x[:300])
+    for tree, other, y in ((one, None, x), (one, two, x[:300])):
+        found = Counter()
+        for i, j, whole in embedding_dedup._links(tree, other, 0.98, 0.2):
+            found.update((a, b) for a in i for b in j) if whole else found.update(zip(i.tolist(), j.tolist(), strict=True))
+        expected = set(zip(*np.nonzero(x @ y.T >= 0.98), strict=True))
+        if other is None:
+            own = [p for p in found if p[0] != p[1]]
+            assert {(min(p), max(p)) for p in own} == {p for p in expected if p[0] < p[1]}
+        else:
+            assert set(found) == expected and set(found.values()) == {1}
+
+
+def test_levels_are_nested_and_radii_halve():
+    x = np.random.default_rng(2).normal(size=(700, 6))
+    x = np.vstack([x / np.linalg.norm(x, axis=1, keepdims=True)] * 2)
+    tree = CoverTree(x, small=4)
+    assert sorted(tree.rows(0)) == list(range(len(x)))
+    for k in np.flatnonzero(tree.split):
+        kids = tree.children[k]
+        assert tree.centre[kids[0]] == tree.centre[k] and (tree.radius[kids] <= tree.radius[k] / 2).all()
+        assert np.concatenate([tree.rows(m) for m in kids]).tolist() == tree.rows(k).tolist()
+        c = x[tree.centre[kids]]
+        apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))[~np.eye(len(c), dtype=bool)]
+        assert (apart > tree.radius[k] / 2).all()
+    for k in range(len(tree.centre)):
+        assert np.sqrt(((x[tree.rows(k)] - x[tree.centre[k]]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-12

@@ -31,8 +31,8 @@ from lexforge.llm._shared import components, durable
 LEAF = 1024
 TILE = 4
 SAMPLE = 512
-#: Parts of a node whose points have one direction.
-SAME = 16
+#: Children of a large node at least, where its points allow as many; parts of one whose points have one direction.
+PARTS = 16
 #: Points of a node that no task splits further, and floating-point error allowed to bounds.
 SMALL = 16
 SLACK = 1e-7
@@ -127,9 +127,10 @@ def _net(x: np.ndarray, radius: float, first: int = 0, most: int | None = None)
         pick[d < far] = len(chosen)
         far = np.minimum(far, d)
         chosen.append(new)
-        new = int(far.argmax())
-        if far[new] <= radius or len(chosen) == most:
+        left = np.flatnonzero(far > radius)
+        if not len(left) or len(chosen) == most:
             return np.array(chosen), pick, far
+        new = int(left[0])
 
 
 def _grow(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +175,7 @@ def _split(placed: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
         x = _unit(pa.array(frame["v"].tolist(), pa.list_(pa.float64())))
         if "." in frame["node"].iloc[0]:  # a root's centre is no point; all others stay centres below
             x = np.vstack([np.array(frame["centre"].iloc[0]), x])
-        most = int(min(max(2, 2 * frame["n"].iloc[0] // leaf), SAMPLE))
+        most = int(min(max(PARTS, 2 * frame["n"].iloc[0] // leaf), SAMPLE))
         net = _net(x, float(frame["radius"].iloc[0]) / 2, most=most)[0]
         if len(net) < 2:  # one ball of half the radius holds the sample: take what lies farthest too
             net = _net(x, 0.0, most=most)[0]
@@ -197,8 +198,8 @@ def _split(placed: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
                 x = _unit(batch.column("v").take(pa.array(rows)))
                 c = np.array(nets_of).reshape(-1, x.shape[1])
                 if len(c) == 1:  # nothing but one direction: equal parts, any of them
-                    deep = SAME ** (parent[int(rows[0])].count(".") % 15)
-                    part = pd.util.hash_array(batch.column("id").to_numpy()[rows]) // np.uint64(deep) % np.uint64(SAME)
+                    deep = PARTS ** (parent[int(rows[0])].count(".") % 15)
+                    part = pd.util.hash_array(batch.column("id").to_numpy()[rows]) // np.uint64(deep) % np.uint64(PARTS)
                     d = np.sqrt(((x - c[0]) ** 2).sum(axis=1))
                     pick = np.zeros(len(rows), dtype=int)
                 else:

@@ -1,11 +1,15 @@
 """Properties of the functions on generated texts: all texts of a run go through one job."""
 
+import random
+import re
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexforge.functions import keys, lexer, normalize, segments
 from lexforge.functions.tokenizer import WordTokenizer
+from lexforge.operators import tables
 
 LIMITS = settings(max_examples=4, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 CHARS = st.text(alphabet="abcéÉABC 0123.,;!?'’-_#@$€«»()\"\n\t🙏⭐️ñ中", max_size=60)
@@ -53,3 +57,53 @@ def test_sentences_keep_all_but_blanks(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     for row in df.select("x", segments.split_sentences("x").alias("s")).collect():
         assert "".join("".join(row.s).split()) == "".join(row.x.split())
+
+
+CLOSING = r"[.?!…]++(?:\s[.?!…])*+[«»„‟“”\")}\]]?\s++"
+ABBREVIATION = re.compile(r"\b(?:[A-Z0-9]\s*|prof|me?lle|mgr|mrs|mme?|[djms]r|st|etc|ms?|pp?)\Z", re.IGNORECASE)
+
+
+def plain_sentences(text):
+    """Sentences by a loop over the places where one may end."""
+    done, now = [], ""
+    for found in re.finditer(rf"(?s).*?{CLOSING}|.+", text):
+        part = found.group()
+        if not now:
+            part = re.sub(r"\A[\x00-\x1f\s]+", "", part)
+        raw = now.encode()
+        cut = max(0, len(raw) - 256)
+        while cut and raw[cut] & 0xC0 == 0x80:
+            cut -= 1
+        window = raw[cut:].decode() + part
+        now += part
+        before = re.sub(rf"{CLOSING}\Z", "", window)
+        quotes, brackets = (sum(window.count(c) for c in some) % 2 for some in ("«»„‟“”\"", "(){}[]"))
+        if before != window and not ABBREVIATION.search(before) and not quotes and not (brackets and not re.match(r"[A-Z0-9]\)", window)):
+            done.append(now.rstrip())
+            now = ""
+    return [*done, now.rstrip()] if now else done
+
+
+def prose():
+    draw = random.Random(11)
+    words = ["Mr", "etc", "Prof", "A", "3", "(see", "that)", "\"so", "so\"", "été", "«ñ»", "中文", "word", "St", "B)", "end", "", "pp", "[x]"]
+    ends = [" ", " ", " ", ". ", "! ", "?! ", "… ", ".\n", ". . ", ".) ", ".\" ", ".", "\n", "\n\n", "\t"]
+    short = ["".join(draw.choice(words) + draw.choice(ends) for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    # an open quote leaves the context after 256 bytes, in the middle of a character too
+    return [*short, *(f"\"{'é' * n} one. Two. Three. {'w ' * 90}four. Five." for n in range(100, 134)), "", " \n "]
+
+
+def test_sentences_against_a_plain_loop(spark):
+    df = spark.createDataFrame([(t,) for t in prose()], "x string")
+    for row in df.select("x", segments.split_sentences("x").alias("s")).collect():
+        assert row.s == plain_sentences(row.x), row.x
+
+
+def test_segments_against_plain_loops(spark):
+    texts = prose()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.par, r.sent): r["count"] for r in tables.segmented(df).groupBy("doc_id", "par", "sent").count().collect()}
+    cut = [(i, k, m, s) for i, t in enumerate(texts) for k, p in enumerate(re.split(r"(?:\n\r|\r\n|\r|\n)[\t\s]*(?:\n\r|\r\n|\r|\n)*", t)) for m, s in enumerate(plain_sentences(p))]
+    sentences = spark.createDataFrame(cut, "doc_id long, par int, sent int, x string")
+    sizes = {(r.doc_id, r.par, r.sent): r.n for r in sentences.select("doc_id", "par", "sent", F.size(lexer.word_tokens("x")).alias("n")).where("n > 0").collect()}
+    assert found == sizes

@@ -1,6 +1,7 @@
 """Operators on single documents, models, archives and mixtures."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -309,6 +310,34 @@ def test_archives(spark, tmp_path):
     assert found == sorted(expected, key=repr)
 
 
+def test_archives_of_others(spark, tmp_path):
+    """An archive with a gzip member for each record, and one that is not compressed; few bytes to an archive."""
+    rows = [(i, f"http://h/{i} x", "p" * 150 + str(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_warc(df, str(tmp_path / "plain"), archive_bytes=300, compression="none")
+    written = sorted((tmp_path / "plain").glob("part-*"))
+    assert len(written) > 8
+    (tmp_path / "other").mkdir()
+    total = 0
+    for k, path in enumerate(written):
+        members = []
+        for part in path.read_bytes().split(b"WARC/1.1\r\n")[1:]:
+            head, _, block = part.partition(b"\r\n\r\n")
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n"))
+            assert len(block) == int(fields[b"Content-Length"]) + 4 and block.endswith(b"\r\n\r\n")
+            if fields[b"WARC-Type"] in (b"response", b"revisit"):
+                http, _, payload = block[:-4].partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n") and fields[b"Content-Type"].startswith(b"application/http")
+                assert len(payload) in ((151,) if fields[b"WARC-Type"] == b"response" else (0,))
+                total += 1
+            members.append(gzip.compress(b"WARC/1.1\r\n" + part))
+        (tmp_path / "other" / f"{k}.warc.gz").write_bytes(b"".join(members))
+    assert total == len(rows)
+    plain = sorted(map(tuple, resolve(assemble(read_records(spark, str(tmp_path / "plain")))).collect()), key=repr)
+    other = sorted(map(tuple, resolve(assemble(read_records(spark, str(tmp_path / "other"), files="*.warc.gz"))).collect()), key=repr)
+    assert plain == other and [r[4] for r in sorted(plain)] == [None if i < 5 else i % 5 for i in range(40)]
+
+
 def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "warc")
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)

@@ -12,8 +12,10 @@ lie in segments of the same hash. That decides what has to be compared and sends
    its suffix array by Larsson-Sadakane refinement, which doubles the sorted depth and goes on only
    with groups not yet told apart, and common prefixes by Kasai's rule, that the next place's
    prefix is at most one shorter: only places whose preceding bytes differ are compared.
-3. A hash with more segments than a shard holds is cut. Its shards are merged in pairs: passages
-   of the one are found in the suffix array of the other by binary search.
+3. The segments of a hash that has more than a shard holds are cut into segments again, by the
+   smallest hash under another function, up to ``LEVELS`` times. What one hash still has too much of
+   fills several shards, which are merged in pairs: passages of the one are found in the suffix array
+   of the other by binary search.
 4. Repeated runs go back by digest to all places with it, and then to the documents.
 
 Texts are shuffled once by id; groups of copies are counted before the shuffle.
@@ -37,6 +39,7 @@ from lexforge.llm.words import mixed, powers, texts
 KMER = 48
 PIECE = 1 << 19
 SHARD_BYTES = 2_000_000
+LEVELS = 4
 _PLACE = (1 << 24) - 1
 
 
@@ -51,17 +54,21 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # a row without an id goes by a hash of its text; its segments have n below 0
     docs = docs.select(F.coalesce("id", F.xxhash64("text")).alias("id"), F.col("id").isNull().alias("none"), "text")
-    rows = docs.where(F.octet_length("text") >= length).mapInArrow(_segments(length), "mh long, dg long, id long, start long, n int")
+    ends = F.expr(f"transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0))")
+    return _repeats(docs, length).select("id", ends.alias("runs")).groupBy("id").agg(F.collect_set("runs").alias("runs"))
+
+
+def _repeats(docs: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """(id, start, runs): ranges of passages, counted from a place, that also start anywhere else."""
+    rows = docs.where(F.octet_length("text") >= length).mapInArrow(_segments(length, level), "mh long, dg long, id long, start long, n int")
     common = rows.groupBy("mh").agg(F.count("*").alias("c"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("c > 1")
     held = durable(rows.join(common.select("mh", (F.col("x") == F.col("y")).alias("same")), "mh"))
     kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct(F.col("n") < 0, "id", "start", "n")).alias("at"))
     kinds = durable(kinds.select("mh", "dg", "same", "c", "at.id", "at.start", "at.n"))
     known = kinds.where("c > 1").select("mh", "dg", F.expr("array(0, abs(n))").alias("runs"))
-    found = _compare(docs, kinds.where("not same"), length)
+    found = _compare(docs, kinds.where("not same"), length, level)
     fresh = found.join(kinds.where("c = 1").select("mh", "dg"), ["mh", "dg"], "left_semi")
-    back = held.where("n > 0").join(known.union(fresh), ["mh", "dg"])
-    ends = F.expr(f"transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0))")
-    return back.select("id", ends.alias("runs")).groupBy("id").agg(F.collect_set("runs").alias("runs"))
+    return held.where("n > 0").join(known.union(fresh), ["mh", "dg"]).select("id", "start", "runs")
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,15 +110,18 @@ def _bytes() -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, length: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each place where a string of ``length`` bytes starts, what its anchor has (equal at two
-    places only if the anchor is the same one), and the hash of the substring at each place."""
+    places only if the anchor is the same one), and the hash of the substring at each place. Levels
+    have hash functions of their own."""
     up, down = powers(PIECE + 4096)
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_bytes()[data] * up[:n], out=total[1:])
     m = n - KMER + 1
     full = mixed((total[KMER:] - total[:m]) * down[:m])
+    for _ in range(level):
+        full = mixed(full + np.uint64(1))
     low = (full & ~np.uint64(_PLACE)) | np.arange(m, dtype=np.uint64)
     width, have = length - KMER + 1, 1
     while 2 * have <= width:
@@ -122,7 +132,7 @@ def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return low, full
 
 
-def _segments(length: int):
+def _segments(length: int, level: int):
     def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
         """Bytes, and in them for each text or part of one: id, sign of n, offset in the text, first and last byte."""
         got, held, at = [], [], 0
@@ -141,7 +151,7 @@ def _segments(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, held in pieces(batch):
-                low, full = _anchors(np.frombuffer(raw, np.uint8), length)
+                low, full = _anchors(np.frombuffer(raw, np.uint8), length, level)
                 first = np.array([h[3] for h in held])
                 stop = np.array([h[4] for h in held])
                 new = np.ones(len(low), dtype=bool)
@@ -171,7 +181,7 @@ def _segments(length: int):
     return scan
 
 
-def _compare(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+def _compare(docs: DataFrame, kinds: DataFrame, length: int, level: int) -> DataFrame:
     """(mh, dg, runs): ranges of passages in a segment that also start in another segment."""
     size = F.abs("n") + length - 1
     loads = kinds.groupBy("mh").agg(F.sum(size).alias("bytes"))
@@ -219,6 +229,14 @@ def _compare(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     if not large.take(1):
         return durable(parts.groupBy("shard").applyInPandas(alone, schema))
     parts = durable(parts)
+    gathered = lambda hits: durable(hits.groupBy("mh", "dg").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    if level < LEVELS:
+        inside = parts.where("cut < 0").groupBy("shard").applyInPandas(alone, schema)
+        # these numbers hold only once they are written
+        again = durable(parts.where("cut >= 0").dropDuplicates(["mh", "dg"]).select(F.monotonically_increasing_id().alias("id"), F.lit(False).alias("none"), F.col("bytes").alias("text"), "mh", "dg"))
+        finer = _repeats(again.drop("mh", "dg"), length, level + 1)
+        shifted = F.expr("transform(runs, x -> cast(start + x as int))").alias("runs")
+        return gathered(inside.union(finer.join(again.drop("none", "text"), "id").select("mh", "dg", shifted)))
     inside = parts.groupBy("shard", "cut").applyInPandas(alone, schema)
     side = lambda x: parts.where("cut >= 0").groupBy("shard", "cut").agg(F.collect_set(F.struct("mh", "dg", "bytes")).alias(x))
     pairs = side("a").withColumnRenamed("cut", "i").join(side("b").withColumnRenamed("cut", "j"), "shard").where("i <> j").select("a", "b")
@@ -229,7 +247,7 @@ def _compare(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                 mine = pd.DataFrame([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in a], columns=["mh", "dg", "bytes"])
                 yield _told(mine, SuffixArray([bytes(r["bytes"]) for r in b]).holds(mine["bytes"].tolist(), length), length)
 
-    return durable(inside.union(pairs.mapInPandas(merge, schema)).groupBy("mh", "dg").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    return gathered(inside.union(pairs.mapInPandas(merge, schema)))
 
 
 def _told(frame: pd.DataFrame, hit: list[np.ndarray], length: int) -> pd.DataFrame:

@@ -161,9 +161,10 @@ def passages():
     return out
 
 
-@pytest.mark.parametrize("shard", [2_000_000, 3_000])
-def test_repeats(spark, shard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)  # the small ones are merged by binary search
+@pytest.mark.parametrize(("shard", "levels"), [(2_000_000, 4), (3_000, 0), (3_000, 1), (1_500, 4)])
+def test_repeats(spark, shard, levels, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)  # small ones are cut again, and merged by binary search after the last level
+    monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
     rows = passages()
     df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in enumerate(rows)], DOCS).repartition(3)
     found = remove_repeats(df).select("doc_id", F.sha2("kept", 256).alias("sha"), "spans").collect()

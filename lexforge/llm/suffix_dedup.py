@@ -18,7 +18,8 @@ lie in segments of the same hash. That decides what has to be compared and sends
    of the other by binary search.
 4. Repeated runs go back by digest to all places with it, and then to the documents.
 
-Texts are shuffled once by id; groups of copies are counted before the shuffle.
+Texts are shuffled once by id; groups of copies are counted before the shuffle, and the places of a
+hash that very many share are dealt over tasks by salts.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ KMER = 48
 PIECE = 1 << 19
 SHARD_BYTES = 2_000_000
 LEVELS = 4
+#: A hash with more segments than both this and its share is dealt over several tasks; at most so many are, and are broadcast.
+HOT_ROWS = 20_000
+HOT_HASHES = 1000
 _PLACE = (1 << 24) - 1
 
 
@@ -61,14 +65,20 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
 def _repeats(docs: DataFrame, length: int, level: int = 0) -> DataFrame:
     """(id, start, runs): ranges of passages, counted from a place, that also start anywhere else."""
     rows = docs.where(F.octet_length("text") >= length).mapInArrow(_segments(length, level), "mh long, dg long, id long, start long, n int")
-    common = rows.groupBy("mh").agg(F.count("*").alias("c"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("c > 1")
-    held = durable(rows.join(common.select("mh", (F.col("x") == F.col("y")).alias("same")), "mh"))
+    common = durable(rows.groupBy("mh").agg(F.count("*").alias("c"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("c > 1"))
+    total = common.agg(F.sum("c")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_HASHES)  # so fewer than HOT_HASHES have more
+    hot = durable(common.where(F.col("c") > least).select("mh", F.ceil(F.col("c") / least).cast("int").alias("salts")))
+    salted = lambda df: df.join(F.broadcast(hot), "mh", "left")
+    dealt = lambda df: salted(df).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "start"), "salts"), F.lit(0))).drop("salts")
+    copied = lambda df: salted(df).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+    held = durable(dealt(rows).join(copied(common.select("mh", (F.col("x") == F.col("y")).alias("same"))), ["mh", "salt"]))
     kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct(F.col("n") < 0, "id", "start", "n")).alias("at"))
     kinds = durable(kinds.select("mh", "dg", "same", "c", "at.id", "at.start", "at.n"))
     known = kinds.where("c > 1").select("mh", "dg", F.expr("array(0, abs(n))").alias("runs"))
     found = _compare(docs, kinds.where("not same"), length, level)
     fresh = found.join(kinds.where("c = 1").select("mh", "dg"), ["mh", "dg"], "left_semi")
-    return held.where("n > 0").join(known.union(fresh), ["mh", "dg"]).select("id", "start", "runs")
+    return held.where("n > 0").join(copied(known.union(fresh)), ["mh", "dg", "salt"]).select("id", "start", "runs")
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -165,6 +165,7 @@ def passages():
 def test_repeats(spark, shard, levels, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)  # small ones are cut again, and merged by binary search after the last level
     monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3 if levels == 4 else 20_000)
     rows = passages()
     df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in enumerate(rows)], DOCS).repartition(3)
     found = remove_repeats(df).select("doc_id", F.sha2("kept", 256).alias("sha"), "spans").collect()

@@ -13,7 +13,9 @@ from lexforge.llm import oracles
 from lexforge.llm._shared import shared_path, table
 from lexforge.llm.byte_bpe import encoded_digests
 from lexforge.llm.embedding_dedup import near_duplicates
+from lexforge.llm.hard_negatives import mine_hard_negatives
 from lexforge.llm.jaccard_join import jaccard_components
+from lexforge.llm.language_id import predict_language
 from lexforge.llm.private_data import KINDS, find_private, spans_text
 from lexforge.llm.quality_classifier import score_quality
 from lexforge.llm.quality_rules import judge
@@ -21,6 +23,7 @@ from lexforge.llm.source_mixture import mixture_report
 from lexforge.llm.suffix_dedup import remove_repeats
 from lexforge.llm.toxicity import score_toxicity
 from lexforge.llm.warc import assemble, read_records, resolve, write_warc
+from lexforge.llm.whitening import whiten
 
 
 def op1_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +79,20 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_dedup, op2_toxicity, op3_host_rules, op4_suffix_array_dedup, op5_jaccard_join, op6_quality_classifier, op7_byte_bpe, op8_warc_transactions, op9_private_data, op10_source_mixture)}
+    return {f.__name__: f for f in (op1_cover_tree_dedup, op2_toxicity, op3_host_rules, op4_suffix_array_dedup, op5_jaccard_join, op6_quality_classifier, op7_byte_bpe, op8_warc_transactions, op9_private_data, op10_source_mixture, op11_language_id, op12_hard_negatives, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

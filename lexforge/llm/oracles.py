@@ -52,6 +52,15 @@ OP8 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.h = f.h"""
 
+OP12 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+    a AS (SELECT DISTINCT * FROM e WHERE vec_id % 50 = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id AS id, CAST(list_dot_product(a.x, e.x) AS BIGINT) AS score FROM a JOIN e ON len(a.x) = len(e.x) AND a.vec_id <> e.vec_id),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree_dedup": OP1, "op3_host_rules": _op3(), "op5_jaccard_join": OP5, "op8_warc_transactions": OP8}
+    return {"op1_cover_tree_dedup": OP1, "op3_host_rules": _op3(), "op5_jaccard_join": OP5, "op8_warc_transactions": OP8, "op12_hard_negatives": OP12}

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexforge.functions.normalize import ColumnOrName, column
+from lexforge.functions.normalize import ColumnOrName, bind, column
 
 #: Kinds of tokens.
 KINDS = ("word", "hashtag", "mention", "emoji", "punct", "number", "url", "email")
@@ -17,6 +17,8 @@ VOWELS_BOTH = VOWELS + "".join(c.upper() for c in VOWELS if len(c.upper()) == 1)
 
 #: What surrounds a field and a token in the rewritten text: noncharacters, and others for texts that have one of them.
 _MARKS = (("\ufdd1", "\ufdd0"), ("\ufdd3", "\ufdd2"))
+#: Of these a text with marks of both pairs takes the first two that it does not have: all noncharacters, and private characters.
+_SPARE = [chr(c) for c in [*range(0xFDD0, 0xFDF0), *(p << 16 | c for p in range(17) for c in (0xFFFE, 0xFFFF)), *range(0xF0000, 0xF0040)]]
 #: White space of Unicode.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -53,7 +55,7 @@ def pattern() -> str:
     emojis = "|".join(
         [
             r"[\x{1F1E6}-\x{1F1FF}]+",
-            rf"{emoji}(?:\x{{200D}}{emoji})+\x{{FE0F}}?",
+            rf"{emoji}(?:\x{{200D}}{emoji})++\x{{FE0F}}?",
             rf"[{_ranges('Emoji_Modifier_Base')}](?:\x{{FE0F}}?[\x{{1F3FB}}-\x{{1F3FF}}])?",
             rf"[{_ranges('Emoji_Presentation')}]\x{{FE0F}}?",
         ]
@@ -67,7 +69,7 @@ def pattern() -> str:
         rf"({emojis})",
         r"((?iu:app?t|etc|[djs]r|prof|mlle|mgr|min|mrs|m[rs]|m|no|pp?|st|vs)\.)",
         r"((?iu:https?)://[^\s,;]+)",
-        r"((?iu:[a-z0-9!#$%&*+\-/=?^_`{|}~]{1,64}@[a-z]{2,8}\.[a-z]{2,8}(?:\.[a-z]{2,8})*))",
+        r"((?iu:[a-z0-9!#$%&*+\-/=?^_`{|}~]{1,64}@[a-z]{2,8}\.[a-z]{2,8}(?:\.[a-z]{2,8})*+))",
         rf"({words})",
         r"([^\p{IsAlphabetic}\p{N}])",
         r"([\p{IsAlphabetic}\p{N}]++)",
@@ -81,25 +83,24 @@ _FIELDS = ("$1$2$7$10$12", "$3", "$4", "$6", "$11", "$5", "$8", "$9")
 
 
 def word_tokens(col: ColumnOrName) -> Column:
-    """All tokens of a text as an array of (kind, text), in order; a null text gives null.
+    """All tokens of a text as an array of (kind, text), in order; a null text gives null."""
+    text, (first, second) = column(col), [tuple(map(F.lit, m)) for m in _MARKS]
+    has = lambda marks: F.contains(text, marks[0]) | F.contains(text, marks[1])
+    free = F.array_except(F.array(*map(F.lit, _SPARE)), F.split(text, ""))
+    others = bind(free, lambda m: _lexed(text, F.element_at(m, 1), F.element_at(m, 2)))
+    return F.when(~has(first), _lexed(text, *first)).when(~has(second), _lexed(text, *second)).otherwise(others)
 
-    A text with a noncharacter of both pairs of marks (U+FDD0 to U+FDD3) is read with U+FFFD for those of the first.
-    """
-    text, (first, second) = column(col), _MARKS
-    has = lambda marks: F.contains(text, F.lit(marks[0])) | F.contains(text, F.lit(marks[1]))
-    plain = F.translate(text, "".join(first), "\ufffd" * 2)
-    return F.when(~has(first), _lexed(text, *first)).when(~has(second), _lexed(text, *second)).otherwise(_lexed(plain, *first))
 
-
-def _lexed(text: Column, field: str, token_mark: str) -> Column:
-    marked = F.regexp_replace(text, pattern(), token_mark + field.join(_FIELDS))
+def _lexed(text: Column, field: Column, token_mark: Column) -> Column:
+    put = F.concat(token_mark, F.lit(_FIELDS[0]), *(x for f in _FIELDS[1:] for x in (field, F.lit(f))))
+    marked = F.regexp_replace(text, F.lit(pattern()), put)
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    empty = field * (len(KINDS) - 1)
+    empty = F.repeat(field, len(KINDS) - 1)
 
     def token(piece: Column) -> Column:
-        body = F.ltrim(piece, F.lit(field))
+        body = F.ltrim(piece, field)
         kind = F.try_element_at(kinds, F.length(piece) - F.length(body) + 1)
-        return F.struct(kind.alias("kind"), F.rtrim(body, F.lit(field + _SPACES)).alias("text"))
+        return F.struct(kind.alias("kind"), F.rtrim(body, F.concat(field, F.lit(_SPACES))).alias("text"))
 
     pieces = F.filter(F.split(marked, token_mark), lambda p: (p != "") & (p != empty))
     return F.transform(pieces, token)

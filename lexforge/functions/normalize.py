@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexforge.functions import scripts
+
 ColumnOrName = Column | str
 
 #: Longest run of one character that reduce_lengthening leaves.
@@ -24,15 +26,6 @@ SPECIAL = {
     "´": "'", "µ": "u", "¶": "P", "·": "*", "¸": ",", "¹": "1", "º": "o", "¼": "1/4", "½": "1/2", "¾": "3/4", "¿": "?",
     "×": "x", "÷": "/",
 }
-#: Greek and Cyrillic capitals in ASCII; small letters take the same in lower case.
-CAPITALS = {
-    "Α": "A", "Β": "B", "Γ": "G", "Δ": "D", "Ε": "E", "Ζ": "Z", "Η": "E", "Θ": "Th", "Ι": "I", "Κ": "K", "Λ": "L", "Μ": "M",
-    "Ν": "N", "Ξ": "X", "Ο": "O", "Π": "P", "Ρ": "R", "Σ": "S", "Τ": "T", "Υ": "U", "Φ": "Ph", "Χ": "Kh", "Ψ": "Ps", "Ω": "O",
-    "А": "A", "Б": "B", "В": "V", "Г": "G", "Д": "D", "Е": "E", "Ж": "Zh", "З": "Z", "И": "I", "К": "K", "Л": "L", "М": "M",
-    "Н": "N", "О": "O", "П": "P", "Р": "R", "С": "S", "Т": "T", "У": "U", "Ф": "F", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh",
-    "Щ": "Shch", "Ъ": "'", "Ы": "Y", "Ь": "'", "Э": "E", "Ю": "Iu", "Я": "Ia", "Ё": "Io", "Ђ": "Dj", "Є": "Ie", "Ѕ": "Dz", "І": "I",
-    "Ї": "Yi", "Ј": "J", "Љ": "Lj", "Њ": "Nj", "Ћ": "Tsh", "Џ": "Dzh", "Ґ": "G",
-}
 
 
 def column(col: ColumnOrName) -> Column:
@@ -62,31 +55,24 @@ def _one_to_one() -> tuple[str, str]:
 
 
 @lru_cache(1)
-def _greek_and_cyrillic() -> dict[str, str]:
-    """Letters of both scripts, those with marks by their base letter."""
-    found = {k: v for x, y in CAPITALS.items() for k, v in ((x.lower(), y.lower()), (x, y))} | {"ς": "s"}
-    for code in range(0x370, 0x500):
-        base = unicodedata.normalize("NFD", chr(code))[0]
-        if base in found and chr(code) not in found:
-            found[chr(code)] = found[base]
-    return found
-
-
-def _replaced(col: Column, table: dict[str, str]) -> Column:
-    for k, v in table.items():
-        if len(v) > 1:
-            col = F.replace(col, F.lit(k), F.lit(v))
-    return col
+def _table() -> dict[str, str]:
+    ones, puts = _one_to_one()
+    return scripts.letters() | dict(zip(ones, puts, strict=True)) | SPECIAL
 
 
 def unidecode(col: ColumnOrName) -> Column:
-    """Latin, Greek and Cyrillic letters and common signs in ASCII; any other character beyond ASCII goes."""
+    """Letters of the scripts that ``scripts`` names, Latin ones and common signs in ASCII; any other character beyond ASCII goes.
+
+    Most Latin words only need one-to-one replacements; what is left of others is read by a table.
+    """
     col = column(col)
-    letters = _greek_and_cyrillic()
-    ones = {k: v for k, v in letters.items() if len(v) == 1}
-    other = _replaced(F.translate(col, "".join(ones), "".join(ones.values())), letters)
-    latin = bind(F.when(col.rlike(r"[\x{370}-\x{4FF}]"), other).otherwise(col), lambda c: _replaced(F.translate(c, *_one_to_one()), SPECIAL))
-    return F.when(col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(latin, r"[^\x00-\x7F]", "")).otherwise(col)
+    latin = bind(F.translate(col, *_one_to_one()), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), _by_table(c)).otherwise(c))
+    return F.when(col.rlike(r"[^\x00-\x7F]"), latin).otherwise(col)
+
+
+def _by_table(col: Column) -> Column:
+    read = scripts.by_code_point(F.translate(col, scripts.SMALL_SIGN, ""), _table())
+    return bind(read, lambda c: F.when(F.contains(c, F.lit(scripts.SMALL_SIGN)), scripts.kana_joined(c)).otherwise(c))
 
 
 def bind(value: Column, body) -> Column:

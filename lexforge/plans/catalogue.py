@@ -123,6 +123,39 @@ def _marked_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(tokens).alias("pos", "t")).select("doc_id", "pos", "t.kind", "t.text")
 
 
+#: How the letters a to z are written in other scripts, to make words of these from words of the documents.
+SCRIPTS = {
+    "georgian": "ა ბ ც დ ე ფ გ ჰ ი ჯ კ ლ მ ნ ო პ ყ რ ს ტ უ ვ წ ხ ღ ზ",
+    "armenian": "Ա բ ց դ ե ֆ գ հ ի ջ կ լ մ ն օ պ ք ր ս տ ու վ ւ խ յ Զ",
+    "hebrew": "א ב צ ד ע פ ג ה י ז כ ל מ נ ו ף ק ר ס ט ו ו ש ח י ז",
+    "arabic": "ا ب چ د ي ف گ ه ي ج ك ل م ن و پ ق ر س ت و ث و خ ي ز",
+    "hiragana": "あ ば ちゃ だ え ふ ぎょ は い じゅ っか る ま ん お っぷ くぇ り しゃ った う ゔぁ わ っち や ぜ",
+    "katakana": "ア ビ チェ デュ エ ファ グ ヘ イ ジョ キュ ー ミ ナ ヲ ッポ トゥ ロ シュ ティ ズ ヴィ ウィ ッサ ユ ツ",
+}
+
+
+def _in_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents as other scripts write them, each in one script, and their codes."""
+    letter = lambda c: F.element_at(F.split(F.lit("|".join(SCRIPTS.values())), r"\|")[F.col("k")], 1)  # noqa: E731, F841
+    rows = F.split(F.lit("|".join(SCRIPTS.values())), r"\|")
+    names_ = F.split(F.lit(" ".join(SCRIPTS)), " ")
+    words = tables.vocabulary(_table(spark, d, "documents")).where(F.col("word").rlike(r"^[a-z]+\z"))
+    placed = words.withColumn("k", (F.length("word") + F.ascii("word")) % len(SCRIPTS)).withColumn("signs", F.split(F.element_at(rows, F.col("k") + 1), " "))
+    written = placed.select("word", F.element_at(names_, F.col("k") + 1).alias("script"), F.array_join(F.transform(F.split("word", ""), lambda c: F.element_at(F.col("signs"), F.ascii(c) - 96)), "").alias("written"))
+    codes = {"ascii": normalize.unidecode, "omission_key": keys.omission_key, "soundex": phonetics.soundex, "refined_soundex": phonetics.refined_soundex, "phonogram": phonetics.phonogram}
+    return written.select("word", "script", *[f("written").alias(k) for k, f in codes.items()])
+
+
+def _hangul(spark: SparkSession, d: str) -> DataFrame:
+    """Names of three Hangul syllables, made of the numbers of parts, and their codes."""
+    code = lambda i: F.lit(0xAC00) + (F.col("p_partkey") * 7919 + i * 613) % 11172
+    utf8 = lambda c: F.lit(0xE08080) + F.shiftleft(F.shiftright(c, 12), 16) + F.shiftleft(F.shiftright(c, 6).bitwiseAND(63), 8) + c.bitwiseAND(63)
+    name = F.concat(*[F.decode(F.unhex(F.hex(utf8(code(i)))), "UTF-8") for i in range(3)])
+    written = _table(spark, d, "part").select("p_partkey", name.alias("name"))
+    codes = {"ascii": normalize.unidecode, "omission_key": keys.omission_key, "soundex": phonetics.soundex, "refined_soundex": phonetics.refined_soundex}
+    return written.select("p_partkey", *[f("name").alias(k) for k, f in codes.items()])
+
+
 def _csv(spark: SparkSession, d: str) -> DataFrame:
     """Part names through a CSV file and back."""
     path = f"{_shared_folder(spark)}/names-{uuid.uuid4().hex}"
@@ -192,6 +225,8 @@ QUERIES: dict[str, Query] = {
     "squeeze": _texts("squeezed", normalize.squeeze),
     "reduce_lengthening": _texts("reduced", normalize.reduce_lengthening),
     "unidecode": _words("ascii", normalize.unidecode),
+    "codes_of_scripts": _in_scripts,
+    "codes_of_hangul": _hangul,
     "doc_pipeline": _pipeline,
 }
 

@@ -112,22 +112,22 @@ def _sorted_out(name: str, x: str, source: str) -> str:
     return f"SELECT word, {x} AS {name} FROM ({source})"
 
 
-def _soundex() -> str:
-    u = f"SELECT word, regexp_replace(upper({_ascii('word')}), '[^A-Z]', '', 'g') AS u FROM ({WORDS})"
-    r = f"SELECT word, u, {_digits('u[1:1]', phonetics.SOUNDEX)} AS f, {_digits('u[2:]', phonetics.SOUNDEX)} AS r FROM ({u})"
-    q = f"SELECT word, u, CASE WHEN r <> '' AND f = r[1:1] THEN r[2:] ELSE r END AS q FROM ({r})"
-    s = f"SELECT word, u, {_squeezed('q')} AS s FROM ({q})"
-    return f"SELECT word, CASE WHEN u = '' THEN '' ELSE rpad((u[1:1] || replace(s, '0', ''))[1:4], 4, '0') END AS soundex FROM ({s})"
+def _soundex(source: str = WORDS, keys: str = "word", name: str = "word") -> str:
+    u = f"SELECT {keys}, regexp_replace(upper({_ascii(name)}), '[^A-Z]', '', 'g') AS u FROM ({source})"
+    r = f"SELECT {keys}, u, {_digits('u[1:1]', phonetics.SOUNDEX)} AS f, {_digits('u[2:]', phonetics.SOUNDEX)} AS r FROM ({u})"
+    q = f"SELECT {keys}, u, CASE WHEN r <> '' AND f = r[1:1] THEN r[2:] ELSE r END AS q FROM ({r})"
+    s = f"SELECT {keys}, u, {_squeezed('q')} AS s FROM ({q})"
+    return f"SELECT {keys}, CASE WHEN u = '' THEN '' ELSE rpad((u[1:1] || replace(s, '0', ''))[1:4], 4, '0') END AS soundex FROM ({s})"
 
 
-def _refined() -> str:
-    u = f"SELECT word, regexp_replace(upper({_ascii('word')}), '[^A-Z]', '', 'g') AS u FROM ({WORDS})"
-    r = f"SELECT word, u, {_digits('u[2:]', phonetics.REFINED)} AS r FROM ({u})"
-    return f"SELECT word, u[1:1] || {_squeezed('r')} AS refined_soundex FROM ({r})"
+def _refined(source: str = WORDS, keys: str = "word", name: str = "word") -> str:
+    u = f"SELECT {keys}, regexp_replace(upper({_ascii(name)}), '[^A-Z]', '', 'g') AS u FROM ({source})"
+    r = f"SELECT {keys}, u, {_digits('u[2:]', phonetics.REFINED)} AS r FROM ({u})"
+    return f"SELECT {keys}, u[1:1] || {_squeezed('r')} AS refined_soundex FROM ({r})"
 
 
-def _phonogram(source: str, name: str) -> str:
-    before = [(p.replace(r"\z", "$"), r) for p, r in phonetics.BEFORE]
+def _phonogram(source: str, name: str, latin: bool = True) -> str:
+    before = [(p.replace(r"\z", "$"), r) for p, r in phonetics.BEFORE if latin]
     before = [("(?i)" + p.removeprefix("(?iu)"), r) for p, r in before]
     a = f"SELECT *, regexp_replace(lower({_ascii(_rewritten(name, before))}), '[^a-z]', '', 'g') AS a FROM ({source})"
     b = f"SELECT *, {_rewritten('a', phonetics.SOUNDS)} AS b FROM ({a})"
@@ -196,6 +196,82 @@ def _paragraphs(aerated: bool) -> str:
     return rf"SELECT doc_id, generate_subscripts(p, 1) - 1 AS par, unnest(p) AS paragraph FROM (SELECT doc_id, regexp_split_to_array(text, '{newline}[\t\s]*{newline}{'+' if aerated else '*'}') AS p FROM documents)"
 
 
+#: What each letter that the catalogue writes in another script is in ASCII, a to z; and the parts of Hangul syllables.
+_READ = {
+    "georgian": "a b ts d e p g h i j k l m n o p q r s t u v ts kh gh z",
+    "armenian": "A b ts d e f g h i j k l m n o p k r s t ow v w kh y Z",
+    "hebrew": "a b ts d ' p g h y z k l m n v p q r s t v v sh kh y z",
+    "arabic": "a b ch d y f g h y j k l m n w p q r s t w th w kh y z",
+    "hiragana": "a ba cha da e fu gyo ha i ju kka ru ma n o ppu kwe ri sha tta u va wa tchi ya ze",
+    "katakana": "a bi che dyu e fa gu he i jo kyu - mi na o ppo tu ro shu ti zu vi wi ssa yu tsu",
+}
+_LEAD = "g gg n d dd r m b bb s ss - j jj c k t p h"
+_VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i"
+_TAIL = "- g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h"
+
+
+def _list(words: str) -> str:
+    return "[" + ", ".join("''" if w == "-" else _text(w) for w in words.split()) + "]"
+
+
+def _scripts() -> str:
+    rows = "[" + ", ".join(_list(v) for v in _READ.values()) + "]"
+    names = _list(" ".join(_READ))
+    read = f"array_to_string(list_transform(string_split(word, ''), lambda c: {rows}[k + 1][ascii(c) - 96]), '')"
+    words = f"SELECT word, {names}[k + 1] AS script, {read} AS ascii FROM (SELECT word, (length(word) + ascii(word)) % {len(_READ)} AS k FROM ({WORDS}) WHERE regexp_full_match(word, '[a-z]+'))"
+    return _coded("word, script", words, phonogram=True)
+
+
+def _coded(keys: str, source: str, phonogram: bool = False) -> str:
+    """The codes of names that ``source`` gives in ASCII."""
+    sound, refined = _soundex(source, keys, "ascii"), _refined(source, keys, "ascii")
+    omission = f"SELECT {keys}, ascii, {_omission()} AS omission_key FROM (SELECT {keys}, ascii, u, regexp_extract_all(u, '[AEIOU]') AS v FROM (SELECT {keys}, ascii, upper(ascii) AS u FROM ({source})))"
+    more = f" JOIN (SELECT {keys}, phonogram FROM ({_phonogram(source, 'ascii', latin=False)})) USING ({keys})" if phonogram else ""
+    return f"SELECT * FROM ({omission}) JOIN ({sound}) USING ({keys}) JOIN ({refined}) USING ({keys}){more}"
+
+
+def _omission() -> str:
+    return f"{_consonants('u')} || array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '')"
+
+
+def _hangul() -> str:
+    read = " || ".join(f"{_list(_LEAD)}[n{i} // 588 + 1] || {_list(_VOWEL)}[n{i} // 28 % 21 + 1] || {_list(_TAIL)}[n{i} % 28 + 1]" for i in range(3))
+    return _coded("p_partkey", f"SELECT p_partkey, {read} AS ascii FROM (SELECT p_partkey, {', '.join(f'(p_partkey * 7919 + {i * 613}) % 11172 AS n{i}' for i in range(3))} FROM part)")
+
+
+#: White space of Unicode, for patterns and for trimming; what stands before a sentence may be any control character too.
+_W = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STOP = rf"[.?!…]+(?:{_W}[.?!…])*[«»„‟“”\")}}\]]?{_W}+"
+_NO_STOP = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(?i:[A-Z0-9]{_W}*|prof|me?lle|mgr|mrs|mme?|[djms]r|st|etc|ms?|pp?)$"
+
+
+def _sentences(source: str, keys: str) -> str:
+    """keys, sent and sentence, from keys and text: a walk from each place where a sentence may end to the next.
+
+    ``now`` is the sentence as far as it has come, ``ends`` whether it is over.
+    """
+    listed = [k.strip() for k in keys.split(",")]
+    of = lambda t: ", ".join(f"{t}.{k}" for k in listed)
+    odd = lambda x, chars: f"len(regexp_extract_all({x}, '{chars}')) % 2 = 1"
+    return rf"""WITH RECURSIVE texts AS MATERIALIZED ({source}),
+    parts AS MATERIALIZED (SELECT {keys}, generate_subscripts(p, 1) AS i, unnest(p) AS part, len(p) AS n FROM (SELECT {keys}, regexp_extract_all(text, '(?s).*?{_STOP}|(?s).+') AS p FROM texts)),
+    walk AS (SELECT {keys}, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS sent, '' AS now, false AS ends FROM texts
+        UNION ALL
+        SELECT {keys}, i, n, sent, now || part, regexp_matches(part, '{_STOP}$') AND NOT regexp_matches(near || body, '{_NO_STOP}') AND NOT {odd('near || part', '[«»„‟“”"]')} AND (NOT {odd('near || part', r'[(){}\[\]]')} OR regexp_matches(near || part, '^[A-Z0-9]\)'))
+        FROM (SELECT {keys}, i, n, sent, now, part, regexp_replace(part, '{_STOP}$', '') AS body,
+                CASE WHEN strlen(now) <= 256 THEN now ELSE right(now, list_filter(range(64, 257), lambda k: strlen(right(now, k)) >= 256)[1]) END AS near
+            FROM (SELECT {of('p')}, p.i, p.n, CASE WHEN w.ends THEN w.sent + 1 ELSE w.sent END AS sent, CASE WHEN w.ends THEN '' ELSE w.now END AS now,
+                    CASE WHEN w.ends OR w.now = '' THEN regexp_replace(p.part, '^(?:[\x00-\x1f]|{_W})+', '') ELSE p.part END AS part
+                FROM walk w JOIN parts p ON {' AND '.join(f'p.{k} = w.{k}' for k in listed)} AND p.i = w.i + 1)))
+SELECT {keys}, sent, regexp_replace(now, '{_W}+$', '') AS sentence FROM walk WHERE i > 0 AND (ends OR i = n) AND now <> ''"""
+
+
+def _segmented() -> str:
+    lines = _paragraphs(False)
+    cut = _sentences(f"SELECT doc_id, par, paragraph AS text FROM ({lines})", "doc_id, par")
+    return rf"SELECT doc_id, par, sent, CAST(n AS BIGINT) AS n_tokens FROM (SELECT doc_id, par, sent, len(regexp_extract_all(sentence, '{LEXER}')) AS n FROM ({cut})) WHERE n > 0"
+
+
 def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
     stop = ", ".join(f"'{w}'" for w in stopwords)
     size = "len(string_split(p_name, ' '))"
@@ -231,6 +307,8 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "paragraphs_lines": _paragraphs(False),
         "paragraphs_golden": _lists({k: v[0] for k, v in golden.PARAGRAPHS.items()}),
         "paragraphs_lines_golden": _lists({k: v[1] for k, v in golden.PARAGRAPHS.items()}),
+        "sentences": _sentences("SELECT doc_id, text FROM documents", "doc_id"),
+        "doc_pipeline": _segmented(),
         "sentences_golden": _lists(golden.SENTENCES),
         "hashtag_parts_golden": _cases(golden.HASHTAGS),
         "fingerprint_key": r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(p_name, '\s+'), lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), lambda w: w <> ''))), ' ') AS fingerprint FROM part",
@@ -255,5 +333,7 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "stem_measure": words_("measure", f"CAST({_measure('word')} AS BIGINT)"),
         "squeeze": "SELECT doc_id, array_to_string(list_transform(list_zip(c, list_prepend('', c)), lambda p: CASE WHEN p[1] = p[2] THEN '' ELSE p[1] END), '') AS squeezed FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)",
         "reduce_lengthening": "SELECT doc_id, coalesce(string_agg(CASE WHEN c = a AND c = b AND c = d AND NOT regexp_matches(c, '\\p{N}') THEN '' ELSE c END, '' ORDER BY i), '') AS reduced FROM (SELECT doc_id, i, c, lag(c, 1) OVER w AS a, lag(c, 2) OVER w AS b, lag(c, 3) OVER w AS d FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id",
+        "codes_of_scripts": _scripts(),
+        "codes_of_hangul": _hangul(),
         "unidecode": words_("ascii", _ascii("word")),
     }

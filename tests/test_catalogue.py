@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     left = set(QUERIES) - set(SQL)
-    assert left == {"sentences", "doc_pipeline"}
+    assert not left
     assert all(QUERIES[q](spark, DATA).count() for q in left)
 
 

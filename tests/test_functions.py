@@ -46,13 +46,47 @@ def test_tokens(spark):
 
 
 def test_texts_with_the_lexers_marks(spark):
-    """Noncharacters are punctuation like any other; where a text has those of both pairs, U+FFFD stands for the first."""
-    cases = {"a \ufdd1 b": ["a", "\ufdd1", "b"], "\ufdd0x\ufdd1": ["\ufdd0", "x", "\ufdd1"], "\ufdd2 y": ["\ufdd2", "y"], "\ufdd0\ufdd3 z": ["\ufffd", "\ufdd3", "z"]}
+    """Noncharacters are punctuation like any other, however many a text has."""
+    many = "".join(lexer._SPARE[:90])
+    cases = {"a \ufdd1 b": ["a", "\ufdd1", "b"], "\ufdd0x\ufdd1": ["\ufdd0", "x", "\ufdd1"], "\ufdd2 y": ["\ufdd2", "y"], "\ufdd0\ufdd3 z": ["\ufdd0", "\ufdd3", "z"], f"a {many}b": ["a", *many, "b"]}
     found = outputs(spark, cases, lexer.word_tokens)
     assert {k: [t.text for t in v] for k, v in found.items()} == cases
     assert {t.kind for v in found.values() for t in v} == {"word", "punct"}
 
 
+MEGABYTE = 1 << 20
+#: A run of about a megabyte for each alternative of the lexer, and its tokens' number and first kind.
+RUNS = {
+    "email": ("a@bb.cc" + ".cc" * 200_000, 1, "email"),
+    "compound": ("ab-cd_" * (MEGABYTE // 6) + "ab", 1, "word"),
+    "compound with apostrophes": ("a-" + "b'c" * (MEGABYTE // 3), 1, "word"),
+    "hashtag": ("#a" + "b" * MEGABYTE, 1, "hashtag"),
+    "hashtag that ends in a sign": ("#a" + "b" * MEGABYTE + "_", 3, "punct"),
+    "mention": ("@a" + "b_" * (MEGABYTE // 2), 1, "mention"),
+    "number": ("1" * MEGABYTE + "," + "2" * MEGABYTE, 1, "number"),
+    "number with a letter": ("1" * MEGABYTE + "x", 1, "word"),
+    "flags": ("\U0001f1eb\U0001f1f7" * (MEGABYTE // 8), 1, "emoji"),
+    "joined emoji of two sizes": ("☹\u200d\U0001f466\u200d" * (MEGABYTE // 13) + "☹", 1, "emoji"),
+    "url": ("http://" + "a.b/" * (MEGABYTE // 4), 1, "url"),
+    "acronym": ("A." * (MEGABYTE // 2), 1, "word"),
+    "letters": ("é" * (MEGABYTE // 2), 1, "word"),
+    "letters before an apostrophe": ("n" * MEGABYTE + "'x", 3, "word"),
+    "contraction": ("a" * MEGABYTE + "n't", 1, "word"),
+    "elision": ("l'" + "a" * MEGABYTE, 2, "word"),
+    "name": ("O'" + "R" * MEGABYTE, 1, "word"),
+    "punctuation": ("!" * 100_000, 100_000, "punct"),
+    "blanks": ("a" + " " * MEGABYTE + "b", 2, "word"),
+}
+
+
+def test_long_runs_of_every_alternative(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    spark.createDataFrame([(k, v[0]) for k, v in RUNS.items()], "name string, x string").repartition(4).write.parquet(path)
+    tokens = spark.read.parquet(path).select("name", "x", lexer.word_tokens("x").alias("t"))
+    found = tokens.select("name", F.size("t").alias("n"), F.col("t")[0]["kind"].alias("kind"), (F.length(F.array_join(F.transform("t", lambda t: t["text"]), "")) == F.length(F.regexp_replace("x", r"\s", ""))).alias("whole"))
+    assert {r.name: (r.n, r.kind, r.whole) for r in found.collect()} == {k: (v[1], v[2], True) for k, v in RUNS.items()}
+
+
 def test_line_ends_in_words(spark):
     assert outputs(spark, ["a\rties", "a\x85cats"], stemmers.porter_stem) == {"a\rties": "a\rti", "a\x85cats": "a\x85cat"}
 

@@ -1,7 +1,9 @@
 """Properties of the functions on generated texts: all texts of a run go through one job."""
 
+import math
 import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -59,7 +61,7 @@ def test_sentences_keep_all_but_blanks(spark, texts):
         assert "".join("".join(row.s).split()) == "".join(row.x.split())
 
 
-CLOSING = r"[.?!…]++(?:\s[.?!…])*+[«»„‟“”\")}\]]?\s++"
+CLOSING = r"[.?!…]+(?:\s[.?!…])*[«»„‟“”\")}\]]?\s+"
 ABBREVIATION = re.compile(r"\b(?:[A-Z0-9]\s*|prof|me?lle|mgr|mrs|mme?|[djms]r|st|etc|ms?|pp?)\Z", re.IGNORECASE)
 
 
@@ -107,3 +109,32 @@ def test_segments_against_plain_loops(spark):
     sentences = spark.createDataFrame(cut, "doc_id long, par int, sent int, x string")
     sizes = {(r.doc_id, r.par, r.sent): r.n for r in sentences.select("doc_id", "par", "sent", F.size(lexer.word_tokens("x")).alias("n")).where("n > 0").collect()}
     assert found == sizes
+
+
+def test_marks_apart_from_others(spark):
+    """A mark that follows a mark and a blank may be the next sentence's."""
+    cases = {"Hello. .NET is nice.": ["Hello.", ".NET is nice."], "So . . . yes. No": ["So . . .", "yes.", "No"], "End.. .. ..x": ["End..", "..", "..x"], "Oh?!... ok": ["Oh?!...", "ok"]}
+    df = spark.createDataFrame([(t,) for t in cases], "x string")
+    assert {r.x: r.s for r in df.select("x", segments.split_sentences("x").alias("s")).collect()} == cases
+    assert {t: plain_sentences(t) for t in cases} == cases
+
+
+def test_sentences_take_time_in_proportion(spark):
+    """Twice as many sentences, or a megabyte of marks, cost about twice as much and no more."""
+
+    def seconds(text):
+        df = spark.createDataFrame([(text,)], "x string").cache()
+        df.count()
+        best = math.inf
+        for _ in range(3):
+            began = time.perf_counter()
+            n = df.select(F.size(segments.split_sentences("x")).alias("n")).first().n
+            best = min(best, time.perf_counter() - began)
+        return n, best
+
+    short, long = "It rains (a bit). ", "He said: \"no end. Go on. "
+    seconds(short * 2000)
+    small, large = seconds(short * 40_000), seconds(short * 80_000)
+    assert (small[0], large[0]) == (40_000, 80_000) and large[1] <= 2 * small[1] + 0.5
+    assert seconds(long * 20_000)[1] < 20  # sentences that hardly end
+    assert seconds("." * 1_000_000)[1] < 5 and seconds(". " * 500_000 + "x")[1] < 5 and seconds("x" + " " * 1_000_000 + "y")[1] < 5

@@ -5,8 +5,8 @@ Strings that only resemble an identifier (a phone number without a country code,
 that fails its check digit, an address without a domain's dot, a dotted number out of range) are
 instances not yet believed. Spark scores the graph of patterns and instances in rounds: a pattern
 by the mean score of its instances, shrunk towards 0, an instance by the noisy-or of its patterns.
-Scores only rise; rounds go on until two in a row accept nothing new. Strings at or above the
-acceptance score are spans too.
+Scores only rise, so they have a limit, and rounds go on until all are near it. Strings at or above
+the acceptance score are spans too.
 
 One scan yields a short row per document; only those rows are joined and grouped. Each base search
 is linear in the length of the text.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lexforge.llm._shared import durable, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds in a row that accept nothing new before scoring ends.
-QUIET = 2
+#: Scoring ends when no score rises by so much.
+STILL = 1e-3
 #: A pattern of n instances whose scores sum to s has confidence s / (n + PRIOR).
 PRIOR = 1.0
 ACCEPT = 0.5
@@ -122,12 +122,13 @@ def _word_before(text: str, at: int) -> tuple[int, str]:
 def _contexts(text: str, kind: str, x: int, y: int) -> list[int]:
     """Lexical patterns around a string, as numbers: two words before it, and a word on each side.
 
-    A string that follows no blank has none, so each word of a text is read a few times at most.
+    The second needs one word before, so a string near a text's start has it too. A string that
+    follows no blank has none, so each word of a text is read a few times at most.
     """
     at, near = _word_before(text, x)
-    far = _word_before(text, at)[1] if near else ""
-    if not far:
+    if not near:
         return []
+    far = _word_before(text, at)[1]
     a, b = (w.strip(_EDGE).lower() for w in (far, near))
     right = _RIGHT.match(text, y)
     c = right[1].strip(_EDGE).lower() if right else ""
@@ -196,22 +197,19 @@ def _found(documents: DataFrame, id_col: str, text_col: str, accept: float) -> D
 
 
 def _believed(mentions: DataFrame, accept: float) -> DataFrame:
-    """The instances that the graph of patterns and instances gives the acceptance score at least."""
+    """The instances that the graph of patterns and instances gives the acceptance score at least.
+
+    Scores start at 1 for seeds and 0 for others and can only rise, towards the least fixed point;
+    rounds go on until no score rises by ``STILL`` or more.
+    """
     edges = durable(mentions.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    good = F.col("score") >= accept
-    seen, quiet = -1, 0
-    while quiet < QUIET:
+    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.lit(1.0).alias("rise"))
+    while True:
         patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"))
-        scores = durable(
-            edges.join(patterns, "pattern")
-            .groupBy("instance")
-            .agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
-        )
-        n = scores.where(good).count()
-        quiet = quiet + 1 if n == seen else 0
-        seen = n
-    return scores.where(good).select("instance")
+        told = edges.join(patterns, "pattern").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
+        scores = durable(told.join(scores.select("instance", F.col("score").alias("before")), "instance").select("instance", "score", (F.col("score") - F.col("before")).alias("rise")))
+        if scores.where(F.col("rise") >= STILL).isEmpty():
+            return scores.where(F.col("score") >= accept).select("instance")
 
 
 def spans_text(spans: Column) -> Column:

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm._shared import durable
@@ -48,49 +48,54 @@ _PLACE = (1 << 24) - 1
 
 
 def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): the maximal runs [from, to) of bytes to remove from each document that has any.
+    """(id, key, runs): lists of runs [from, to) of bytes to remove, for each document that has any.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. A null
-    text is empty. Rows that repeat an id must repeat its text; each is a document of its own for
-    the count. A row without an id counts as another document but is not changed itself; its bytes
-    are compared as those of others are.
+    text is empty. Every row is a document of its own, also one that repeats an id, with its text
+    or another one, or that has none. ``id`` is the id, or 0 without one, and ``key`` what
+    ``row_key`` gives: rows of one id and one text have the same runs.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # a row without an id goes by a hash of its text; its segments have n below 0
-    docs = docs.select(F.coalesce("id", F.xxhash64("text")).alias("id"), F.col("id").isNull().alias("none"), "text")
+    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), row_key(id_col, text_col).alias("key"), F.col(id_col).isNull().alias("none"), F.col(text_col).cast("string").alias("text"))
     ends = F.expr(f"transform(runs, (x, i) -> start + x + if(i % 2 = 1, {length - 1}, 0))")
-    return _repeats(docs, length).select("id", ends.alias("runs")).groupBy("id").agg(F.collect_set("runs").alias("runs"))
+    return _repeats(docs, length).select("id", "key", ends.alias("runs")).groupBy("id", "key").agg(F.collect_set("runs").alias("runs"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash that tells the texts of an id apart, and rows without an id from others."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(text_col).cast("string"))
 
 
 def _repeats(docs: DataFrame, length: int, level: int = 0) -> DataFrame:
-    """(id, start, runs): ranges of passages, counted from a place, that also start anywhere else."""
-    rows = docs.where(F.octet_length("text") >= length).mapInArrow(_segments(length, level), "mh long, dg long, id long, start long, n int")
+    """(id, key, start, runs): ranges of passages, counted from a place, that also start anywhere else."""
+    rows = docs.where(F.octet_length("text") >= length).mapInArrow(_segments(length, level), "mh long, dg long, id long, key long, start long, n int")
     common = durable(rows.groupBy("mh").agg(F.count("*").alias("c"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("c > 1"))
     total = common.agg(F.sum("c")).first()[0] or 0
     least = max(HOT_ROWS, total // HOT_HASHES)  # so fewer than HOT_HASHES have more
     hot = durable(common.where(F.col("c") > least).select("mh", F.ceil(F.col("c") / least).cast("int").alias("salts")))
     salted = lambda df: df.join(F.broadcast(hot), "mh", "left")
-    dealt = lambda df: salted(df).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "start"), "salts"), F.lit(0))).drop("salts")
+    dealt = lambda df: salted(df).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "key", "start"), "salts"), F.lit(0))).drop("salts")
     copied = lambda df: salted(df).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
     held = durable(dealt(rows).join(copied(common.select("mh", (F.col("x") == F.col("y")).alias("same"))), ["mh", "salt"]))
-    kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct(F.col("n") < 0, "id", "start", "n")).alias("at"))
-    kinds = durable(kinds.select("mh", "dg", "same", "c", "at.id", "at.start", "at.n"))
-    known = kinds.where("c > 1").select("mh", "dg", F.expr("array(0, abs(n))").alias("runs"))
+    kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "start", "n")).alias("at"))
+    kinds = durable(kinds.select("mh", "dg", "same", "c", "at.id", "at.key", "at.start", "at.n"))
+    known = kinds.where("c > 1").select("mh", "dg", F.expr("array(0, n)").alias("runs"))
     found = _compare(docs, kinds.where("not same"), length, level)
     fresh = found.join(kinds.where("c = 1").select("mh", "dg"), ["mh", "dg"], "left_semi")
-    return held.where("n > 0").join(copied(known.union(fresh)), ["mh", "dg", "salt"]).select("id", "start", "runs")
+    return held.join(copied(known.union(fresh)), ["mh", "dg", "salt"]).select("id", "key", "start", "runs")
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with ``kept``, the bytes left of it, and ``spans``, what was removed."""
-    docs = documents.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string")})
-    spans = repeated_spans(documents, length, id_col, text_col).withColumnRenamed("id", id_col)
-    docs = docs.select(id_col, text_col).join(spans, id_col, "left")
+    """A row for every document: its id, ``kept``, the bytes left of it, and ``spans``, what was removed, as maximal runs.
+
+    Other columns are ignored; an empty table gives no rows.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.join(repeated_spans(documents, length, id_col, text_col), ["id", "key"], "left").select("own", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed = [], []
-            for text, runs in zip(texts(batch.column(text_col)), batch.column("runs").to_pylist(), strict=True):
+            for text, runs in zip(texts(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
                 merged = _merged(runs or [])
                 at, parts = 0, []
                 for x, y in merged:
@@ -99,7 +104,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_i
                 kept.append(b"".join([*parts, (text or b"")[at:]]))
                 removed.append([{"from": x, "to": y} for x, y in merged])
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(kept, pa.binary()), pa.array(removed, kind)], [id_col, "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(kept, pa.binary()), pa.array(removed, kind)], [id_col, "kept", "spans"])
 
     return docs.mapInArrow(cut, f"`{id_col}` long, kept binary, spans array<struct<from: long, to: long>>")
 
@@ -144,16 +149,16 @@ def _anchors(data: np.ndarray, length: int, level: int = 0) -> tuple[np.ndarray,
 
 def _segments(length: int, level: int):
     def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
-        """Bytes, and in them for each text or part of one: id, sign of n, offset in the text, first and last byte."""
+        """Bytes, and in them for each text or part of one: id, key, offset in the text, first and last byte."""
         got, held, at = [], [], 0
-        for doc, none, text in zip(batch.column("id").to_pylist(), batch.column("none").to_pylist(), texts(batch.column("text")), strict=True):
+        for doc, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts(batch.column("text")), strict=True):
             for x in range(0, max(1, len(text) - length + 1), PIECE - length + 1):
                 part = text[x : x + PIECE]
                 if at and at + len(part) > PIECE:
                     yield b"".join(got), held
                     got, held, at = [], [], 0
                 got.append(part)
-                held.append((doc, -1 if none else 1, x, at, at + len(part)))
+                held.append((doc, key, x, at, at + len(part)))
                 at += len(part)
         if at:
             yield b"".join(got), held
@@ -178,14 +183,13 @@ def _segments(length: int, level: int):
                 live = ~dead[at]
                 at, end = at[live], end[live]
                 owner = np.searchsorted(first, at, side="right") - 1
-                ids = [h[0] for h in held]
-                sign = np.array([h[1] for h in held])
+                ids, keys = (np.array([h[k] for h in held], dtype=np.int64) for k in (0, 1))
                 shift = np.array([h[2] - h[3] for h in held])
                 view = memoryview(raw)
                 dg = np.array([xxhash.xxh3_64_intdigest(view[x : y + length - 1]) for x, y in zip(at.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full[(low[at] & np.uint64(_PLACE)).astype(np.int64)].view(np.int64)), pa.array(dg.view(np.int64)), pa.array([ids[o] for o in owner.tolist()], pa.int64()), pa.array(at + shift[owner]), pa.array(((end - at) * sign[owner]).astype(np.int32))],
-                    ["mh", "dg", "id", "start", "n"],
+                    [pa.array(full[(low[at] & np.uint64(_PLACE)).astype(np.int64)].view(np.int64)), pa.array(dg.view(np.int64)), pa.array(ids[owner]), pa.array(keys[owner]), pa.array(at + shift[owner]), pa.array((end - at).astype(np.int32))],
+                    ["mh", "dg", "id", "key", "start", "n"],
                 )
 
     return scan
@@ -193,24 +197,24 @@ def _segments(length: int, level: int):
 
 def _compare(docs: DataFrame, kinds: DataFrame, length: int, level: int) -> DataFrame:
     """(mh, dg, runs): ranges of passages in a segment that also start in another segment."""
-    size = F.abs("n") + length - 1
+    size = F.col("n") + length - 1
     loads = kinds.groupBy("mh").agg(F.sum(size).alias("bytes"))
     total = loads.agg(F.sum(F.when(F.col("bytes") <= SHARD_BYTES, F.col("bytes")))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
     large = loads.where(F.col("bytes") > SHARD_BYTES).select("mh", F.ceil(F.col("bytes") / SHARD_BYTES).alias("cuts"))
     placed = kinds.join(large, "mh", "left").select(
         "id",
-        (F.col("n") < 0).alias("none"),
+        "key",
         F.struct(
             F.when(F.col("cuts").isNull(), F.pmod("mh", F.lit(shards))).otherwise(F.col("mh")).alias("shard"),
             F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.pmod("dg", "cuts")).cast("int").alias("cut"),
             "mh",
             "dg",
             "start",
-            F.abs("n").alias("n"),
+            "n",
         ).alias("at"),
     )
-    wanted = placed.groupBy("id", "none").agg(F.collect_list("at").alias("at"))
+    wanted = placed.groupBy("id", "key").agg(F.collect_list("at").alias("at"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +232,8 @@ def _compare(docs: DataFrame, kinds: DataFrame, length: int, level: int) -> Data
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds_of)], names)
 
     # of rows without an id that have the same text, one is read
-    each = docs.where("not none").union(docs.where("none and text is not null").dropDuplicates(["id"]))
-    parts = each.join(wanted, ["id", "none"]).select("text", "at").mapInArrow(fetch, "shard long, cut int, mh long, dg long, bytes binary")
+    each = docs.where("not none").union(docs.where("none and text is not null").dropDuplicates(["id", "key"]))
+    parts = each.join(wanted, ["id", "key"]).select("text", "at").mapInArrow(fetch, "shard long, cut int, mh long, dg long, bytes binary")
     schema = "mh long, dg long, runs array<int>"
 
     def alone(frame: pd.DataFrame) -> pd.DataFrame:
@@ -243,10 +247,10 @@ def _compare(docs: DataFrame, kinds: DataFrame, length: int, level: int) -> Data
     if level < LEVELS:
         inside = parts.where("cut < 0").groupBy("shard").applyInPandas(alone, schema)
         # these numbers hold only once they are written
-        again = durable(parts.where("cut >= 0").dropDuplicates(["mh", "dg"]).select(F.monotonically_increasing_id().alias("id"), F.lit(False).alias("none"), F.col("bytes").alias("text"), "mh", "dg"))
+        again = durable(parts.where("cut >= 0").dropDuplicates(["mh", "dg"]).select(F.monotonically_increasing_id().alias("id"), F.lit(0).cast("long").alias("key"), F.lit(False).alias("none"), F.col("bytes").alias("text"), "mh", "dg"))
         finer = _repeats(again.drop("mh", "dg"), length, level + 1)
         shifted = F.expr("transform(runs, x -> cast(start + x as int))").alias("runs")
-        return gathered(inside.union(finer.join(again.drop("none", "text"), "id").select("mh", "dg", shifted)))
+        return gathered(inside.union(finer.drop("key").join(again.drop("key", "none", "text"), "id").select("mh", "dg", shifted)))
     inside = parts.groupBy("shard", "cut").applyInPandas(alone, schema)
     side = lambda x: parts.where("cut >= 0").groupBy("shard", "cut").agg(F.collect_set(F.struct("mh", "dg", "bytes")).alias(x))
     pairs = side("a").withColumnRenamed("cut", "i").join(side("b").withColumnRenamed("cut", "j"), "shard").where("i <> j").select("a", "b")

@@ -175,37 +175,27 @@ def test_repeats(spark, shard, levels, monkeypatch):
         assert (sum(s["to"] - s["from"] for s in r.spans), len(r.spans), r.sha) == expected[r.doc_id], r.doc_id
 
 
-def test_repeats_of_rows_without_ids(spark):
-    long = "".join(random.Random(1).choice("abc") for _ in range(300))
-    df = spark.createDataFrame([(None, long, 1, "", ""), (1, long, 1, "", ""), (2, "b" + long[1:250], 1, "", "")], DOCS)
-    found = {r.doc_id: len(r.kept) for r in remove_repeats(df).collect()}
-    assert found == {None: 300, 1: 0, 2: 0 if long[0] == "b" else 1}
-    assert remove_repeats(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("shard", [2_000_000, 3_000])
-def test_passages_of_rows_without_ids_count(spark, shard, monkeypatch):
-    """Copies without an id, one of them or all, share a passage but no whole segment with others."""
+@pytest.mark.parametrize(("shard", "levels"), [(2_000_000, 4), (3_000, 0), (1_500, 4)])
+def test_repeats_of_rows_without_or_with_repeated_ids(spark, shard, levels, monkeypatch):
+    """Every row is judged by its own text: rows that share an id, with one text or several, and rows without an id."""
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
     draw = random.Random(5)
-    some = lambda n: "".join(draw.choice("abcdefgh é\n") for _ in range(n))
-    shared = [some(n) for n in (200, 230, 260, 900)]
-    rows = []
-    for p in shared:
-        copy, other = (some(150) + p + some(150) for _ in range(2))
-        rows += [(None, copy), (None, copy), (len(rows) + 100, copy), (None, other), (None, other), (None, some(90) + p[:210]), (len(rows), some(80) + p + some(120))]
-        alone = some(500)
+    some = lambda n: "".join(draw.choice("abcdefgh é") for _ in range(n))
+    shared, other = some(400), some(260)
+    rows = [(1, some(300) + shared), (1, shared + some(300)), (1, some(500)), (None, some(90) + other), (None, other + some(70)), (0, other), (2, some(250))]
+    rows += [(3, some(260))] * 2 + [(None, "z" + shared[1:390])] * 3 + [(None, None), (4, None), (4, ""), (4, some(199))]
+    for p in (some(200), some(230), some(900)):  # copies, one of them or all without an id, share a passage but no whole segment with others
+        copy, part, alone = some(150) + p + some(150), some(150) + p + some(150), some(500)
+        rows += [(None, copy), (None, copy), (len(rows) + 100, copy), (None, part), (None, part), (None, some(90) + p[:210]), (len(rows) + 50, some(80) + p + some(120))]
         rows += [(None, alone), (len(rows) + 200, some(40) + alone[100:320] + some(70))]
-    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], DOCS).repartition(3)
-    expected = left([t for _, t in rows], 200)
-    found = remove_repeats(df).select("doc_id", "kept", F.sha2("kept", 256).alias("sha"), "spans").collect()
-    assert len(found) == len(rows)
-    by_id = {i: e for (i, _), e in zip(rows, expected, strict=True) if i is not None}
-    for r in found:
-        if r.doc_id is None:
-            assert r.kept.decode() in {t for i, t in rows if i is None} and not r.spans
-        else:
-            assert (sum(s["to"] - s["from"] for s in r.spans), len(r.spans), r.sha) == by_id[r.doc_id], r.doc_id
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], DOCS).repartition(4)
+    found = remove_repeats(df).select("doc_id", F.sha2("kept", 256).alias("sha"), "spans").collect()
+    got = Counter((r.doc_id, sum(s["to"] - s["from"] for s in r.spans), len(r.spans), r.sha) for r in found)
+    assert got == Counter((i, *e) for (i, _), e in zip(rows, left([t for _, t in rows], 200), strict=True))
+    probe = [r for r in found if r.doc_id == 1 and r.spans]
+    assert sorted((s["from"], s["to"]) for r in probe for s in r.spans)[0][0] == 0 and len(probe) == 2
+    assert remove_repeats(df.limit(0)).count() == 0
 
 
 def test_suffix_arrays():

@@ -41,7 +41,7 @@ KMER = 48
 PIECE = 1 << 19
 SHARD_BYTES = 2_000_000
 LEVELS = 4
-#: A hash with more segments than both this and its share is dealt over several tasks; at most so many are, and are broadcast.
+#: A hash with more segments than both this and its share is dealt over several tasks; at most so many are, and come to the driver.
 HOT_ROWS = 20_000
 HOT_HASHES = 1000
 _PLACE = (1 << 24) - 1
@@ -60,6 +60,17 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     return _repeats(docs, length).select("id", "key", ends.alias("runs")).groupBy("id", "key").agg(F.collect_set("runs").alias("runs"))
 
 
+def _salts(hot: DataFrame) -> Column:
+    """Over how many tasks the rows of each ``mh`` are dealt: a power of two for those in ``hot``, whose rows are few and come to the driver."""
+    sizes: dict[int, list[int]] = {}
+    for r in hot.collect():
+        sizes.setdefault(1 << (r["salts"] - 1).bit_length(), []).append(r["mh"])
+    salts = F.lit(1).cast("long")
+    for size, hashes in sizes.items():
+        salts = F.when(F.col("mh").isin(hashes), F.lit(size).cast("long")).otherwise(salts)
+    return salts
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A hash that tells the texts of an id apart, and rows without an id from others."""
     return F.xxhash64(F.col(id_col).isNull(), F.col(text_col).cast("string"))
@@ -71,10 +82,9 @@ def _repeats(docs: DataFrame, length: int, level: int = 0) -> DataFrame:
     common = durable(rows.groupBy("mh").agg(F.count("*").alias("c"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("c > 1"))
     total = common.agg(F.sum("c")).first()[0] or 0
     least = max(HOT_ROWS, total // HOT_HASHES)  # so fewer than HOT_HASHES have more
-    hot = durable(common.where(F.col("c") > least).select("mh", F.ceil(F.col("c") / least).cast("int").alias("salts")))
-    salted = lambda df: df.join(F.broadcast(hot), "mh", "left")
-    dealt = lambda df: salted(df).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "key", "start"), "salts"), F.lit(0))).drop("salts")
-    copied = lambda df: salted(df).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+    salts = _salts(common.where(F.col("c") > least).select("mh", F.ceil(F.col("c") / least).cast("long").alias("salts")))
+    dealt = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("id", "key", "start"), salts))
+    copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     held = durable(dealt(rows).join(copied(common.select("mh", (F.col("x") == F.col("y")).alias("same"))), ["mh", "salt"]))
     kinds = held.groupBy("mh", "dg", "same").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "start", "n")).alias("at"))
     kinds = durable(kinds.select("mh", "dg", "same", "c", "at.id", "at.key", "at.start", "at.n"))

@@ -19,8 +19,6 @@ VOWELS_BOTH = VOWELS + "".join(c.upper() for c in VOWELS if len(c.upper()) == 1)
 _MARKS = (("\ufdd1", "\ufdd0"), ("\ufdd3", "\ufdd2"))
 #: Of these a text with marks of both pairs takes the first two that it does not have: all noncharacters, and private characters.
 _SPARE = [chr(c) for c in [*range(0xFDD0, 0xFDF0), *(p << 16 | c for p in range(17) for c in (0xFFFE, 0xFFFF)), *range(0xF0000, 0xF0040)]]
-#: White space of Unicode.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(None)
@@ -44,7 +42,6 @@ def pattern() -> str:
     words = "|".join(
         [
             r"\p{Lu}(?:\.\p{Lu})++\.?",
-            rf"{alpha}++(?=\s|\z)",
             rf"(?iu:aujourd['’]hui|{alpha}+n['’]t)",
             r"(?iu:['’](?:twas|tis|ll|re|ve|[dms]))\b",
             rf"(?iu:qu|[cdjlmnst])['’](?=[{VOWELS_BOTH}hH#@]{alpha}*\b)",
@@ -60,14 +57,17 @@ def pattern() -> str:
             rf"[{_ranges('Emoji_Presentation')}]\x{{FE0F}}?",
         ]
     )
+    # common tokens come first where no rule after them could match anything else there: words before a blank or before a sign and a blank
+    # (no abbreviation has five letters), and signs before a blank; what stands in front of other groups only says early that they cannot match
     groups = [
-        rf"((?={compound}(?<={clitic}))[^\-]+)-",
-        rf"({compound}(?<!{clitic}))",
+        rf"({alpha}++(?=\s|\z|[,;:!?](?:\s|\z))|{alpha}{{5,}}+(?=\.(?:\s|\z)))",
+        r"([.,;:!?])(?=\s|\z)",
+        rf"(?={alnum}++[\-_·])(?:((?={compound}(?<={clitic}))[^\-]+)-|({compound}(?<!{clitic})))",
         rf"([#$]{alpha}{alnum}+\b)",
         rf"(@{alpha}[\p{{IsAlphabetic}}\p{{Nd}}_]+\b)",
         r"(-?\p{Nd}+(?:[.,]\p{Nd}+)?\b)",
-        rf"({emojis})",
-        r"((?iu:app?t|etc|[djs]r|prof|mlle|mgr|min|mrs|m[rs]|m|no|pp?|st|vs)\.)",
+        rf"(?=[#*0-9©®\x{{203C}}-\x{{10FFFF}}])({emojis})",
+        rf"(?={alpha}{{1,4}}+\.)((?iu:app?t|etc|[djs]r|prof|mlle|mgr|min|mrs|m[rs]|m|no|pp?|st|vs)\.)",
         r"((?iu:https?)://[^\s,;]+)",
         r"((?iu:[a-z0-9!#$%&*+\-/=?^_`{|}~]{1,64}@[a-z]{2,8}\.[a-z]{2,8}(?:\.[a-z]{2,8})*+))",
         rf"({words})",
@@ -79,7 +79,7 @@ def pattern() -> str:
 
 
 #: Groups of each kind's field in the pattern, by KINDS.
-_FIELDS = ("$1$2$7$10$12", "$3", "$4", "$6", "$11", "$5", "$8", "$9")
+_FIELDS = ("$1$3$4$9$12$14", "$5", "$6", "$8", "$2$13", "$7", "$10", "$11")
 
 
 def word_tokens(col: ColumnOrName) -> Column:
@@ -98,9 +98,8 @@ def _lexed(text: Column, field: Column, token_mark: Column) -> Column:
     empty = F.repeat(field, len(KINDS) - 1)
 
     def token(piece: Column) -> Column:
-        body = F.ltrim(piece, field)
-        kind = F.try_element_at(kinds, F.length(piece) - F.length(body) + 1)
-        return F.struct(kind.alias("kind"), F.rtrim(body, F.concat(field, F.lit(_SPACES))).alias("text"))
+        body = F.replace(piece, field, F.lit(""))  # as many fields stand before it as its kind's number
+        return F.struct(F.element_at(kinds, F.instr(piece, body)).alias("kind"), body.alias("text"))
 
     pieces = F.filter(F.split(marked, token_mark), lambda p: (p != "") & (p != empty))
     return F.transform(pieces, token)

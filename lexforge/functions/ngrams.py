@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lexforge.functions.normalize import ColumnOrName, bind, column
 
 
-def _checked(low: int, high: int) -> None:
+def checked_sizes(low: int, high: int) -> None:
     if low < 1 or high < low:
         raise ValueError(f"n-grams of {low} to {high} items")
 
 
 def ngrams(col: ColumnOrName, n: int) -> Column:
     """All windows of ``n`` items in order; an empty array has none."""
-    _checked(n, n)
+    checked_sizes(n, n)
 
     def windows(t: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
@@ -30,7 +30,7 @@ def ngrams_range(col: ColumnOrName, low: int, high: int) -> Column:
     First come those inside the first ``high`` items, by size and then by place; then, for each
     further item, those that end with it, by size.
     """
-    _checked(low, high)
+    checked_sizes(low, high)
 
     def windows(t: Column) -> Column:
         head = F.least(F.lit(high), F.size(t))

@@ -156,6 +156,29 @@ def _hangul(spark: SparkSession, d: str) -> DataFrame:
     return written.select("p_partkey", *[f("name").alias(k) for k, f in codes.items()])
 
 
+def _range_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Grams of two and three words of whole documents, a row each."""
+    words = F.transform(simple_tokens("text"), lambda t: t["text"])
+    return tables.explode_ngrams(_table(spark, d, "documents"), words, 2, 3).select("doc_id", "pos", F.array_join("gram", " ").alias("gram"))
+
+
+#: So many numbers are in the stoplist of ``tokens_large_stoplist`` besides words of the tables.
+NUMBERS = 1_000_000
+
+
+def _large_stoplist(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents without those of the benchmark's items and the names of parts, nor any number below a million."""
+    known = _table(spark, d, "benchmark").select("text").union(_table(spark, d, "part").select("p_name"))
+    stoplist = tables.vocabulary(known).union(spark.range(NUMBERS).select(F.col("id").cast("string")))
+    return _counted(lambda *_: tables.without_stopwords(_tokens(simple=True)(spark, d), stoplist), "doc_id")(spark, d)
+
+
+def _coded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of each document have each phonetic code, each word coded once."""
+    words = _tokens(simple=True)(spark, d).select("doc_id", "text")
+    return tables.per_word(words, "text", "code", phonetics.soundex).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+
+
 def _csv(spark: SparkSession, d: str) -> DataFrame:
     """Part names through a CSV file and back."""
     path = f"{_shared_folder(spark)}/names-{uuid.uuid4().hex}"
@@ -226,6 +249,9 @@ QUERIES: dict[str, Query] = {
     "reduce_lengthening": _texts("reduced", normalize.reduce_lengthening),
     "unidecode": _words("ascii", normalize.unidecode),
     "codes_of_scripts": _in_scripts,
+    "soundex_tokens": _coded_tokens,
+    "tokens_large_stoplist": _large_stoplist,
+    "ngrams_range_docs": _range_rows,
     "codes_of_hangul": _hangul,
     "doc_pipeline": _pipeline,
 }

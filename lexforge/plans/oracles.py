@@ -334,6 +334,13 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "squeeze": "SELECT doc_id, array_to_string(list_transform(list_zip(c, list_prepend('', c)), lambda p: CASE WHEN p[1] = p[2] THEN '' ELSE p[1] END), '') AS squeezed FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)",
         "reduce_lengthening": "SELECT doc_id, coalesce(string_agg(CASE WHEN c = a AND c = b AND c = d AND NOT regexp_matches(c, '\\p{N}') THEN '' ELSE c END, '' ORDER BY i), '') AS reduced FROM (SELECT doc_id, i, c, lag(c, 1) OVER w AS a, lag(c, 2) OVER w AS b, lag(c, 3) OVER w AS d FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id",
         "codes_of_scripts": _scripts(),
+        "soundex_tokens": f"SELECT doc_id, soundex AS code, count(*) AS n FROM ({_simple()}) t JOIN ({_soundex()}) s ON t.text = s.word GROUP BY ALL",
+        "tokens_large_stoplist": f"""SELECT doc_id, count(*) AS n FROM ({_simple()}) t ANTI JOIN (
+            SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM (SELECT text FROM benchmark UNION ALL SELECT p_name FROM part)
+            UNION SELECT CAST(range AS VARCHAR) FROM range(1000000)) s ON lower(t.text) = s.w GROUP BY doc_id""",
+        "ngrams_range_docs": rf"""SELECT doc_id, generate_subscripts(g, 1) - 1 AS pos, array_to_string(unnest(g), ' ') AS gram FROM (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [t]
+            ELSE list_concat([t[1:2], t[2:3], t[1:3]], flatten(list_transform(range(4, len(t) + 1), lambda j: [t[j - 1 : j], t[j - 2 : j]]))) END AS g
+            FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS t FROM documents))""",
         "codes_of_hangul": _hangul(),
         "unidecode": words_("ascii", _ascii("word")),
     }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from lexforge.functions import phonetics
 from lexforge.functions.lexer import VOWELS_BOTH
 from lexforge.functions.stemmers import FIRST, SECOND, STEP2, STEP3, STEP4, THIRD
-from lexforge.plans import golden
 
 
 def _text(x: str | None) -> str:
@@ -22,22 +23,6 @@ def _text(x: str | None) -> str:
     return " || ".join(parts)
 
 
-def _value(x) -> str:
-    return str(x).lower() if isinstance(x, bool | int) else _text(x)
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(_value(v) for v in r) + ')' for r in rows)}) AS t({names})"
-
-
-def _cases(cases: dict) -> str:
-    return _values([(i, v) for i, v in enumerate(cases.values())], "number, output")
-
-
-def _lists(cases: dict[str, list[str]]) -> str:
-    return _values([(i, k, x) for i, v in enumerate(cases.values()) for k, x in enumerate(v)], "number, pos, output")
-
-
 WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM documents"
 
 #: The lexer on plain texts: no elisions, contractions or emoji; alternatives by precedence.
@@ -191,6 +176,29 @@ def _tag_part(i: int) -> str:
     return f"CASE WHEN len(w) >= {i} THEN upper(w[{i}][1:1]) || lower(w[{i}][2:]) END"
 
 
+#: The tokens of each way in which the catalogue makes words; "w" stands for a word, "|" ends a kind. The way without any is a word twice with a hyphen.
+_MADE = (
+    ["w"], ["'l'''", "'a' || w"], ["w || 'n''t'"], ["hashtag|'#ab' || w"], ["mention|'@ab' || w"], ["url|'https://ab.cd/' || w || '?q=1.'"], ["email|w || '@mail.example.com'"],
+    ["emoji|'🙂'", "w"], ["w", "'''s'"], ["'o''b' || w"], [], ["w", "'je'"], ["number|i || ',' || length(w)"], ["'Mr.'", "w"], ["'A.B.'", "w"], ["hashtag|'$ab' || w"],
+    ["'''tis'"], ["w", "punct|'!'", "punct|'?'"], ["punct|'('", "w", "punct|')'"], ["w || '_' || w"], ["emoji|'👍🏾'", "emoji|'🇫🇷'"],
+    ["number|'-' || i", "punct|'-'", "w"], ["w || i || 'º'"], ["'d’'", "'é' || w"],
+)
+#: After a hyphen these are words of their own.
+_CLITICS = "'ils', 'elle', 'elles', 'nous', 'vous', 'les', 'moi', 'toi', 'lui'"
+
+
+def _made() -> str:
+    def listed(tokens: list[str]) -> str:
+        parts = [t.split("|", 1) if re.match(r"[a-z]+\|[^|]", t) else ["word", t] for t in tokens]
+        return "[" + ", ".join(f"{{'kind': '{kind}', 'text': {text}}}" for kind, text in parts) + "]"
+
+    ways = [listed(t) if t else f"CASE WHEN w IN ({_CLITICS}) THEN {listed(['w', 'w'])} ELSE {listed(['w || chr(45) || w'])} END" for t in _MADE]
+    cases = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(ways))
+    words = "SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]{3,}') AS t FROM documents)"
+    tokens = f"SELECT doc_id, i, generate_subscripts(l, 1) AS k, unnest(l) AS t FROM (SELECT doc_id, i, CASE i % {len(_MADE)} {cases} END AS l FROM ({words}))"
+    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS pos, t.kind AS kind, t.text AS text FROM ({tokens})"
+
+
 def _paragraphs(aerated: bool) -> str:
     newline = r"(?:\n\r|\r\n|\r|\n)"
     return rf"SELECT doc_id, generate_subscripts(p, 1) - 1 AS par, unnest(p) AS paragraph FROM (SELECT doc_id, regexp_split_to_array(text, '{newline}[\t\s]*{newline}{'+' if aerated else '*'}') AS p FROM documents)"
@@ -282,7 +290,6 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "simple_tokens": _simple(),
         "simple_token_counts": f"SELECT text, count(*) AS n FROM ({_simple()}) WHERE length(text) >= 3 AND lower(text) NOT IN ({stop}) GROUP BY text",
         "word_tokens_docs": TOKENS,
-        "word_tokens_golden": _values([(i, k, *t) for i, _, ts in golden.token_rows() for k, t in enumerate(ts)], "number, pos, kind, text"),
         "token_kind_counts": counted("kind"),
         "tokens_blacklist": counted("doc_id", "kind NOT IN ('punct', 'number')"),
         "tokens_whitelist": counted("kind, text", "kind IN ('number', 'mention')"),
@@ -291,13 +298,11 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "tokens_insert_stopword": f"SELECT doc_id, count(*) AS n FROM ({_simple()}) WHERE lower(text) NOT IN ('the', 'que') GROUP BY doc_id",
         "token_pairs": _simple(),
         "token_kinds": f"SELECT DISTINCT input, CASE WHEN input IN ('word', 'hashtag', 'mention', 'emoji', 'punct', 'number', 'url', 'email') THEN input END AS kind FROM (SELECT role AS input FROM conversations UNION ALL SELECT unnest(['word', 'hashtag', 'mention', 'emoji', 'punct', 'number', 'url', 'email', 'Word', '', 'smiley']))",
-        "tokens_marked_docs": f"SELECT doc_id, pos, kind, t.text FROM documents, ({_values([(k, *t) for k, t in enumerate(golden.MARKED_TOKENS)], 'pos, kind, text')}) AS t WHERE documents.text IS NOT NULL",
+        "tokens_marked_docs": _made(),
         "hashtag_parts_docs": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part FROM (SELECT doc_id, list_filter([{', '.join(_tag_part(i) for i in (1, 2))}, CAST(n_chars AS VARCHAR), {', '.join(_tag_part(i) for i in (3, 4))}], lambda x: x IS NOT NULL) AS p FROM (SELECT doc_id, n_chars, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM documents))",
         "ngrams_docs_2": rf"SELECT gram, count(*) AS n FROM (SELECT unnest(CASE WHEN len(t) = 0 THEN [] ELSE list_transform(range(1, greatest(len(t), 2)), lambda i: array_to_string(t[i : i + 1], ' ')) END) AS gram FROM (SELECT regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS t FROM documents)) GROUP BY gram",
-        "unidecode_golden": _cases(golden.UNIDECODE),
         "tokens_no_junk": counted("doc_id", f"NOT (kind = 'word' AND {_junk('text')})"),
         "junk_words": f"SELECT word, {_junk()} AS junk, regexp_matches(word, '^[{VOWELS_BOTH}]') AS vowel FROM ({WORDS})",
-        "junk_golden": _cases(golden.JUNK),
         "ngrams_2": _grams(_windows("2")),
         "ngrams_3": _grams(_windows("3")),
         "ngrams_short": _grams(_windows("9")),
@@ -305,31 +310,19 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "ngrams_len": f"SELECT p_partkey, {', '.join(f'CAST({estimate(n)} AS BIGINT) AS n{n}' for n in (1, 2, 5, 6, 9))}, CAST({' + '.join(f'({estimate(n)})' for n in (1, 2, 3, 4))} AS BIGINT) AS r1_4, CAST(CASE WHEN {size} < 7 THEN 1 ELSE {estimate(7)} + {estimate(8)} END AS BIGINT) AS r7_8 FROM part",
         "paragraphs": _paragraphs(True),
         "paragraphs_lines": _paragraphs(False),
-        "paragraphs_golden": _lists({k: v[0] for k, v in golden.PARAGRAPHS.items()}),
-        "paragraphs_lines_golden": _lists({k: v[1] for k, v in golden.PARAGRAPHS.items()}),
         "sentences": _sentences("SELECT doc_id, text FROM documents", "doc_id"),
         "doc_pipeline": _segmented(),
-        "sentences_golden": _lists(golden.SENTENCES),
-        "hashtag_parts_golden": _cases(golden.HASHTAGS),
         "fingerprint_key": r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(p_name, '\s+'), lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), lambda w: w <> ''))), ' ') AS fingerprint FROM part",
         "fingerprint_tokens": r"SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), lambda w: w <> ''))) AS t FROM documents)",
-        "fingerprint_golden": _cases(golden.FINGERPRINTS),
         "omission_key": f"SELECT word, {_consonants('u')} || array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '') AS omission_key FROM (SELECT word, u, regexp_extract_all(u, '[AEIOU]') AS v FROM (SELECT word, upper({_ascii('word')}) AS u FROM ({WORDS})))",
-        "omission_golden": _cases(golden.OMISSION),
         "soundex": _soundex(),
-        "soundex_golden": _cases(golden.SOUNDEX),
         "refined_soundex": _refined(),
-        "refined_soundex_golden": _cases(golden.REFINED),
         "phonogram": _phonogram(WORDS, "word"),
-        "phonogram_golden": _cases(golden.PHONOGRAM),
         "csv_phonogram_roundtrip": _phonogram("SELECT p_name, CAST(p_partkey AS VARCHAR) AS p_partkey FROM part", "p_name"),
-        "names_phonogram": _values([(k, v) for k, v in golden.PHONOGRAM.items() if k], "name, phonogram"),
+        "names_phonogram": _phonogram("SELECT DISTINCT p_name AS name FROM part", "name"),
         "s_stem": words_("stem", "CASE WHEN strlen(word) < 3 THEN word WHEN regexp_matches(word, '[^ae]ies$') THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '(us|ss|[iaoe]es)$') THEN word ELSE regexp_replace(word, 's$', '') END"),
-        "s_stem_golden": _cases(golden.S_STEMS),
         "porter_stem": _porter(),
-        "porter_stem_golden": _cases(golden.PORTER_STEMS),
         "carry_stem": _carry(),
-        "carry_stem_golden": _cases(golden.CARRY_STEMS),
         "stem_measure": words_("measure", f"CAST({_measure('word')} AS BIGINT)"),
         "squeeze": "SELECT doc_id, array_to_string(list_transform(list_zip(c, list_prepend('', c)), lambda p: CASE WHEN p[1] = p[2] THEN '' ELSE p[1] END), '') AS squeezed FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)",
         "reduce_lengthening": "SELECT doc_id, coalesce(string_agg(CASE WHEN c = a AND c = b AND c = d AND NOT regexp_matches(c, '\\p{N}') THEN '' ELSE c END, '' ORDER BY i), '') AS reduced FROM (SELECT doc_id, i, c, lag(c, 1) OVER w AS a, lag(c, 2) OVER w AS b, lag(c, 3) OVER w AS d FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id",

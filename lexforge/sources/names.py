@@ -28,6 +28,8 @@ def encode_csv(spark: SparkSession, source: str, target: str) -> None:
     write_csv(with_code(read_csv(spark, source)), target)
 
 
-def encode_names(spark: SparkSession, names: Iterable[str]) -> DataFrame:
-    """(name, phonogram) for names given as they are."""
-    return with_code(spark.createDataFrame([(n,) for n in names], "name string"))
+def encode_names(spark: SparkSession, names: Iterable[str] | DataFrame) -> DataFrame:
+    """(name, phonogram) for names given as they are, or for each distinct name of a table's first column."""
+    if not isinstance(names, DataFrame):
+        return with_code(spark.createDataFrame([(n,) for n in names], "name string"))
+    return with_code(names.select(names[names.columns[0]].alias("name")).distinct())

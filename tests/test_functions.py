@@ -1,11 +1,11 @@
 """Every function on its golden cases, one Spark job each."""
 
+import golden
 import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import keys, lexer, ngrams, normalize, phonetics, segments, stemmers, tokenizer
 from lexforge.functions.tokenizer import WordTokenizer
-from lexforge.plans import golden
 
 CASES = {
     "sentences": (golden.SENTENCES, segments.split_sentences),

@@ -209,7 +209,11 @@ def _schema(df: DataFrame, name: str) -> StructType:
 
 
 def encoded_digests(documents: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, number of ids, digests of the ids and of the bytes decoded from them."""
+    """Per document: id, number of ids, digests of the ids and of the bytes decoded from them.
+
+    A null text is empty and has no ids. Every row counts, also rows that repeat or have no id; an
+    empty table gives no rows, and other columns are ignored.
+    """
     there = encode(documents.select(id_col, text_col), ranks, pattern, text_col).select(id_col, "ids")
     return decode(there, ranks).select(
         id_col,

@@ -59,8 +59,10 @@ def jaccard_components(
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id reachable by links).
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of distinct
-    ``k``-word shingles. A null or blank text has an empty set and links with nothing. Rows that
-    repeat an id are one document; a row without an id has no component. Other columns are ignored.
+    ``k``-word shingles. A null or blank text has an empty set and links with nothing. Each row gets
+    the component of its own text, so rows that repeat an id with other texts may differ; a
+    component's id is the smallest id of its rows that have one, and null where none has. An empty
+    table gives no rows, and other columns are ignored.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = durable(_prefixes(docs, k, percent, _counts(docs, k)))

@@ -104,16 +104,29 @@ def write_warc(
 
 
 def _records(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, with names in lower case, and blocks of the records of an archive, one at a time."""
-    while version := archive.readline():
+    """Headers, with names in lower case, and blocks of the records of an archive, one at a time.
+
+    The block of a record that tells no length goes to the next line that begins a record.
+    """
+    version = archive.readline()
+    while version:
+        if not version.strip():
+            version = archive.readline()
+            continue
         if not version.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {version[:40]!r}")
         headers = {}
-        while line := archive.readline().decode().rstrip("\r\n"):
+        while line := archive.readline().decode(errors="replace").rstrip("\r\n"):
             key, _, value = line.partition(":")
             headers[key.strip().lower()] = value.strip()
-        yield headers, archive.read(int(headers["content-length"]))
-        archive.read(len(_CLOSE))
+        if headers.get("content-length", "").isdecimal():
+            block, version = archive.read(int(headers["content-length"])), archive.readline()
+        else:
+            lines = []
+            while (version := archive.readline()) and not version.startswith(b"WARC/"):
+                lines.append(version)
+            block = b"".join(lines).removesuffix(_CLOSE.encode())
+        yield headers, block
 
 
 def _opened(data: bytes) -> io.BufferedIOBase:
@@ -123,9 +136,10 @@ def _opened(data: bytes) -> io.BufferedIOBase:
 
 
 def _payload(headers: dict[str, str], block: bytes) -> memoryview:
-    """What comes after the HTTP head of a response or revisit, else the block."""
-    http = headers["warc-type"] in ("response", "revisit") and headers.get("content-type", "").startswith("application/http")
-    return memoryview(block)[block.index(_CLOSE.encode()) + len(_CLOSE) if http else 0 :]
+    """What comes after the HTTP head of a response or revisit, if there is one, else the block."""
+    http = headers.get("warc-type") in ("response", "revisit") and headers.get("content-type", "").startswith("application/http")
+    head = block.find(_CLOSE.encode()) if http else -1
+    return memoryview(block)[head + len(_CLOSE) if head >= 0 else 0 :]
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True, files: str = "part-*") -> DataFrame:
@@ -134,6 +148,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True, files: s
     record_id, type, target_uri, concurrent_to, refers_to, digest (of a revisit from its header, else
     of the content), n_bytes of the content, fields (of metadata) and, with ``payloads``, content:
     what comes after the HTTP head in responses and revisits, all of the block in other records.
+    What a record does not tell, its id and type too, is null.
     """
     schema = "record_id string, type string, target_uri string, concurrent_to string, refers_to string, digest string, n_bytes long, fields map<string, string>" + ", content binary" * payloads
 
@@ -143,9 +158,9 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True, files: s
                 rows, size = [], 0
                 for h, block in _records(_opened(batch.column(0)[i].as_py())):
                     content = _payload(h, block)
-                    about = [tuple(p.strip() for p in x.partition(":")[::2]) for x in block.decode().split("\r\n") if x] if h["warc-type"] == "metadata" else None
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if h["warc-type"] == "revisit" else hashlib.sha256(content).hexdigest()
-                    rows.append((h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), digest, len(content), about, bytes(content) if payloads else None))
+                    about = [tuple(p.strip() for p in x.partition(":")[::2]) for x in block.decode(errors="replace").split("\r\n") if x] if h.get("warc-type") == "metadata" else None
+                    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if h.get("warc-type") == "revisit" else hashlib.sha256(content).hexdigest()
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), digest, len(content), about, bytes(content) if payloads else None))
                     size += len(content) if payloads else 0
                     if len(rows) == 1000 or size > BATCH_BYTES:
                         yield _batch(rows)

@@ -338,6 +338,22 @@ def test_archives_of_others(spark, tmp_path):
     assert plain == other and [r[4] for r in sorted(plain)] == [None if i < 5 else i % 5 for i in range(40)]
 
 
+def test_archives_with_faults(spark, tmp_path):
+    """Records without a length, a type, an id or an HTTP head, and bytes that are no UTF-8."""
+    ends = "\r\n"
+    kinds = [
+        ["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <a>", "Content-Type: application/http; msgtype=response", "Content-Length: 4", "", "body"],
+        ["WARC/1.0", "WARC-Type: metadata", "WARC-Record-ID: <b>", "", "page_id: 7", "x: y"],
+        ["WARC/1.1", "Content-Length: 3", "", "abc"],
+        ["WARC/1.0", "WARC-Type: resource", "WARC-Record-ID: <c>", "Content-Length: x", "", "one", "", "two"],
+    ]
+    (tmp_path / "part-0").write_bytes(b"".join(ends.join(k).encode() + b"\r\n\r\n" for k in kinds) + b"WARC/1.0\r\nX: \xff\r\nContent-Length: 1\r\n\r\n\xfe")
+    found = read_records(spark, str(tmp_path)).collect()
+    assert [(r.record_id, r.type, bytes(r.content)) for r in found] == [("<a>", "response", b"body"), ("<b>", "metadata", b"page_id: 7\r\nx: y"), (None, None, b"abc"), ("<c>", "resource", b"one\r\n\r\ntwo"), (None, None, b"\xfe")]
+    assert found[1].fields == {"page_id": "7", "x": "y"}
+    assert assemble(read_records(spark, str(tmp_path))).count() == 4
+
+
 def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "warc")
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)

@@ -1,14 +1,17 @@
-"""SQL for the registered queries, for DuckDB. Its logic is written apart from the Spark expressions; large tables of fixed values are shared."""
+"""SQL for the registered queries, for DuckDB. Its logic and small tables are written apart from the Spark expressions; rules of stemmers and of the name code are shared."""
 
 from __future__ import annotations
 
 import re
 
 from lexforge.functions import phonetics
-from lexforge.functions.lexer import VOWELS_BOTH
 from lexforge.functions.stemmers import FIRST, SECOND, STEP2, STEP3, STEP4, THIRD
 
 
+#: The vowels of all rules, in both cases.
+VOWELS_BOTH = "aáàâäąåoôóøeéèëêęiíïîıuúùûüyÿæœAÁÀÂÄĄÅOÔÓØEÉÈËÊĘIÍÏÎUÚÙÛÜYŸÆŒ"
+
+
 def _text(x: str | None) -> str:
     if x is None:
         return "NULL"
@@ -78,8 +81,15 @@ def _consonants(u: str) -> str:
     return " || ".join(f"CASE WHEN contains({u}, '{c}') THEN '{c}' ELSE '' END" for c in "JKQXZVWYBFMGPDHCLNTSR")
 
 
-def _digits(x: str, table: tuple[str, str]) -> str:
-    return f"replace(replace(translate({x}, '{table[0][:24]}', '{table[1][:24]}'), 'W', ''), 'H', '')"
+#: Which letters have which digit; W and H have none.
+_SOUNDEX = {"0": "AEIOUY", "1": "BPFV", "2": "CSKGJQXZ", "3": "DT", "4": "L", "5": "MN", "6": "R"}
+_REFINED = {"0": "AEIOUY", "1": "BP", "2": "FV", "3": "CKS", "4": "GJ", "5": "QXZ", "6": "DT", "7": "L", "8": "MN", "9": "R"}
+
+
+def _digits(x: str, digits: dict[str, str]) -> str:
+    for digit, letters in {"": "WH", **digits}.items():
+        x = f"regexp_replace({x}, '[{letters}]', '{digit}', 'g')"
+    return x
 
 
 def _measure(x: str) -> str:
@@ -99,7 +109,7 @@ def _sorted_out(name: str, x: str, source: str) -> str:
 
 def _soundex(source: str = WORDS, keys: str = "word", name: str = "word") -> str:
     u = f"SELECT {keys}, regexp_replace(upper({_ascii(name)}), '[^A-Z]', '', 'g') AS u FROM ({source})"
-    r = f"SELECT {keys}, u, {_digits('u[1:1]', phonetics.SOUNDEX)} AS f, {_digits('u[2:]', phonetics.SOUNDEX)} AS r FROM ({u})"
+    r = f"SELECT {keys}, u, {_digits('u[1:1]', _SOUNDEX)} AS f, {_digits('u[2:]', _SOUNDEX)} AS r FROM ({u})"
     q = f"SELECT {keys}, u, CASE WHEN r <> '' AND f = r[1:1] THEN r[2:] ELSE r END AS q FROM ({r})"
     s = f"SELECT {keys}, u, {_squeezed('q')} AS s FROM ({q})"
     return f"SELECT {keys}, CASE WHEN u = '' THEN '' ELSE rpad((u[1:1] || replace(s, '0', ''))[1:4], 4, '0') END AS soundex FROM ({s})"
@@ -107,7 +117,7 @@ def _soundex(source: str = WORDS, keys: str = "word", name: str = "word") -> str
 
 def _refined(source: str = WORDS, keys: str = "word", name: str = "word") -> str:
     u = f"SELECT {keys}, regexp_replace(upper({_ascii(name)}), '[^A-Z]', '', 'g') AS u FROM ({source})"
-    r = f"SELECT {keys}, u, {_digits('u[2:]', phonetics.REFINED)} AS r FROM ({u})"
+    r = f"SELECT {keys}, u, {_digits('u[2:]', _REFINED)} AS r FROM ({u})"
     return f"SELECT {keys}, u[1:1] || {_squeezed('r')} AS refined_soundex FROM ({r})"
 
 

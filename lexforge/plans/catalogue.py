@@ -84,11 +84,18 @@ def _kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hashtags(spark: SparkSession, d: str) -> DataFrame:
-    """Hashtags made of each document's first words, capitals first, with its size between, and their parts."""
-    word = lambda i: F.initcap(F.try_element_at(F.col("w"), F.lit(i)))
-    words = _table(spark, d, "documents").select("doc_id", "n_chars", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
-    tags = words.select("doc_id", F.concat(F.lit("#"), F.concat_ws("", word(1), word(2), F.col("n_chars").cast("string"), word(3), word(4))).alias("tag"))
-    return tags.select("doc_id", F.posexplode(segments.split_hashtag("tag")).alias("pos", "part"))
+    """Hashtags made of every four words of a document, capitals first, with their number between, and their parts."""
+    words = _table(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    groups = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int")), lambda i: F.slice("w", i * 4 + 1, 4))).alias("tag", "g"))
+    word = lambda i: F.initcap(F.get(F.col("g"), F.lit(i)))
+    tags = groups.select("doc_id", "tag", F.concat(F.lit("#"), F.concat_ws("", word(0), word(1), F.col("tag").cast("string"), word(2), word(3))).alias("text"))
+    return tags.select("doc_id", "tag", F.posexplode(segments.split_hashtag("text")).alias("pos", "part"))
+
+
+def _spaced_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of documents in which a blank line follows each sentence and what comes next is indented."""
+    spaced = F.regexp_replace("text", r"\. ", ".\n \t\n  ")
+    return tables.explode_paragraphs(_table(spark, d, "documents").select("doc_id", spaced.alias("text")))
 
 
 def _doc_grams(spark: SparkSession, d: str) -> DataFrame:
@@ -207,6 +214,7 @@ QUERIES: dict[str, Query] = {
     "ngrams_range_1_3": _grams(lambda t: ngrams.ngrams_range(t, 1, 3)),
     "ngrams_len": _lens,
     "paragraphs": lambda spark, d: tables.explode_paragraphs(_table(spark, d, "documents")),
+    "paragraphs_spaced_docs": _spaced_paragraphs,
     "paragraphs_lines": lambda spark, d: tables.explode_paragraphs(_table(spark, d, "documents"), aerated=False),
     "sentences": lambda spark, d: tables.explode_sentences(_table(spark, d, "documents")),
     "fingerprint_key": _parts("fingerprint", keys.fingerprint),

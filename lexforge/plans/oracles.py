@@ -181,9 +181,12 @@ def _junk(w: str = "word") -> str:
     return f"(strlen({w}) > 30 OR {pairs} >= 3 OR regexp_matches({w}, '[{VOWELS_BOTH}]{{7}}') OR regexp_matches({letters}, '\\p{{L}}{{8}}') OR NOT regexp_matches({w}, '[{VOWELS_BOTH}]|[^\\p{{L}}]'))"
 
 
-def _tag_part(i: int) -> str:
-    """A capital and lower case stay together, so each word is a part."""
-    return f"CASE WHEN len(w) >= {i} THEN upper(w[{i}][1:1]) || lower(w[{i}][2:]) END"
+def _tags() -> str:
+    """A capital and lower case stay together, so each word is a part, and so is the number."""
+    whole = lambda i: f"CASE WHEN len(w) >= 4 * tag + {i} THEN upper(w[4 * tag + {i}][1:1]) || lower(w[4 * tag + {i}][2:]) END"
+    parts = f"list_filter([{whole(1)}, {whole(2)}, CAST(tag AS VARCHAR), {whole(3)}, {whole(4)}], lambda x: x IS NOT NULL)"
+    words = "SELECT doc_id, w, unnest(range((len(w) + 3) // 4)) AS tag FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents)"
+    return f"SELECT doc_id, tag, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part FROM (SELECT doc_id, tag, {parts} AS p FROM ({words}))"
 
 
 #: The tokens of each way in which the catalogue makes words; "w" stands for a word, "|" ends a kind. The way without any is a word twice with a hyphen.
@@ -309,7 +312,7 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "token_pairs": _simple(),
         "token_kinds": f"SELECT DISTINCT input, CASE WHEN input IN ('word', 'hashtag', 'mention', 'emoji', 'punct', 'number', 'url', 'email') THEN input END AS kind FROM (SELECT role AS input FROM conversations UNION ALL SELECT unnest(['word', 'hashtag', 'mention', 'emoji', 'punct', 'number', 'url', 'email', 'Word', '', 'smiley']))",
         "tokens_marked_docs": _made(),
-        "hashtag_parts_docs": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part FROM (SELECT doc_id, list_filter([{', '.join(_tag_part(i) for i in (1, 2))}, CAST(n_chars AS VARCHAR), {', '.join(_tag_part(i) for i in (3, 4))}], lambda x: x IS NOT NULL) AS p FROM (SELECT doc_id, n_chars, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM documents))",
+        "hashtag_parts_docs": _tags(),
         "ngrams_docs_2": rf"SELECT gram, count(*) AS n FROM (SELECT unnest(CASE WHEN len(t) = 0 THEN [] ELSE list_transform(range(1, greatest(len(t), 2)), lambda i: array_to_string(t[i : i + 1], ' ')) END) AS gram FROM (SELECT regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS t FROM documents)) GROUP BY gram",
         "tokens_no_junk": counted("doc_id", f"NOT (kind = 'word' AND {_junk('text')})"),
         "junk_words": f"SELECT word, {_junk()} AS junk, regexp_matches(word, '^[{VOWELS_BOTH}]') AS vowel FROM ({WORDS})",
@@ -319,6 +322,7 @@ def all_sql(stopwords: tuple[str, ...]) -> dict[str, str]:
         "ngrams_range_1_3": _grams(_RANGE),
         "ngrams_len": f"SELECT p_partkey, {', '.join(f'CAST({estimate(n)} AS BIGINT) AS n{n}' for n in (1, 2, 5, 6, 9))}, CAST({' + '.join(f'({estimate(n)})' for n in (1, 2, 3, 4))} AS BIGINT) AS r1_4, CAST(CASE WHEN {size} < 7 THEN 1 ELSE {estimate(7)} + {estimate(8)} END AS BIGINT) AS r7_8 FROM part",
         "paragraphs": _paragraphs(True),
+        "paragraphs_spaced_docs": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS par, unnest(p) AS paragraph FROM (SELECT doc_id, list_transform(string_split(text, '. '), lambda x, i: CASE WHEN i > 1 THEN '  ' || x ELSE x END || CASE WHEN i < len(string_split(text, '. ')) THEN '.' ELSE '' END) AS p FROM documents)",
         "paragraphs_lines": _paragraphs(False),
         "sentences": _sentences("SELECT doc_id, text FROM documents", "doc_id"),
         "doc_pipeline": _segmented(),

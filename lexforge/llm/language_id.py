@@ -35,8 +35,8 @@ from lexforge.llm.words import mixed, powers
 ORDER = 4
 #: Bound, about, of the sample by a hash of the id: rows with each language. One in four only calibrates.
 LABELLED = 2000
-#: Bound of the model that every task gets: grams and contexts, times languages. Rare grams of three signs and more go beyond it.
-CELLS = 1 << 24
+#: Bound of the model that the driver builds and every task gets: grams and contexts, times languages. Beyond it rare grams of three signs and more go.
+CELLS = 1 << 22
 #: Texts whose score is below this are rejected.
 REJECT = 0.5
 UNKNOWN = "und"

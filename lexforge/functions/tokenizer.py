@@ -26,12 +26,13 @@ def is_junk(col: ColumnOrName) -> Column:
     vowels or eight consonants in a row, or neither a vowel nor any character but letters.
     """
     w = column(col)
+    runs = w.rlike(rf"[{VOWELS_BOTH}]{{{JUNK_VOWELS}}}|[\p{{IsAlphabetic}}&&[^{VOWELS_BOTH}]]{{{JUNK_CONSONANTS}}}")
+    # most words are too short for the dearer conditions
     return (
         (F.octet_length(w) > JUNK_BYTES)
         | ~w.rlike(rf"[{VOWELS_BOTH}]|[^\p{{IsAlphabetic}}]")
-        | w.rlike(f"[{VOWELS_BOTH}]{{{JUNK_VOWELS}}}")
-        | w.rlike(rf"[\p{{IsAlphabetic}}&&[^{VOWELS_BOTH}]]{{{JUNK_CONSONANTS}}}")
-        | (F.regexp_count(w, F.lit(r"(?s)(.)(?=\1)")) >= JUNK_PAIRS)
+        | ((F.length(w) >= min(JUNK_VOWELS, JUNK_CONSONANTS)) & runs)
+        | ((F.length(w) > JUNK_PAIRS) & (F.regexp_count(w, F.lit(r"(?s)(.)(?=\1)")) >= JUNK_PAIRS))
     )
 
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SHARD_BLOCKS = 1 << 15
 TASK_SLOTS = 1 << 16
 MOST_TASKS = 20_000
 BUCKET_DOCS = 20_000
+#: Documents whose passes a task holds at once.
+CUT_ROWS = 256
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -90,7 +93,8 @@ def mix(
         word_count(text_col).alias("size"),
         F.xxhash64(text_col).alias("hash"),
     )
-    docs = durable(docs)
+    # short rows: files as many as their own size needs, not as the texts are dealt
+    docs = durable(docs.hint("rebalance"))
     sources = durable(_targets(docs, weights, share, most, block_words))
     rows = _streams(docs, sources)
     ends = F.col("start") + F.col("size")
@@ -229,27 +233,37 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for i, (text, size, pieces) in enumerate(zip(texts, batch.column(length).to_pylist(), batch.column(listed).to_pylist(), strict=True)):
-                for turn in range(1, 1 + max(p["uses"] for p in pieces)):
-                    runs: list[list[int]] = []
-                    for p in sorted((p for p in pieces if p["uses"] >= turn), key=lambda p: p["low"]):
-                        if runs and runs[-1][1] == p["low"]:
-                            runs[-1][1] = p["high"]
-                        else:
-                            runs.append([p["low"], p["high"]])
-                    rows.append(i)
-                    out.append(text if runs == [[0, size]] else _stretches(text, runs))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            if not rows:
-                continue
-            put = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-            yield pa.RecordBatch.from_arrays([put[n] if n in put else kept.column(kept.schema.get_field_index(n)) for n in names], names)
+            for at in range(0, len(batch), CUT_ROWS):
+                yield _passes(batch.slice(at, CUT_ROWS), names, length, listed)
 
     return joined.select(*names, side("size").alias(length), side("pieces").alias(listed)).mapInArrow(cut, documents.schema)
 
 
+def _passes(batch: pa.RecordBatch, names: list[str], length: str, listed: str) -> pa.RecordBatch:
+    """A row for each pass in which words of a document are taken, in the columns ``names``."""
+    pieces = batch.column(listed)
+    ends = np.cumsum(pc.list_value_length(pieces).to_numpy()).tolist()
+    each = pieces.flatten()
+    flat = list(zip(*(each.field(x).to_pylist() for x in ("low", "high", "uses")), strict=True))
+    rows, out, first = [], [], 0
+    for i, (text, size, end) in enumerate(zip(batch.column("text").to_pylist(), batch.column(length).to_pylist(), ends, strict=True)):
+        some, first = sorted(flat[first:end]), end
+        for turn in range(1, 1 + max(uses for _, _, uses in some)):
+            runs: list[list[int]] = []
+            for low, high, uses in some:
+                if uses < turn:
+                    continue
+                if runs and runs[-1][1] == low:
+                    runs[-1][1] = high
+                else:
+                    runs.append([low, high])
+            rows.append(i)
+            out.append(text if runs == [[0, size]] else _stretches(text, runs))
+    put = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
+    take = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([put[n] if n in put else batch.column(n).take(take) for n in names], names)
+
+
 _BLANKS = np.array([32, *range(9, 14)])
 
 

@@ -9,9 +9,11 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -410,6 +412,36 @@ def test_mixture_output(spark):
     assert words == report == sum(len(r.text.split()) for r in out.collect())
 
 
+def test_mixture_holds_few_texts(spark, monkeypatch):
+    """A task makes the passes of a few documents at a time, however many a batch has."""
+    df = spark.createDataFrame(mixture_rows()[:5], DOCS)
+    tasks, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *rest, **more: tasks.append(f) or plain(self, f, *rest, **more))
+    names = mixed_documents(df).columns
+    n, text = 4000, " ".join(f"word{j}" for j in range(300))
+    pieces = [[{"low": 64, "high": 300, "uses": 2}, {"low": 0, "high": 64, "uses": 1 + i % 2}] for i in range(n)]
+    own = {"doc_id": pa.array(range(n)), "text": pa.array([text] * n), "lang": pa.array(["en"] * n), "source": pa.array(["a"] * n), "n_chars": pa.array([len(text)] * n)}
+    batch = pa.RecordBatch.from_pydict(own | {"_size": pa.array([300] * n), "_pieces": pa.array(pieces)}).slice(1)
+    most, seen, before = 0, Counter(), pa.total_allocated_bytes()
+    for out in tasks[-1](iter([batch])):
+        most = max(most, pa.total_allocated_bytes() - before)
+        assert out.schema.names == names
+        seen.update(zip(out.column("doc_id").to_pylist(), out.column("text").to_pylist(), out.column("n_chars").to_pylist(), strict=True))
+        del out
+    assert most < batch.nbytes / 4
+    part = text[text.index("word64 ") :]
+    assert seen == Counter({(i, text, len(text)): 1 + i % 2 for i in range(1, n)} | {(i, part, len(part)): 1 for i in range(2, n, 2)})
+
+
+def test_mixture_writes_few_files(spark):
+    """The short rows that a mixture keeps do not make a file for each partition of the texts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    folder = Path(path.toUri().getPath())
+    before = set(folder.glob("rdd-*/part-*"))
+    mixed_documents(spark.createDataFrame(mixture_rows(), DOCS).repartition(40))
+    assert 0 < len(set(folder.glob("rdd-*/part-*")) - before) < 20
+
+
 def test_mixture_of_nothing(spark):
     assert mixture_report(spark.createDataFrame([], DOCS)).count() == 0
     rows = mixture_report(spark.createDataFrame([(1, None, "en", "a", 0), (2, " ", "en", None, 0)], DOCS)).collect()

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges for which a round of components has a further task.
+ROUND_EDGES = 1 << 16
 #: A word is a run of anything but the space and U+0009 to U+000D.
 BLANK = " \t\n\x0b\f\r"
 
@@ -59,12 +61,14 @@ def components(edges: DataFrame) -> DataFrame:
     ``node`` and ``root`` (the smallest node of its component) for every node other than the
     roots. Alternating large-star and small-star steps: each is a grouped minimum, which is
     combined before the shuffle, and an equi-join, which adaptive execution splits where one node
-    has very many edges. The edges are checkpointed after each round.
+    has very many edges. The edges are checkpointed after each round, in as many partitions as their
+    number needs, however many the shuffles have.
     """
     now = durable(_pairs(edges))
     seen = _state(now)
     while True:
-        now = durable(_small_star(_large_star(now)))
+        tasks = 1 + seen[0] // ROUND_EDGES
+        now = durable(_small_star(_large_star(now.coalesce(tasks))).coalesce(tasks))
         state = _state(now)
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

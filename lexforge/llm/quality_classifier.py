@@ -9,16 +9,19 @@ score is the mean of their calibrated log odds.
 A round is a scan. Its tasks sum the gradient of the other view's loss over the documents that a
 view is sure of, and a curvature for each weight, which together bound that loss from above for any
 weights; the sums have the size of the weights. The driver fits the bounded sample of labelled rows
-and these bounds. A last scan scores all documents.
+and these bounds; tasks make the sample's views, and the driver gets no texts. A last scan scores
+all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,8 @@ _FACTS = 12
 _NAMES = 1 << 10
 _SIZES = (BUCKETS + _DENSE, _NAMES + _FACTS)
 _CHUNK = 1 << 11
+#: Rows whose products are held at once.
+_STEP = 512
 
 
 def _layout(text: bytes) -> list[float]:
@@ -60,11 +65,33 @@ class Rows:
     value: np.ndarray
     count: np.ndarray
 
-    def __post_init__(self):
-        self.owner = np.repeat(np.arange(len(self.count)), self.count)
+    @cached_property
+    def steps(self) -> list[tuple[slice, slice]]:
+        """Runs of rows, and where their places and values are."""
+        end = np.concatenate([[0], np.cumsum(self.count)])
+        cuts = [*range(0, len(self.count), _STEP), len(self.count)]
+        return [(slice(a, b), slice(end[a], end[b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def owner(self, rows: slice) -> np.ndarray:
+        count = self.count[rows]
+        return np.repeat(np.arange(len(count)), count)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights=self.value * w[self.place], minlength=len(self.count))
+        """For each row the sum of its values times what ``w`` has at their places."""
+        out = np.zeros(len(self.count))
+        for rows, at in self.steps:
+            out[rows] = np.bincount(self.owner(rows), weights=self.value[at] * w[self.place[at]], minlength=rows.stop - rows.start)
+        return out
+
+    def sums(self, x: np.ndarray, size: int) -> np.ndarray:
+        """For each place the sum of its values times what ``x`` has for their rows."""
+        out = np.zeros(size)
+        for rows, at in self.steps:
+            out += np.bincount(self.place[at], weights=self.value[at] * x[rows][self.owner(rows)], minlength=size)
+        return out
+
+    def absolute(self) -> Rows:
+        return Rows(self.place, np.abs(self.value), self.count)
 
     def some(self, rows: np.ndarray) -> Rows:
         start = np.cumsum(self.count) - self.count
@@ -113,7 +140,7 @@ def _fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, given: Bound
     total = (weight.sum() + (given.weight if given else 0.0)) or 1.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(rows.times(w), -30, 30)))
-        g = np.bincount(rows.place, weights=rows.value * (weight * (p - y))[rows.owner], minlength=size)
+        g = rows.sums(weight * (p - y), size)
         if given:
             g += given.gradient + given.curve * (w - given.at)
         g = g / total + 1e-4 * w
@@ -132,10 +159,9 @@ def _taught(views: tuple[Rows, Rows], models: list[np.ndarray]) -> np.ndarray:
         mine = np.where(np.abs(odds[k]) < 1e-6, 1e-6, np.clip(odds[k], -30, 30))
         q = 1 / (1 + np.exp(-mine))
         # Jaakkola and Jordan: (q - 1/2) / x is the curvature of a parabola that is nowhere below the loss
-        size = np.bincount(rows.owner, weights=np.abs(rows.value), minlength=len(sure))
-        slope, curve = sure * (q - (p >= 0.5)), sure * (q - 0.5) / mine * size
-        out += [np.bincount(rows.place, weights=rows.value * slope[rows.owner], minlength=_SIZES[k])]
-        out += [np.bincount(rows.place, weights=np.abs(rows.value) * curve[rows.owner], minlength=_SIZES[k]), [sure.sum()]]
+        width = rows.absolute()
+        slope, curve = sure * (q - (p >= 0.5)), sure * (q - 0.5) / mine * width.times(np.ones(_SIZES[k]))
+        out += [rows.sums(slope, _SIZES[k]), width.sums(curve, _SIZES[k]), [sure.sum()]]
     return np.concatenate(out)
 
 
@@ -191,6 +217,26 @@ class Model:
         return [1 / (1 + np.exp(-x)) for x in ((odds[0] + odds[1]) / 2, *odds)]
 
 
+def _sample(some: DataFrame) -> pa.Table:
+    """doc_id, good, and the places and values of both views, by doc_id; the views are made in tasks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, views in _viewed(batches):
+            columns = [batch.column("doc_id"), batch.column("good")]
+            for rows in views:
+                ends = pa.array(np.concatenate([[0], np.cumsum(rows.count)]), pa.int32())
+                columns += [pa.ListArray.from_arrays(ends, pa.array(rows.place, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(rows.value))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "place_0", "value_0", "place_1", "value_1"])
+
+    schema = "doc_id long, good boolean, place_0 array<int>, value_0 array<double>, place_1 array<int>, value_1 array<double>"
+    return some.mapInArrow(pack, schema).toArrow().sort_by("doc_id")
+
+
+def _unpacked(some: pa.Table, k: int, rows: np.ndarray) -> Rows:
+    place, value = (some[f"{x}_{k}"].take(pa.array(rows)).combine_chunks() for x in ("place", "value"))
+    return Rows(place.flatten().to_numpy(), value.flatten().to_numpy(), pc.list_value_length(place).to_numpy().astype(np.int64))
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on about LABELLED rows of each label, which the driver gets, and on all rows without one of those labels.
 
@@ -204,22 +250,25 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     known = labelled.where(draw < F.when(F.col("good"), share.get(True, 0.0)).otherwise(share.get(False, 0.0)))
     docs = documents.select("doc_id", "text", "lang", "source")
     some = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct("text", "lang", "source")).alias("d"))
-    some = some.select("doc_id", "good", "d.*").toPandas().sort_values("doc_id")
+    some = _sample(some.select("doc_id", "good", "d.*"))
     if not len(some):
         return Model((np.zeros(_SIZES[0]), np.zeros(_SIZES[1])), [(0.0, 30.0), (0.0, 30.0)])
     unlabelled = docs.where(F.col("doc_id").isNull() | ~held_out()).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
-    views = _views([t.encode() if t else None for t in some["text"]], some["lang"].tolist(), some["source"].tolist())
-    y = some["good"].to_numpy(np.float64)
+    y = some["good"].to_numpy().astype(np.float64)
     weight = np.array([1 / share[bool(g)] for g in y])
-    apart = some["doc_id"].to_numpy(np.int64) % 4 == 0
+    apart = some["doc_id"].to_numpy() % 4 == 0
     fitted, tested = np.flatnonzero(~apart), np.flatnonzero(apart)
     if not len(tested) or not len(fitted):
         fitted = tested = np.arange(len(y))
-    models = [_fit(views[k].some(fitted), y[fitted], weight[fitted], _SIZES[k]) for k in (0, 1)]
+    seen, rest = ([_unpacked(some, k, rows) for k in (0, 1)] for rows in (fitted, tested))
+    del some
+    models = [_fit(seen[k], y[fitted], weight[fitted], _SIZES[k]) for k in (0, 1)]
     for _ in range(ROUNDS):
         given = _teach(unlabelled, models)
-        models = [_fit(views[k].some(fitted), y[fitted], weight[fitted], _SIZES[k], given[k]) for k in (0, 1)]
-    curves = [_platt(views[k].some(tested).times(models[k]), y[tested], weight[tested]) for k in (0, 1)]
+        models = [_fit(seen[k], y[fitted], weight[fitted], _SIZES[k], given[k]) for k in (0, 1)]
+    curves = [_platt(rest[k].times(models[k]), y[tested], weight[tested]) for k in (0, 1)]
+    del seen, rest
+    pa.default_memory_pool().release_unused()  # else the driver keeps the sample's memory for later queries
     return Model((models[0], models[1]), curves)
 
 

@@ -39,6 +39,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """However many partitions edges and shuffles have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        found = components(spark.range(1, 60).selectExpr("id as a", "id + 1 as b").repartition(30))
+        assert found.rdd.getNumPartitions() == 1 and {r.root for r in found.collect()} == {1}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def vectors():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 8))

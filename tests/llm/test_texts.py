@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -285,6 +286,22 @@ def test_rounds_sum_over_all_rows(spark):
             assert loss(b.at + step) <= bound + 1e-6 and (size > 1e-3 or abs(loss(b.at + step) - bound) < 0.05)
 
 
+def test_driver_holds_the_labelled_sample_once(spark):
+    """Neither the texts of the sample nor several copies of its views stand in the driver at once."""
+    text = lambda i: " ".join(f"w{i * j * j % 99_991}" for j in range(1, 601))
+    df = spark.range(1, 2401).select(F.col("id").alias("doc_id"), F.udf(text)("id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    df = df.localCheckpoint()
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    values = 2400 * 0.8 * 590
+    tracemalloc.start()
+    try:
+        quality_classifier.train(df, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * values, peak / values
+
+
 def test_models_without_labels(spark):
     df, labels = labelled(spark, 20)
     none = labels.limit(0)
